@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,38 +35,56 @@ def is_blank(c: Column | str) -> Column:
     return F.coalesce(col(c), F.lit("")) == ""
 
 
-def _float_text(c: Column) -> Column:
-    """Python's repr of a double. Spark switches to exponents at 1e7 and 1e-3,
-    Python at 1e16 and 1e-4; the digits are the same."""
-    text = c.cast("string")
-    sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    bare = F.ltrim(text, F.lit("-"))
-    mantissa = F.substring_index(bare, "E", 1)
-    exponent = F.substring_index(bare, "E", -1).try_cast("int")
-    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "(?<=.)0+$", "")
-    width = F.length(digits)
-    shifted = F.when(
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _shortest(n: Column) -> Column:
+    """The digits of a mantissa, the fewest that still read back as the same double.
+    Java before 19 prints some doubles with more digits than they need."""
+    out = n["mantissa"]
+    for digits in (17, 16, 15):
+        fewer = F.round(n["mantissa"].cast("decimal(38,20)"), digits - 1).cast("string")
+        same = F.concat(fewer, F.lit("E"), n["exponent"].cast("string")).try_cast("double") == n["size"]
+        out = F.when(same, fewer).otherwise(out)
+    chosen = F.when(F.length(n["mantissa"]) >= 17, out).otherwise(n["mantissa"])
+    return F.regexp_replace(F.replace(chosen, F.lit("."), F.lit("")), "(?<=.)0+$", "")
+
+
+def _exponent_text(n: Column, digits: Column) -> Column:
+    """Python's text of a number that Java shows with an exponent."""
+    exponent, width = n["exponent"], F.length(digits)
+    plain = F.when(
         exponent < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
     ).when(
-        width <= exponent + 1,
-        F.concat(digits, F.repeat(F.lit("0"), exponent + 1 - width), F.lit(".0")),
-    ).otherwise(
-        F.concat(F.substring(digits, F.lit(1), exponent + 1), F.lit("."),
-                 F.substring(digits, exponent + 2, width)),
-    )
+        width <= exponent + 1, F.concat(F.rpad(digits, exponent + 1, F.lit("0")), F.lit(".0"))
+    ).otherwise(F.concat(
+        F.substring(digits, F.lit(1), exponent + 1), F.lit("."), F.substring(digits, exponent + 2, width)))
+    fraction = F.when(width > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), width))).otherwise(F.lit(""))
     power = F.abs(exponent).cast("string")
     scientific = F.concat(
-        F.regexp_replace(mantissa, r"\.0$", ""), F.lit("e"),
-        F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.when(F.length(power) < 2, F.concat(F.lit("0"), power)).otherwise(power),
+        F.left(digits, F.lit(1)), fraction, F.lit("e"), F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+")),
+        F.when(F.length(power) < 2, F.lit("0")).otherwise(F.lit("")), power)
+    return F.concat(n["sign"], F.when((n["size"] < 1e16) & (n["size"] >= 1e-4), plain).otherwise(scientific))
+
+
+def _float_text(c: Column) -> Column:
+    """Python's repr of a double. Spark shows exponents from 1e7 and below 1e-3, Python
+    from 1e16 and below 1e-4; only such numbers take the longer way."""
+    text = c.cast("string")
+    sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
+    parts = F.struct(
+        sign.alias("sign"),
+        F.ltrim(F.substring_index(text, "E", 1), F.lit("-")).alias("mantissa"),
+        F.substring_index(text, "E", -1).try_cast("int").alias("exponent"),
+        F.abs(c).alias("size"),
     )
-    size = F.abs(c)
     return (
         F.when(c.isNull() | F.isnan(c), F.lit("nan"))
-        .when(size == float("inf"), F.concat(sign, F.lit("inf")))
+        .when(F.abs(c) == float("inf"), F.concat(sign, F.lit("inf")))
         .when(~F.contains(text, F.lit("E")), text)
-        .when((size < 1e16) & (size >= 1e-4), F.concat(sign, shifted))
-        .otherwise(F.concat(sign, scientific))
+        .otherwise(bind(parts, lambda n: bind(_shortest(n), lambda digits: _exponent_text(n, digits))))
     )
 
 

@@ -45,14 +45,21 @@ def test_quotas(counts: DataFrame, test_size: float = TEST_SIZE) -> DataFrame:
     return ranked.select("stratum", (F.col("c") - train).alias("k"))
 
 
-def _last_taken(hashed: DataFrame, histogram: DataFrame, quotas: DataFrame, levels: int) -> DataFrame:
+def _one_per_class(df: DataFrame, bounded: bool, name: str) -> DataFrame:
+    """A table of one row per class for a join with all rows. Broadcast where the number
+    of classes is known to be small; else written out, and Spark goes by the size it finds."""
+    return F.broadcast(df) if bounded else stage(df, name)
+
+
+def _last_taken(
+    hashed: DataFrame, histogram: DataFrame, quotas: DataFrame, levels: int, bounded: bool
+) -> DataFrame:
     """(stratum, h, key) of the last row taken per class: the k-th by (h, key)."""
-    need, prefix = quotas, None
+    need, cut = quotas, None
     for level in range(1, levels + 1):
-        if level > 1:
+        if cut is not None:
             inside = hashed.withColumn("prefix", F.left("h", F.lit(DIGITS * (level - 1))))
-            histogram = _histogram(
-                inside.join(prefix, ["stratum", "prefix"], "left_semi"), DIGITS * level)
+            histogram = _histogram(inside.join(cut, ["stratum", "prefix"], "left_semi"), DIGITS * level)
         running = Window.partitionBy("stratum").orderBy("prefix").rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
         cut = (
@@ -61,7 +68,8 @@ def _last_taken(hashed: DataFrame, histogram: DataFrame, quotas: DataFrame, leve
             .where((F.col("_end") >= F.col("k")) & (F.col("_end") - F.col("n") < F.col("k")))
             .select("stratum", "prefix", (F.col("k") - F.col("_end") + F.col("n")).alias("k"))
         )
-        prefix, need = cut.select("stratum", "prefix"), cut.select("stratum", "k")
+        cut = _one_per_class(cut, bounded, "cuts")
+        need = cut.select("stratum", "k")
     edge = hashed.withColumn("prefix", F.left("h", F.lit(DIGITS * levels))).join(
         cut, ["stratum", "prefix"])
     by_hash = Window.partitionBy("stratum", "prefix").orderBy("h", "key")
@@ -98,9 +106,9 @@ def stratified_test_split(
                          F.col(key).alias("key"))
     histogram = _histogram(hashed, DIGITS)
     counts = histogram.groupBy("stratum").agg(F.sum("n").alias("c"))
-    last = _last_taken(hashed, histogram, test_quotas(counts, test_size), levels)
-    last = last.toDF("_stratum", "_h", "_key")
-    last = F.broadcast(last) if classes is not None else stage(last, "cut_points")
+    bounded = classes is not None
+    last = _last_taken(hashed, histogram, test_quotas(counts, test_size), levels, bounded)
+    last = _one_per_class(last.toDF("_stratum", "_h", "_key"), bounded, "last")
     taken = F.struct(hash_key(key, seed), F.col(key)) <= F.struct("_h", "_key")
     return rows.join(last, (F.col(stratum) == F.col("_stratum")) & taken, "left_semi")
 
@@ -113,6 +121,6 @@ def capped_sample(
     hashed = df.select(F.lit(0).alias("stratum"), hash_key(key, seed).alias("h"), F.col(key).alias("key"))
     histogram = _histogram(hashed, DIGITS)
     quotas = histogram.groupBy("stratum").agg(F.lit(n).cast("long").alias("k"))
-    last = _last_taken(hashed, histogram, quotas, levels).select(F.struct("h", "key"))
+    last = _last_taken(hashed, histogram, quotas, levels, True).select(F.struct("h", "key"))
     inside = F.struct(hash_key(key, seed), F.col(key)) <= last.scalar()
     return df.where(F.coalesce(inside, F.lit(True)))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from .confusion import BY
-from .distribution import class_distributions, group_sizes, totals
+from .distribution import class_distributions, totals
 from .fairness import gaps, group_rates, parity
-from .metrics import GROUP, OVERALL, PER_GROUP, long_metrics, metric_frame
+from .metrics import GROUP, METRICS, OVERALL, PER_GROUP, long_metrics, metric_frame
 
 # A document lists its groups inline up to this many. Past it the maps by group are
 # NULL and the long tables, which hold every group, are the record.
@@ -18,11 +18,15 @@ MAX_INLINE_GROUPS = 100_000
 _KEY = BY[0]
 
 
-def _as_map(df: DataFrame, keys: list[str], key: str, value: Column, name: str) -> DataFrame:
-    """Rows of each key as one map, in key order."""
-    entries = F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v")))
-    ordered = F.array_sort(entries, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0))
-    return df.groupBy(*keys).agg(F.map_from_entries(ordered).alias(name))
+def _entries(key: str, value: Column) -> Column:
+    """Aggregate: rows as one map, in key order. A NULL value leaves its row out."""
+    rows = F.collect_list(F.when(value.isNotNull(), F.struct(F.col(key).alias("k"), value.alias("v"))))
+    return F.map_from_entries(F.array_sort(
+        rows, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)))
+
+
+def _scores() -> Column:
+    return F.create_map(*[x for m in METRICS for x in (F.lit(m), F.col(m))])
 
 
 def summarize(
@@ -32,49 +36,46 @@ def summarize(
     """One summary document per experiment, on ``schemas.SUMMARY``.
 
     ``experiments`` has the configuration columns, and ``positive_class`` unless the
-    class is given. Experiments without analysed rows have no document.
+    class is given. Experiments without analysed rows have no document. The cube is
+    read several times: stage it first where it is costly.
     """
     config = experiments.select(
         _KEY, "timestamp", F.col("dataset_name").alias("dataset"), F.col("model_name").alias("model"),
-        "model_size", "api_provider", 
+        "model_size", "api_provider",
         (F.col("positive_class") if positive is None else F.lit(positive)).alias("_positive"))
     size = totals(cube)
-    small = size.where(F.col("num_groups") <= max_inline_groups).select(_KEY)
-
     frame = metric_frame(cube)
-    long = long_metrics(frame)
-    gap = gaps(long)
-    inline = cube.join(small, _KEY, "left_semi")
-    by_group = long_metrics(metric_frame(inline)).where(F.col("level") == PER_GROUP)
-    sizes = group_sizes(inline)
-    shares = class_distributions(inline)
+    overall = frame.where(F.col("level") == OVERALL).select(_KEY, _scores().alias("overall_metrics"))
+
+    gap = gaps(long_metrics(frame)).groupBy(_KEY).agg(
+        _entries("metric", F.col("difference")).alias("fairness_differences"),
+        # a ratio of 0 to 0 is kept as a NULL entry
+        _entries("metric", F.struct("ratio")).alias("_ratios"),
+        _entries("metric", F.struct("best_group", "best_value", "worst_group", "worst_value", "gap"))
+        .alias("group_summary"),
+    ).withColumn("fairness_ratios", F.transform_values("_ratios", lambda _, v: v["ratio"]))
+
     rates = group_rates(cube.join(config.select(_KEY, "_positive"), _KEY), F.col("_positive"))
+    odds = parity(rates).select(_KEY, F.struct(
+        "demographic_parity_difference", "equalized_odds_difference").alias("binary_metrics"))
 
+    inline = size.where(F.col("num_groups") <= max_inline_groups).select(_KEY, "total_samples")
     share = F.struct("count", "percentage")
-    kinds = _as_map(shares, [_KEY, GROUP, "kind"], "label", share, "m").groupBy(_KEY, GROUP).agg(
-        F.first(F.when(F.col("kind") == "ground_truth", F.col("m")), True).alias("ground_truth"),
-        F.first(F.when(F.col("kind") == "predictions", F.col("m")), True).alias("predictions"))
-    accuracy = by_group.where(F.col("metric") == "accuracy").select(
-        _KEY, GROUP, F.col("value").alias("accuracy"))
-    described = kinds.join(accuracy, [_KEY, GROUP])
-
-    parts = [
-        size,
-        _as_map(long.where(F.col("level") == OVERALL), [_KEY], "metric", F.col("value"), "overall_metrics"),
-        _as_map(gap, [_KEY], "metric", F.col("difference"), "fairness_differences"),
-        _as_map(gap, [_KEY], "metric", F.col("ratio"), "fairness_ratios"),
-        _as_map(gap, [_KEY], "metric", F.struct(
-            "best_group", "best_value", "worst_group", "worst_value", "gap"), "group_summary"),
-        parity(rates).select(_KEY, F.struct(
-            "demographic_parity_difference", "equalized_odds_difference").alias("binary_metrics")),
-        _as_map(sizes, [_KEY], GROUP, share, "group_sizes"),
-        _as_map(described, [_KEY], GROUP, F.struct("ground_truth", "predictions", "accuracy"),
-                "class_distributions"),
-        _as_map(_as_map(by_group, [_KEY, "metric"], GROUP, F.col("value"), "m"),
-                [_KEY], "metric", F.col("m"), "metrics_by_group"),
-    ]
-    document = config.join(parts[0], _KEY)
-    for part in parts[1:]:
+    labels = class_distributions(cube.join(inline, _KEY, "left_semi")).groupBy(_KEY, GROUP).agg(*[
+        _entries("label", F.when(F.col("kind") == kind, share)).alias(kind)
+        for kind in ("ground_truth", "predictions")
+    ])
+    per_group = frame.where(F.col("level") == PER_GROUP).join(inline, _KEY).join(labels, [_KEY, GROUP])
+    size_share = F.struct(
+        F.col("n").alias("count"), (F.col("n") * F.lit(100.0) / F.col("total_samples")).alias("percentage"))
+    groups = per_group.groupBy(_KEY).agg(
+        _entries(GROUP, size_share).alias("group_sizes"),
+        _entries(GROUP, F.struct("ground_truth", "predictions", "accuracy")).alias("class_distributions"),
+        *[_entries(GROUP, F.col(m)).alias(f"_{m}") for m in METRICS],
+    ).withColumn("metrics_by_group", F.create_map(*[x for m in METRICS for x in (F.lit(m), F.col(f"_{m}"))]))
+
+    document = config.join(size, _KEY)
+    for part in (overall, gap, odds, groups):
         document = document.join(part, _KEY, "left")
     return document.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.SUMMARY.fields])
 

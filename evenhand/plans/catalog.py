@@ -25,9 +25,9 @@ from ..operators.runs import batch_status, dataset_rollup, experiment_matrix, pr
 from ..operators.split import capped_sample, stratified_test_split
 from ..operators.summary import flatten_summary, summarize
 from ..sources import sinks
-from ..sources.files import read_csv, read_predictions, read_summaries, read_survey, with_row_id
+from ..sources.files import read_checkpoint, read_csv, read_summaries, read_survey, with_row_id
 from ..sources.registry import load_dataset, with_dataset
-from ..staging import new_folder
+from ..staging import new_folder, stage
 from ..streaming.scoring import drain, latest, outcome_stream, running_summary
 from . import bindings as b
 from .experiment import classify, prompts, rule_classifier
@@ -190,8 +190,9 @@ def _doc_experiments(predictions: DataFrame) -> DataFrame:
 @query
 def summary_document(spark: SparkSession, d: str) -> DataFrame:
     predictions = b.doc_predictions(spark, d)
-    cube = confusion_cube(analysis_set(predictions))
-    return rounded(flatten_summary(summarize(cube, _doc_experiments(predictions))), "value")
+    cube = stage(confusion_cube(analysis_set(predictions)), "cube")
+    documents = stage(summarize(cube, _doc_experiments(predictions)), "documents")
+    return rounded(flatten_summary(documents), "value")
 
 
 @query
@@ -199,7 +200,8 @@ def summary_store(spark: SparkSession, d: str) -> DataFrame:
     """Summaries written as JSON, read back by schema, and compared."""
     predictions = b.doc_predictions(spark, d)
     path = new_folder(spark, "summaries")
-    sinks.write_summaries(summarize(confusion_cube(analysis_set(predictions)), _doc_experiments(predictions)), path)
+    cube = stage(confusion_cube(analysis_set(predictions)), "cube")
+    sinks.write_summaries(summarize(cube, _doc_experiments(predictions)), path)
     picked = pick_experiments(compare_summaries(read_summaries(spark, path)), ["long", "absent", "short"], "model")
     return rounded(picked, "accuracy", "accuracy_difference", "accuracy_ratio",
                    "demographic_parity_diff", "equalized_odds_diff")
@@ -436,10 +438,10 @@ def resume_union(spark: SparkSession, d: str) -> DataFrame:
 def checkpoint_store(spark: SparkSession, d: str) -> DataFrame:
     """Appends to a checkpoint table twice and reads it; then nothing is left to do."""
     path = new_folder(spark, "checkpoint")
-    before = read_predictions(spark, path)
+    before = read_checkpoint(spark, path)
     sinks.append_checkpoint(before.unionByName(b.doc_predictions(spark, d)), path)
     sinks.append_checkpoint(_todo(spark, d).withColumnRenamed("prediction_label", "prediction"), path)
-    after = read_predictions(spark, path)
+    after = read_checkpoint(spark, path)
     left = remaining(b.table(spark, d, "documents").select(record_id("doc_id").alias("record_id")), after)
     rows = after.groupBy("experiment_id").agg(F.count(F.lit(1)).alias("rows"))
     return rows.unionByName(left.agg(F.lit("left").alias("experiment_id"), F.count(F.lit(1)).alias("rows")))

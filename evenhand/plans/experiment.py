@@ -18,7 +18,7 @@ from ..operators.attempts import reduce_attempts, to_predictions
 from ..operators.prepare import conform
 from ..operators.resume import remaining
 from ..sources import sinks
-from ..sources.files import read_predictions
+from ..sources.files import read_checkpoint
 from ..sources.registry import DatasetConfig, Loaded, load_dataset
 
 Classifier = Callable[[str, str, str, int], dict]
@@ -84,7 +84,7 @@ def run_experiment(
     """
     loaded: Loaded = load_dataset(spark, dataset, path, test_size, seed)
     experiment = hashlib.md5(f"{dataset}_{model}_{stamp}".encode()).hexdigest()[:8]
-    done = read_predictions(spark, layout.checkpoints).where(F.col("experiment_id") == experiment)
+    done = read_checkpoint(spark, layout.checkpoints).where(F.col("experiment_id") == experiment)
     todo = remaining(loaded.samples, done)
     if responses is not None:
         new = answered(todo, responses, loaded.config, experiment)
@@ -93,7 +93,7 @@ def run_experiment(
         outcomes = classify(prompts(described, loaded.config), make_classifier, experiment, stamp)
         new = predictions_of(todo, outcomes, loaded.config, experiment)
     sinks.append_checkpoint(new, layout.checkpoints)
-    return read_predictions(spark, layout.checkpoints).where(F.col("experiment_id") == experiment)
+    return read_checkpoint(spark, layout.checkpoints).where(F.col("experiment_id") == experiment)
 
 
 def rule_classifier(label: Callable[[str], str]) -> Callable[[], Classifier]:

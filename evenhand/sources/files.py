@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..staging import stage
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = False) -> DataFrame:
@@ -46,21 +48,30 @@ def with_row_id(df: DataFrame) -> DataFrame:
         F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     order = Window.partitionBy().orderBy("_file", "_start")
     offsets = blocks.withColumn("_before", F.sum("_rows").over(order) - F.col("_rows")).drop("_rows")
+    offsets = stage(offsets, "file_blocks")
     return placed.join(offsets, ["_file", "_start"]).withColumn(
         "row_id", F.col("_before") + F.col("_id") - F.col("_first")
     ).drop("_file", "_start", "_id", "_first", "_before")
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path))
+def read_predictions(spark: SparkSession, path: str, schema: T.StructType = schemas.PREDICTIONS) -> DataFrame:
+    """A predictions table; a missing path is an empty table."""
+    return _read_or_empty(spark, path, schema, skip_unreadable=False)
 
 
-def read_predictions(spark: SparkSession, path: str, schema: T.StructType = schemas.PREDICTIONS) -> DataFrame:
-    """A predictions or checkpoint table; a missing path is an empty table."""
-    if not table_exists(spark, path):
+def read_checkpoint(spark: SparkSession, path: str, schema: T.StructType = schemas.PREDICTIONS) -> DataFrame:
+    """As ``read_predictions``, but files that cannot be read are left out: their
+    records are then scored again."""
+    return _read_or_empty(spark, path, schema, skip_unreadable=True)
+
+
+def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType, skip_unreadable: bool) -> DataFrame:
+    try:
+        return spark.read.schema(schema).option("ignoreCorruptFiles", skip_unreadable).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
