@@ -41,7 +41,7 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _shortest(n: Column) -> Column:
-    """The digits of a mantissa, the fewest that still read back as the same double.
+    """(digits, exponent) with the fewest digits that still read back as the same double.
     Java before 19 prints some doubles with more digits than they need."""
     out = n["mantissa"]
     for digits in (17, 16, 15):
@@ -49,12 +49,16 @@ def _shortest(n: Column) -> Column:
         same = F.concat(fewer, F.lit("E"), n["exponent"].cast("string")).try_cast("double") == n["size"]
         out = F.when(same, fewer).otherwise(out)
     chosen = F.when(F.length(n["mantissa"]) >= 17, out).otherwise(n["mantissa"])
-    return F.regexp_replace(F.replace(chosen, F.lit("."), F.lit("")), "(?<=.)0+$", "")
+    carried = chosen.startswith("10.")
+    return F.struct(
+        F.regexp_replace(F.replace(chosen, F.lit("."), F.lit("")), "(?<=.)0+$", "").alias("digits"),
+        (n["exponent"] + F.when(carried, 1).otherwise(0)).alias("exponent"))
 
 
-def _exponent_text(n: Column, digits: Column) -> Column:
+def _exponent_text(n: Column, shortest: Column) -> Column:
     """Python's text of a number that Java shows with an exponent."""
-    exponent, width = n["exponent"], F.length(digits)
+    digits, exponent = shortest["digits"], shortest["exponent"]
+    width = F.length(digits)
     plain = F.when(
         exponent < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
     ).when(
@@ -84,7 +88,7 @@ def _float_text(c: Column) -> Column:
         F.when(c.isNull() | F.isnan(c), F.lit("nan"))
         .when(F.abs(c) == float("inf"), F.concat(sign, F.lit("inf")))
         .when(~F.contains(text, F.lit("E")), text)
-        .otherwise(bind(parts, lambda n: bind(_shortest(n), lambda digits: _exponent_text(n, digits))))
+        .otherwise(bind(parts, lambda n: bind(_shortest(n), lambda short: _exponent_text(n, short))))
     )
 
 

@@ -64,11 +64,14 @@ def to_predictions(
 
     A sample without any outcome becomes a failed row with no attempts.
     """
-    joined = samples.join(outcomes, list(keys), "left")
-    label = F.when(~is_blank(F.col("prediction_label")),
-                   normalize_label("prediction_label", positive, negative)).otherwise(F.col("prediction_label"))
-    return joined.withColumns({
-        "prediction": label,
+    return judged(samples.join(outcomes, list(keys), "left"), positive, negative)
+
+
+def judged(rows: DataFrame, positive: str, negative: str) -> DataFrame:
+    """Answered samples with normalised ``prediction`` and ``correct``."""
+    label = F.when(~is_blank("prediction_label"), normalize_label("prediction_label", positive, negative))
+    return rows.withColumns({
+        "prediction": F.coalesce(label, "prediction_label"),
         "api_success": F.coalesce("api_success", F.lit(False)),
         "attempts_made": F.coalesce("attempts_made", F.lit(0)),
     }).withColumn("correct", is_correct("api_success", "prediction", "ground_truth"))

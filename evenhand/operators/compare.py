@@ -48,8 +48,8 @@ def pick_experiments(rows: DataFrame, experiment_ids: Sequence[str], order: str
     the first by ``order`` stays. The list comes from the caller, so it is small.
     """
     listed = F.broadcast(rows.sparkSession.createDataFrame(
-        list(enumerate(dict.fromkeys(experiment_ids))), "pos int, experiment_id string"))
-    first = Window.partitionBy("experiment_id").orderBy(order)
+        list(enumerate(experiment_ids)), "pos int, experiment_id string"))
+    first = Window.partitionBy("pos").orderBy(order)
     return (
         rows.join(listed, "experiment_id")
         .withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")

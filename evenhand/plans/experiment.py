@@ -8,18 +8,20 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schemas
 from ..functions import fixed_values as fv
 from ..functions.describe import prompt_columns
 from ..functions.responses import classify_attempts
-from ..operators.attempts import reduce_attempts, to_predictions
+from ..operators.attempts import judged, reduce_attempts, to_predictions
 from ..operators.prepare import conform
 from ..operators.resume import remaining
 from ..sources import sinks
 from ..sources.files import read_checkpoint
 from ..sources.registry import DatasetConfig, Loaded, load_dataset
+from ..staging import new_folder
 
 Classifier = Callable[[str, str, str, int], dict]
 
@@ -40,20 +42,24 @@ def classify(
 
     ``make_classifier`` is called once per task (clients and models are set up
     there) and returns ``fn(system_prompt, user_prompt, record_id, max_attempts)``,
-    which gives the fields of ``schemas.CLASSIFIED`` it knows. Rows stream through in
-    Arrow batches; nothing is collected.
+    which gives the fields of ``schemas.CLASSIFIED`` it knows. Truth and group pass
+    through beside the answer, so nothing is joined back; rows stream in Arrow
+    batches and nothing is collected.
     """
-    schema = to_arrow_schema(schemas.CLASSIFIED)
+    kept = [c for c in ("ground_truth", "sensitive_feature") if c in prompted.columns]
+    answer = to_arrow_schema(schemas.CLASSIFIED)
+    out = T.StructType([*schemas.CLASSIFIED.fields, *[T.StructField(c, T.StringType()) for c in kept]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = make_classifier()
         base = {"experiment_id": experiment, "api_success": False, "attempts_made": 1, "timestamp": stamp}
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
+            columns = [c.to_pylist() for c in batch.columns[:3]]
             rows = [base | {"record_id": r} | call(s, u, r, max_attempts) for s, u, r in zip(*columns)]
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            answered = pa.RecordBatch.from_pylist(rows, answer)
+            yield pa.RecordBatch.from_arrays([*answered.columns, *batch.columns[3:]], [*answer.names, *kept])
 
-    return prompted.select("system_prompt", "user_prompt", "record_id").mapInArrow(run, schemas.CLASSIFIED)
+    return prompted.select("system_prompt", "user_prompt", "record_id", *kept).mapInArrow(run, out)
 
 
 def answered(samples: DataFrame, responses: DataFrame, config: DatasetConfig, experiment: str,
@@ -61,41 +67,53 @@ def answered(samples: DataFrame, responses: DataFrame, config: DatasetConfig, ex
     """Predictions out of a table of raw responses (``schemas.RESPONSES``)."""
     mine = responses.where(F.col("experiment_id") == experiment)
     outcomes = reduce_attempts(classify_attempts(mine, max_attempts), ("record_id",), max_attempts)
-    return predictions_of(samples, outcomes.withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")),
-                          config, experiment)
-
-
-def predictions_of(samples: DataFrame, outcomes: DataFrame, config: DatasetConfig, experiment: str) -> DataFrame:
+    when = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     rows = to_predictions(
         samples.select("record_id", "ground_truth", "sensitive_feature"),
-        outcomes.drop("experiment_id"), config.positive_class, config.negative_class)
+        outcomes.withColumn("timestamp", when), config.positive_class, config.negative_class)
     return conform(rows.withColumn("experiment_id", F.lit(experiment)))
 
 
 def run_experiment(
     spark: SparkSession, dataset: str, path: str, model: str, stamp: str, layout: sinks.Layout,
     make_classifier: Callable[[], Classifier] | None = None, responses: DataFrame | None = None,
-    test_size: float = fv.TEST_SIZE, seed: int = fv.RANDOM_STATE,
+    test_size: float = fv.TEST_SIZE, seed: int = fv.RANDOM_STATE, rounds: int = 1,
 ) -> DataFrame:
     """Loads, scores what the checkpoint lacks, appends it, and returns all predictions.
 
     Answers come from a classifier or from a table of responses. The id follows from
-    dataset, model and ``stamp``, so the same call resumes an interrupted run.
+    dataset, model and ``stamp``, so the same call resumes an interrupted run. With
+    several ``rounds`` the prompts are written out once and scored in as many parts,
+    each appended when it is done; a crash then costs one part of the calls.
     """
     loaded: Loaded = load_dataset(spark, dataset, path, test_size, seed)
+    config = loaded.config
     experiment = hashlib.md5(f"{dataset}_{model}_{stamp}".encode()).hexdigest()[:8]
     done = read_checkpoint(spark, layout.checkpoints).where(F.col("experiment_id") == experiment)
     todo = remaining(loaded.samples, done)
     if responses is not None:
-        new = answered(todo, responses, loaded.config, experiment)
+        sinks.append_checkpoint(answered(todo, responses, config, experiment), layout.checkpoints)
     else:
-        described = Loaded(todo, loaded.feature_columns, loaded.config).described()
-        outcomes = classify(prompts(described, loaded.config), make_classifier, experiment, stamp)
-        new = predictions_of(todo, outcomes, loaded.config, experiment)
-    sinks.append_checkpoint(new, layout.checkpoints)
+        prompted = prompts(Loaded(todo, loaded.feature_columns, config).described(), config)
+        for part in _parts(prompted, rounds):
+            scored = classify(part, make_classifier, experiment, stamp)
+            sinks.append_checkpoint(
+                conform(judged(scored, config.positive_class, config.negative_class)), layout.checkpoints)
     return read_checkpoint(spark, layout.checkpoints).where(F.col("experiment_id") == experiment)
 
 
+def _parts(prompted: DataFrame, rounds: int) -> Iterator[DataFrame]:
+    if rounds <= 1:
+        yield prompted
+        return
+    path = new_folder(prompted.sparkSession, "prompts")
+    numbered = prompted.withColumn("round", F.pmod(F.xxhash64("record_id"), F.lit(rounds)).cast("int"))
+    numbered.write.partitionBy("round").parquet(path)
+    written = prompted.sparkSession.read.schema(numbered.schema).parquet(path)
+    for number in range(rounds):
+        yield written.where(F.col("round") == number).drop("round")
+
+
 def rule_classifier(label: Callable[[str], str]) -> Callable[[], Classifier]:
     """A classifier without a model: a label from the user prompt. For tests and dry runs."""
 

@@ -15,9 +15,13 @@ SETTINGS = {
 }
 
 
-def local_session(cpus: int | str = "*", app: str = "evenhand", partitions: int = 8) -> SparkSession:
+def local_session(
+    cpus: int | str = "*", app: str = "evenhand", partitions: int = 8, **settings: str
+) -> SparkSession:
+    """``settings`` are further options, with '_' for '.' in their names."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
-    for key, value in SETTINGS.items():
+    named = {key.replace("_", "."): value for key, value in settings.items()}
+    for key, value in (SETTINGS | named).items():
         builder = builder.config(key, value)
     return (
         builder.config("spark.sql.shuffle.partitions", str(partitions))

@@ -67,7 +67,8 @@ def read_checkpoint(spark: SparkSession, path: str, schema: T.StructType = schem
 
 def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType, skip_unreadable: bool) -> DataFrame:
     try:
-        return spark.read.schema(schema).option("ignoreCorruptFiles", skip_unreadable).parquet(path)
+        table = spark.read.schema(schema).option("ignoreCorruptFiles", skip_unreadable).parquet(path)
+        return table.select(schema.fieldNames())
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

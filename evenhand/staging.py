@@ -8,14 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def work_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. It is set here only where the session
-    has none, which a cluster never lacks; then a local folder serves."""
+    """``spark.checkpoint.dir`` of the session. Only where a session has none, as on a
+    single machine, a local folder serves; a cluster names its shared one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="evenhand-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
+    return _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="evenhand-"))
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
