@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,29 +58,42 @@ def contains_any(c: Column, words: Iterable[str]) -> Column:
     return found
 
 
-def normalize_label(label: Column | str, positive: Column | str, negative: Column | str) -> Column:
-    """Map a free-text label onto one of two classes.
-
-    Tried in turn: equality, equality without separators, containment; each for
-    the positive class first. Text that fits neither class stays, lower-cased.
-    """
-    label = col(label)
-    classes = [F.lit(c) if isinstance(c, str) else c for c in (positive, negative)]
+def _bare(c: Column) -> Column:
+    return F.translate(c, _SEPARATORS, "")
 
-    def bare(c: Column) -> Column:
-        return F.translate(F.lower(c), _SEPARATORS, "")
 
-    text = F.lower(ws_strip(label))
+def _class_of(label: Column, text: Column, bare: Column, positive: Column | str, negative: Column | str) -> Column:
+    classes = [F.lit(c) if isinstance(c, str) else c for c in (positive, negative)]
     out = F.when(is_blank(label), F.lit(None).cast("string"))
     for c in classes:
         out = out.when(text == F.lower(c), c)
     for c in classes:
-        out = out.when(bare(text) == bare(c), c)
+        out = out.when(bare == _bare(F.lower(c)), c)
     for c in classes:
-        out = out.when(F.contains(bare(text), bare(c)), c)
+        out = out.when(F.contains(bare, _bare(F.lower(c))), c)
     return out.otherwise(text)
 
 
+def normalize_label(label: Column | str, positive: Column | str, negative: Column | str) -> Column:
+    """Map a free-text label onto one of two classes.
+
+    Tried in turn: equality, equality without separators, containment; each for
+    the positive class first. Text that fits neither class stays, lower-cased.
+    """
+    text = F.lower(ws_strip(label))
+    return _class_of(col(label), text, _bare(text), positive, negative)
+
+
+def with_normalized(
+    df: DataFrame, label: str, positive: Column | str, negative: Column | str, out: str = "prediction"
+) -> DataFrame:
+    """``normalize_label`` as a column of a table. The stripped texts are computed once
+    per row, where the plain expression works them out again in each of its branches."""
+    staged = df.withColumn("_text", F.lower(ws_strip(label))).withColumn("_bare", _bare(F.col("_text")))
+    found = _class_of(F.col(label), F.col("_text"), F.col("_bare"), positive, negative)
+    return staged.withColumn(out, found).drop("_text", "_bare")
+
+
 def is_correct(success: Column | str, label: Column | str, truth: Column | str) -> Column:
     """A successful call with a non-empty label equal to the truth; never NULL."""
     return F.coalesce(col(success) & ~is_blank(label) & (col(label) == col(truth)), F.lit(False))

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import responses as R
 from ..functions.fixed_values import MAX_ATTEMPTS
-from ..functions.labels import is_correct, normalize_label
-from ..functions.text import is_blank
+from ..functions.labels import is_correct, with_normalized
 
 RECORD = ("experiment_id", "record_id")
 
@@ -69,9 +68,8 @@ def to_predictions(
 
 def judged(rows: DataFrame, positive: str, negative: str) -> DataFrame:
     """Answered samples with normalised ``prediction`` and ``correct``."""
-    label = F.when(~is_blank("prediction_label"), normalize_label("prediction_label", positive, negative))
-    return rows.withColumns({
-        "prediction": F.coalesce(label, "prediction_label"),
+    return with_normalized(rows, "prediction_label", positive, negative).withColumns({
+        "prediction": F.coalesce("prediction", "prediction_label"),
         "api_success": F.coalesce("api_success", F.lit(False)),
         "attempts_made": F.coalesce("attempts_made", F.lit(0)),
     }).withColumn("correct", is_correct("api_success", "prediction", "ground_truth"))

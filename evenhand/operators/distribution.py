@@ -26,6 +26,11 @@ def group_sizes(cube: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     return with_share(cube.groupBy(*by, GROUP).agg(F.sum("n").alias("count")), by)
 
 
+def largest_first(counts: DataFrame, *ties: str) -> DataFrame:
+    """By falling count, ties by name: the order reports list groups and labels in."""
+    return counts.orderBy(F.desc("count"), *ties)
+
+
 def class_distributions(cube: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Count and share of each label per group, for truths and for predictions."""
     keys = [*by, GROUP, "kind"]

@@ -79,13 +79,18 @@ def long_metrics(frame: DataFrame, by: Sequence[str] = BY, names: Sequence[str]
 MetricFunction = Callable[[pd.Series, pd.Series, pd.Series], float]
 
 
+OTHER = "(other)"
+
+
 def custom_metrics(
-    cube: DataFrame, functions: Mapping[str, MetricFunction], by: Sequence[str] = BY
+    cube: DataFrame, functions: Mapping[str, MetricFunction], classes: Sequence[str], by: Sequence[str] = BY
 ) -> DataFrame:
     """User metrics as long rows: ``fn(y_true, y_pred, sample_weight) -> float``.
 
-    A function sees the cells of a group (a row per pair of labels with its count as
-    weight), never the group's rows; so its input does not grow with the data.
+    A function sees the cells of a group (a row per pair of labels, its count as the
+    weight), never the group's rows. Labels that are not among ``classes``, such as
+    stray answers of a model, count as one label. So k classes make at most (k + 1)^2
+    rows, however large the group is.
     """
 
     def udf(fn: MetricFunction) -> Callable[..., Column]:
@@ -95,9 +100,13 @@ def custom_metrics(
 
         return evaluate
 
+    labels = [F.when(F.col(c).isin(*classes), F.col(c)).otherwise(OTHER).alias(c) for c in CELL[1:]]
+    cells = cube.select(*by, GROUP, *labels, "n")
     aggregates = [udf(fn)("ground_truth", "prediction", "n").alias(name) for name, fn in functions.items()]
-    per_group = cube.groupBy(*by, GROUP).agg(*aggregates).withColumn("level", F.lit(PER_GROUP))
-    cells = cube.groupBy(*by, *CELL[1:]).agg(F.sum("n").alias("n"))
-    overall = cells.groupBy(*by).agg(*aggregates).withColumn("level", F.lit(OVERALL))
-    both = per_group.unionByName(overall, allowMissingColumns=True)
+
+    def evaluated(keys: Sequence[str], level: str) -> DataFrame:
+        counts = cells.groupBy(*keys, *CELL[1:]).agg(F.sum("n").alias("n"))
+        return counts.groupBy(*keys).agg(*aggregates).withColumn("level", F.lit(level))
+
+    both = evaluated([*by, GROUP], PER_GROUP).unionByName(evaluated(by, OVERALL), allowMissingColumns=True)
     return long_metrics(both, by, list(functions))

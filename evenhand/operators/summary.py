@@ -11,9 +11,9 @@ from .distribution import class_distributions, totals
 from .fairness import gaps, group_rates, parity
 from .metrics import GROUP, METRICS, OVERALL, PER_GROUP, long_metrics, metric_frame
 
-# A document lists its groups inline up to this many. Past it the maps by group are
-# NULL and the long tables, which hold every group, are the record.
-MAX_INLINE_GROUPS = 100_000
+# A document lists its groups and their labels inline up to this many entries. Past it
+# the maps by group are NULL and the long tables, which hold all of it, are the record.
+MAX_INLINE_ENTRIES = 100_000
 
 _KEY = BY[0]
 
@@ -31,7 +31,7 @@ def _scores() -> Column:
 
 def summarize(
     cube: DataFrame, experiments: DataFrame, positive: str | None = None,
-    max_inline_groups: int = MAX_INLINE_GROUPS,
+    max_inline_entries: int = MAX_INLINE_ENTRIES,
 ) -> DataFrame:
     """One summary document per experiment, on ``schemas.SUMMARY``.
 
@@ -59,9 +59,11 @@ def summarize(
     odds = parity(rates).select(_KEY, F.struct(
         "demographic_parity_difference", "equalized_odds_difference").alias("binary_metrics"))
 
-    inline = size.where(F.col("num_groups") <= max_inline_groups).select(_KEY, "total_samples")
+    shares = class_distributions(cube)
+    entries = shares.groupBy(_KEY).agg(F.count(F.lit(1)).alias("_entries"))
+    inline = size.join(entries.where(F.col("_entries") <= max_inline_entries), _KEY).select(_KEY, "total_samples")
     share = F.struct("count", "percentage")
-    labels = class_distributions(cube.join(inline, _KEY, "left_semi")).groupBy(_KEY, GROUP).agg(*[
+    labels = shares.join(inline, _KEY, "left_semi").groupBy(_KEY, GROUP).agg(*[
         _entries("label", F.when(F.col("kind") == kind, share)).alias(kind)
         for kind in ("ground_truth", "predictions")
     ])

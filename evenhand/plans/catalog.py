@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.describe import describe_row, prompt_columns
-from ..functions.labels import age_bucket, decode, group_key, normalize_label, recode, threshold_label
+from ..functions.labels import age_bucket, decode, group_key, normalize_label, recode, threshold_label, with_normalized
 from ..functions.responses import classify_attempts, parse_responses
 from ..functions.text import python_text, record_id
 from ..operators.attempts import RECORD, reduce_attempts, to_predictions
@@ -21,7 +21,7 @@ from ..operators.fairness import gaps, group_rates, parity
 from ..operators.metrics import METRICS, custom_metrics, long_metrics, metric_frame
 from ..operators.prepare import analysis_set, features_except, with_targets
 from ..operators.resume import remaining, with_done
-from ..operators.runs import batch_status, dataset_rollup, experiment_matrix, progress
+from ..operators.runs import batch_status, completed, dataset_rollup, experiment_matrix, progress
 from ..operators.split import capped_sample, stratified_test_split
 from ..operators.summary import flatten_summary, summarize
 from ..sources import sinks
@@ -145,7 +145,7 @@ def custom_metric(spark: SparkSession, d: str) -> DataFrame:
         chance = (true * said.reindex(true.index).fillna(0)).sum() / (n * n)
         return (seen - chance) / (1 - chance)
 
-    return rounded(by_sums.unionByName(custom_metrics(cube, {"kappa": kappa})), "value")
+    return rounded(by_sums.unionByName(custom_metrics(cube, {"kappa": kappa}, ("yes", "no"))), "value")
 
 
 # --- predictions tables -------------------------------------------------------
@@ -172,6 +172,11 @@ def analysis_totals(spark: SparkSession, d: str) -> DataFrame:
     return totals(confusion_cube(analysis_set(b.doc_predictions(spark, d))))
 
 
+@query
+def confusion_counts(spark: SparkSession, d: str) -> DataFrame:
+    return confusion_cube(analysis_set(b.doc_predictions(spark, d)))
+
+
 @query
 def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     rows = compare_cube(b.loan_cube(spark, d), "yes").withColumn("timestamp", F.lit(STAMP))
@@ -373,8 +378,8 @@ def backoff_budget(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def normalize_priority(spark: SparkSession, d: str) -> DataFrame:
-    return b.table(spark, d, "orders").select(
-        "o_orderkey", normalize_label("o_orderpriority", "Urgent", "not_specified").alias("prediction"))
+    orders = b.table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    return with_normalized(orders, "o_orderpriority", "Urgent", "not_specified").drop("o_orderpriority")
 
 
 @query
@@ -468,6 +473,11 @@ def run_rollup(spark: SparkSession, d: str) -> DataFrame:
         "comparable")
 
 
+@query
+def completed_runs(spark: SparkSession, d: str) -> DataFrame:
+    return completed(b.run_table(spark, d))
+
+
 @query
 def run_status(spark: SparkSession, d: str) -> DataFrame:
     return rounded(batch_status(b.run_table(spark, d)), "success_rate")

@@ -160,6 +160,8 @@ SELECT experiment_id, 'prediction' AS kind, prediction AS label, count(*) AS "co
   WHERE prediction IS NOT NULL GROUP BY ALL
 UNION ALL SELECT experiment_id, 'ground_truth', ground_truth, count(*) FROM predictions
   WHERE ground_truth IS NOT NULL GROUP BY ALL"""
+ORACLES["confusion_counts"] = f"""WITH {PREDICTIONS}
+SELECT experiment_id, sensitive_feature, ground_truth, prediction, count(*) AS n FROM analysed GROUP BY ALL"""
 ORACLES["analysis_totals"] = f"""WITH {PREDICTIONS}
 SELECT experiment_id, count(*) AS total_samples, count(DISTINCT sensitive_feature) AS num_groups
 FROM analysed GROUP BY experiment_id"""
@@ -444,6 +446,9 @@ rollup_ AS (SELECT dataset, count(*) FILTER (status = 'completed') AS completed_
   coalesce(string_agg(experiment_id, ',' ORDER BY experiment_id) FILTER (status = 'completed'), '') AS experiment_ids,
   string_agg(model || ':' || status, ',' ORDER BY model) AS results FROM runs GROUP BY dataset)"""
 ORACLES["run_rollup"] = f"WITH {_RUNS} SELECT *, completed_models > 1 AS comparable FROM rollup_"
+ORACLES["completed_runs"] = """SELECT left(md5(o_orderpriority || '_' || o_orderstatus || '_r1'), 8) AS experiment_id,
+  o_orderpriority AS dataset, o_orderstatus AS model, 'completed' AS status, count(*) AS n FROM orders
+GROUP BY o_orderpriority, o_orderstatus HAVING avg(o_totalprice) < 251000"""
 ORACLES["run_status"] = f"""WITH {_RUNS} SELECT count(*) AS total_experiments,
   count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status <> 'completed') AS failed,
   round(count(*) FILTER (status = 'completed') * 100.0::DOUBLE / count(*), 6) AS success_rate FROM runs"""

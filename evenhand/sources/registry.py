@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,12 +78,14 @@ def load_dataset(
     return Loaded(test, loaded.feature_columns, loaded.config)
 
 
-def datasets_table(spark: SparkSession) -> DataFrame:
-    """The registry as a dimension table."""
+def datasets_table(spark: SparkSession, names: Sequence[str] | None = None) -> DataFrame:
+    """The registry as a dimension table: all of it, or the named datasets in it.
+    An unknown name stops the run."""
+    picked = [dataset_config(n) for n in names] if names is not None else [c for c, _ in DATASETS.values()]
     rows = [
         (c.key, c.name, c.dataset_type, list(c.sensitive_features), c.target_column,
          c.positive_class, c.negative_class, c.task_description)
-        for c, _ in DATASETS.values()
+        for c in picked
     ]
     return spark.createDataFrame(
         rows, "dataset_name string, name string, dataset_type string, sensitive_features array<string>, "

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from evenhand.operators.compare import compare_cube, compare_summaries, pick_experiments
 from evenhand.operators.confusion import confusion_cube, confusion_cube_wide
 from evenhand.operators.distribution import (
-    class_distributions, group_sizes, label_counts, prediction_summary, totals)
+    class_distributions, group_sizes, label_counts, largest_first, prediction_summary, totals)
 from evenhand.operators.fairness import gaps, group_rates, parity
 from evenhand.operators.metrics import METRICS, custom_metrics, long_metrics, metric_frame
 from evenhand.operators.prepare import analysis_set
@@ -134,6 +134,18 @@ def test_distributions(spark):
     assert [(r["label"], r["count"], r["percentage"]) for r in a_said] == [("bad", 2, 50.0), ("good", 2, 50.0)]
 
 
+def test_sizes_largest_first(spark):
+    data = [(g, "x", "x") for g in "bbaacd"]
+    sizes = largest_first(group_sizes(confusion_cube(rows(spark, data))), "sensitive_feature")
+    assert [(r.sensitive_feature, r["count"]) for r in sizes.collect()] == [("a", 2), ("b", 2), ("c", 1), ("d", 1)]
+
+
+def test_stray_labels_count_as_one(spark):
+    data = [("a", "good", f"stray {i}") for i in range(100)] + [("a", "good", "good")]
+    seen = custom_metrics(confusion_cube(rows(spark, data)), {"cells": lambda t, p, w: len(t)}, ("good", "bad"))
+    assert {r.value for r in seen.collect()} == {2.0}
+
+
 def test_wide_cube_equals_row_cube(spark):
     df = spark.createDataFrame([(g, t, p, "bad") for g, t, p in HAND], "g string, t string, p string, q string")
     wide = confusion_cube_wide(df, F.col("g"), F.col("t"), {"m": F.col("p"), "always": F.col("q")})
@@ -147,7 +159,7 @@ def test_custom_function_sees_cells(spark):
     def error_rate(truth, prediction, weight):
         return weight[truth != prediction].sum() / weight.sum()
 
-    got = custom_metrics(confusion_cube(rows(spark, HAND * 50)), {"error": error_rate})
+    got = custom_metrics(confusion_cube(rows(spark, HAND * 50)), {"error": error_rate}, ("good", "bad"))
     assert {r.sensitive_feature: round(r.value, 6) for r in got.collect()} == {"a": 0.5, "b": 0.333333, None: 0.428571}
     assert gaps(got).first().difference == pytest.approx(1 / 6)
 
@@ -219,7 +231,7 @@ def test_summary_document(spark):
 
 def test_summary_leaves_out_maps_of_too_many_groups(spark):
     config = experiments(spark, "e").withColumn("positive_class", F.lit("good"))
-    d = summarize(confusion_cube(rows(spark, HAND)), config, max_inline_groups=1).first()
+    d = summarize(confusion_cube(rows(spark, HAND)), config, max_inline_entries=3).first()
     assert d.group_sizes is None and d.metrics_by_group is None and d.num_groups == 2
     assert d.fairness_differences["accuracy"] == pytest.approx(1 / 6)
 

@@ -174,6 +174,9 @@ def test_row_ids_across_splits_of_a_file(spark, tmp_path):
 def test_registry(spark, tmp_path):
     with pytest.raises(ValueError, match="Unknown dataset: nope"):
         dataset_config("nope")
+    with pytest.raises(ValueError, match="Unknown dataset"):
+        datasets_table(spark, ["compas", "nope"])
+    assert [r.dataset_name for r in datasets_table(spark, ["heritage_health"]).collect()] == ["heritage_health"]
     assert models_table(spark).count() == len(fv.MODELS)
     named = with_dataset(spark.createDataFrame([("compas",), ("none",)], "dataset_name string"))
     assert {r.dataset_name: r.positive_class for r in named.collect()} == {"compas": "low_risk", "none": None}
