@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import group_key, is_correct, recode
 from ..functions.text import experiment_id, record_id
-from ..operators.confusion import confusion_cube, confusion_cube_wide
+from ..operators.confusion import confusion_cube_wide
 
 THRESHOLDS = {"short": 800, "long": 1500}
 
@@ -63,11 +63,10 @@ def length_rule(limit: int) -> Column:
 
 
 def fine_cube(spark: SparkSession, folder: str) -> DataFrame:
-    """Many small groups: language with source."""
-    rows = labelled_docs(spark, folder).select(
-        F.lit("short").alias("experiment_id"), group_key(F.col("lang"), F.col("source")).alias("sensitive_feature"),
-        "ground_truth", length_rule(800).alias("prediction"))
-    return confusion_cube(rows)
+    """Many small groups, language with source, under two length rules."""
+    return confusion_cube_wide(
+        labelled_docs(spark, folder), group_key(F.col("lang"), F.col("source")), F.col("ground_truth"),
+        {name: length_rule(limit) for name, limit in THRESHOLDS.items()})
 
 
 def doc_predictions(spark: SparkSession, folder: str) -> DataFrame:

@@ -79,7 +79,7 @@ def fairness_gaps(spark: SparkSession, d: str) -> DataFrame:
 def best_worst_group(spark: SparkSession, d: str) -> DataFrame:
     out = gaps(long_metrics(metric_frame(b.fine_cube(spark, d))))
     return rounded(out, "best_value", "worst_value").select(
-        "metric", "best_group", "best_value", "worst_group", "worst_value")
+        "experiment_id", "metric", "best_group", "best_value", "worst_group", "worst_value")
 
 
 @query

@@ -42,8 +42,9 @@ pairs AS (SELECT 'careful' AS e, g, t, careful AS p FROM credit
   UNION ALL SELECT 'taxwise', g, t, taxwise FROM credit)"""
 
 FINE_ROWS = DOCS + """,
-pairs AS (SELECT 'short' AS e, lang || '_' || source AS g, truth AS t,
-  CASE WHEN n_chars >= 800 THEN 'good' ELSE 'bad' END AS p FROM docs)"""
+limits(e, lim) AS (VALUES ('short', 800), ('long', 1500)),
+pairs AS (SELECT e, lang || '_' || source AS g, truth AS t,
+  CASE WHEN n_chars >= lim THEN 'good' ELSE 'bad' END AS p FROM docs, limits)"""
 
 LANG_ROWS = DOCS + """,
 pairs AS (SELECT 'short' AS e, lang AS g, truth AS t,
@@ -117,7 +118,7 @@ ORACLES["fairness_gaps"] = f"""WITH {LOAN_ROWS}, {FRAME}
 SELECT e AS experiment_id, metric, num_groups, round(difference, 6) AS difference, round(ratio, 6) AS ratio,
   round(best_value - worst_value, 6) AS gap, ratio >= 0.8::DOUBLE AS meets_four_fifths FROM gap"""
 ORACLES["best_worst_group"] = f"""WITH {FINE_ROWS}, {FRAME}
-SELECT metric, best_group, round(best_value, 6) AS best_value, worst_group, round(worst_value, 6) AS worst_value FROM gap"""
+SELECT e AS experiment_id, metric, best_group, round(best_value, 6) AS best_value, worst_group, round(worst_value, 6) AS worst_value FROM gap"""
 ORACLES["selection_rates"] = f"""WITH {LOAN_ROWS}, {_rates("'yes'")}
 SELECT e AS experiment_id, g AS sensitive_feature, n, positives, negatives, selected, true_positives,
   false_positives, {_round('selection_rate', 'tpr', 'fpr')} FROM shares"""

@@ -77,4 +77,9 @@ def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType, skip_un
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     """Summary documents, one JSON object per line, on the explicit schema."""
-    return spark.read.schema(schemas.SUMMARY).json(path)
+    return spark.read.schema(schemas.SUMMARY).json(path).select(schemas.SUMMARY.fieldNames())
+
+
+def read_configs(spark: SparkSession, path: str) -> DataFrame:
+    """Experiment configurations on the explicit schema."""
+    return spark.read.schema(schemas.EXPERIMENTS).json(path).select(schemas.EXPERIMENTS.fieldNames())

@@ -31,7 +31,7 @@ class Layout:
 
 
 def write_predictions(predictions: DataFrame, path: str, mode: str = "append") -> None:
-    """Ten-column predictions as Parquet by experiment. Used for analysis sets too."""
+    """Ten-column predictions as Parquet by experiment."""
     conform(predictions).write.mode(mode).partitionBy("experiment_id").parquet(path)
 
 
@@ -44,20 +44,31 @@ def append_checkpoint(predictions: DataFrame, path: str) -> None:
     write_predictions(predictions, path)
 
 
+def _replace_partitions(rows: DataFrame, path: str, form: str, *keys: str) -> None:
+    """Writes the partitions the rows belong to; others at the path stay."""
+    rows.write.format(form).mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
+        "header", True).partitionBy(*keys).save(path)
+
+
+def write_analysis(analysed: DataFrame, path: str) -> None:
+    """The rows behind an experiment's metrics; a new analysis replaces its own."""
+    _replace_partitions(conform(analysed), path, "parquet", "experiment_id")
+
+
 def write_configs(experiments: DataFrame, path: str) -> None:
-    experiments.write.mode("append").json(path)
+    _replace_partitions(experiments, path, "json", "dataset_name", "experiment_id")
 
 
 def write_summaries(documents: DataFrame, path: str) -> None:
-    documents.write.mode("append").json(path)
+    """Summary documents as JSON lines, a folder per dataset and experiment."""
+    _replace_partitions(documents, path, "json", "dataset", "experiment_id")
 
 
 def write_comparison(comparison: DataFrame, path: str) -> None:
     """Comparison rows as CSV by dataset; a new one replaces its own dataset's only."""
-    comparison.write.mode("overwrite").option("header", True).option(
-        "partitionOverwriteMode", "dynamic").partitionBy("dataset").csv(path)
+    _replace_partitions(comparison, path, "csv", "dataset")
 
 
 def write_batch_summary(summary: DataFrame, path: str, stamp: str) -> None:
     """Batch, master and progress summaries as JSON, by the (path-safe) time of the run."""
-    summary.withColumn("stamp", path_safe(F.lit(stamp))).write.mode("append").partitionBy("stamp").json(path)
+    _replace_partitions(summary.withColumn("stamp", path_safe(F.lit(stamp))), path, "json", "stamp")

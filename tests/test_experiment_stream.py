@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 from evenhand import schemas
 from evenhand.functions.responses import classify_attempts
 from evenhand.operators.attempts import reduce_attempts
+from evenhand.functions.fixed_values import MODELS
 from evenhand.plans.audit import audit
+from evenhand.plans.batch import compare_stored, reaudit, run_batch
 from evenhand.plans.experiment import rule_classifier, run_experiment
+from evenhand.sources.files import read_summaries
 from evenhand.sources.registry import load_dataset
 from evenhand.sources.sinks import Layout
 from evenhand.streaming.scoring import drain, latest, outcome_stream, response_stream, running_summary
@@ -77,6 +80,35 @@ def test_experiment_in_rounds(spark, tmp_path):
     assert parts.count() == 20 and collect(parts, "record_id") == collect(whole, "record_id")
 
 
+def test_batch_of_experiments(spark, tmp_path):
+    """One model raises: its run fails, the others are audited and compared."""
+    paths, layout = {"german_credit": credit_files(spark, tmp_path / "in", 100)}, Layout(str(tmp_path / "out"))
+
+    def maker(model):
+        def broken():
+            raise RuntimeError("no such model")
+
+        lenient = rule_classifier(lambda prompt: "good")
+        return {"LLAMA_8B": rule(), "LLAMA_70B": lenient}.get(names[model], broken)
+
+    names = {v[0]: k for k, v in MODELS.items()}
+    runs = {names[r.model]: r for r in run_batch(spark, paths, "s1", layout, maker).collect()}
+    assert [runs[k].status for k in ("LLAMA_8B", "LLAMA_70B", "LLAMA_405B")] == ["completed", "completed", "failed"]
+    assert "no such model" in runs["LLAMA_405B"].error and runs["LLAMA_8B"].successful_predictions == 20
+    assert runs["LLAMA_70B"].accuracy == 0.7
+    ids = [runs["LLAMA_70B"].experiment_id, runs["LLAMA_405B"].experiment_id, runs["LLAMA_8B"].experiment_id]
+    compared = compare_stored(spark, layout, ids).collect()
+    assert [r.experiment_id for r in compared] == [ids[0], ids[2]] and compared[0].accuracy == 0.7
+    assert compared[0].demographic_parity_diff == 0.0
+    stored = spark.read.option("header", True).csv(layout.comparisons)
+    assert {r.experiment_id for r in stored.collect()} == {ids[0], ids[2]}
+    assert spark.read.json(f"{layout.runs}/status").first().success_rate > 66
+    assert reaudit(spark, layout).totals.count() == 2
+    again = {names[r.model]: r.status for r in run_batch(spark, paths, "s1", layout, lambda m: rule()).collect()}
+    assert set(again.values()) == {"completed"}
+    assert read_summaries(spark, layout.summaries).count() == 3
+
+
 def response_rows():
     rows = []
     for i in range(30):

@@ -12,7 +12,7 @@ from evenhand.operators.runs import (
     batch_status, completed, dataset_rollup, experiment_matrix, progress, run_results, without_alias)
 from evenhand.sources import sinks
 from evenhand.sources.files import (
-    read_checkpoint, read_csv, read_parts, read_predictions, read_split, read_summaries, read_survey, with_row_id)
+    read_checkpoint, read_configs, read_csv, read_parts, read_predictions, read_split, read_summaries, read_survey, with_row_id)
 from evenhand.sources.registry import (
     DATASETS, DatasetConfig, dataset_config, datasets_table, load_dataset, models_table, register, with_dataset)
 
@@ -134,7 +134,9 @@ def test_batch_summary_and_configs(spark, tmp_path):
     sinks.write_batch_summary(spark.createDataFrame([(1, 2)], "completed int, failed int"), layout.runs, "2024-01-01T01:02:03.4")
     assert spark.read.json(layout.runs).first().stamp == "2024-01-01T01-02-03_4"
     sinks.write_configs(experiment_matrix(datasets_table(spark), "s"), layout.configs)
-    assert spark.read.schema(schemas.EXPERIMENTS).json(layout.configs).count() == 21
+    assert read_configs(spark, layout.configs).count() == 21
+    sinks.write_configs(experiment_matrix(datasets_table(spark, ["compas"]), "s"), layout.configs)
+    assert read_configs(spark, layout.configs).count() == 21
 
 
 def test_summaries_read_by_schema(spark, tmp_path):
