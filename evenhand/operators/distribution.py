@@ -47,6 +47,11 @@ def totals(cube: DataFrame, by: Sequence[str] = BY) -> DataFrame:
         F.sum("n").alias("total_samples"), F.count(F.lit(1)).alias("num_groups"))
 
 
+def approximate_groups(predictions: DataFrame, by: Sequence[str] = BY, error: float = 0.02) -> DataFrame:
+    """Number of groups per experiment by sketch, where a count of the keys is too much."""
+    return predictions.groupBy(*by).agg(F.approx_count_distinct(GROUP, error).alias("num_groups"))
+
+
 def _rows(condition: Column) -> Column:
     return F.count_if(condition)
 

@@ -70,11 +70,15 @@ def _last_taken(
         )
         cut = _one_per_class(cut, bounded, "cuts")
         need = cut.select("stratum", "k")
+    # copies of a key are counted first, so that many of them are one row to rank
     edge = hashed.withColumn("prefix", F.left("h", F.lit(DIGITS * levels))).join(
-        cut, ["stratum", "prefix"])
-    by_hash = Window.partitionBy("stratum", "prefix").orderBy("h", "key")
-    return edge.withColumn("_rank", F.row_number().over(by_hash)).where(
-        F.col("_rank") == F.col("k")).select("stratum", "h", "key")
+        cut, ["stratum", "prefix"]).groupBy("stratum", "prefix", "h", "key", "k").agg(
+        F.count(F.lit(1)).alias("n"))
+    by_hash = Window.partitionBy("stratum", "prefix").orderBy("h", "key").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return edge.withColumn("_end", F.sum("n").over(by_hash)).where(
+        (F.col("_end") >= F.col("k")) & (F.col("_end") - F.col("n") < F.col("k"))
+    ).select("stratum", "h", "key")
 
 
 def _histogram(hashed: DataFrame, digits: int) -> DataFrame:
@@ -93,7 +97,8 @@ def stratified_test_split(
 ) -> DataFrame:
     """The test rows of an exact stratified split.
 
-    ``key`` must be unique. Rows without a stratum are left out. ``classes`` names
+    ``key`` is unique; should it not be, copies of a key stay together, and the last
+    key taken may exceed the size by its copies. Rows without a stratum are left out. ``classes`` names
     the strata where they are known: it bounds the table of cut points, which is
     then broadcast. Without it the cut points are written out, and Spark picks the
     join by the size it finds. ``levels`` adds narrow scans that each cut the
@@ -118,7 +123,9 @@ def capped_sample(
     levels: int = 1,
 ) -> DataFrame:
     """Exactly n rows by hash order, or all rows where there are no more than n."""
-    hashed = df.select(F.lit(0).alias("stratum"), hash_key(key, seed).alias("h"), F.col(key).alias("key"))
+    # one stratum; an empty prefix rather than a literal, so that joins on it stay equi-joins
+    hashed = df.select(hash_key(key, seed).alias("h"), F.col(key).alias("key")).withColumn(
+        "stratum", F.left("h", F.lit(0)))
     histogram = _histogram(hashed, DIGITS)
     quotas = histogram.groupBy("stratum").agg(F.lit(n).cast("long").alias("k"))
     last = _last_taken(hashed, histogram, quotas, levels, True).select(F.struct("h", "key"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.describe import describe_row, prompt_columns
-from ..functions.labels import age_bucket, decode, group_key, normalize_label, recode, threshold_label, with_normalized
+from ..functions.labels import age_bucket, decode, group_key, is_class, normalize_label, recode, threshold_label, with_normalized
 from ..functions.responses import classify_attempts, parse_responses
 from ..functions.text import python_text, record_id
 from ..operators.attempts import RECORD, reduce_attempts, to_predictions
@@ -38,7 +38,8 @@ STAMP = "2024-01-01T00:00:00"
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    """Registers a query by its name; a final '_' tells it from the operator it runs."""
+    QUERIES[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -122,12 +123,12 @@ def parity_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def group_size_shares(spark: SparkSession, d: str) -> DataFrame:
+def group_sizes_(spark: SparkSession, d: str) -> DataFrame:
     return rounded(group_sizes(b.fine_cube(spark, d)), "percentage")
 
 
 @query
-def class_distribution(spark: SparkSession, d: str) -> DataFrame:
+def class_distributions_(spark: SparkSession, d: str) -> DataFrame:
     return rounded(class_distributions(b.loan_cube(spark, d)), "percentage")
 
 
@@ -158,10 +159,18 @@ def analysis_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def prediction_totals(spark: SparkSession, d: str) -> DataFrame:
+def prediction_summary_(spark: SparkSession, d: str) -> DataFrame:
     return rounded(prediction_summary(b.doc_predictions(spark, d)), "accuracy", "mean_attempts")
 
 
+@query
+def label_indicators(spark: SparkSession, d: str) -> DataFrame:
+    """Truth and prediction as 0/1 of the positive class; a missing label is 0."""
+    return b.doc_predictions(spark, d).select(
+        "experiment_id", "record_id", is_class("ground_truth", "good").alias("truth"),
+        is_class("prediction", "good").alias("predicted"))
+
+
 @query
 def prediction_label_counts(spark: SparkSession, d: str) -> DataFrame:
     return label_counts(b.doc_predictions(spark, d))
@@ -235,13 +244,13 @@ def _age_range() -> Column:
 
 
 @query
-def age_groups(spark: SparkSession, d: str) -> DataFrame:
+def age_bucket_(spark: SparkSession, d: str) -> DataFrame:
     return b.table(spark, d, "orders").select(
         "o_orderkey", _age_range().alias("age"), age_bucket(_age_range()).alias("age_group"))
 
 
 @query
-def composite_group(spark: SparkSession, d: str) -> DataFrame:
+def group_key_(spark: SparkSession, d: str) -> DataFrame:
     """Composite key with a missing part: it shows as 'nan'."""
     customers = b.table(spark, d, "customer")
     nations = b.table(spark, d, "nation")
@@ -338,7 +347,7 @@ def stratified_split_open(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def capped_orders(spark: SparkSession, d: str) -> DataFrame:
+def capped_sample_(spark: SparkSession, d: str) -> DataFrame:
     rows = b.table(spark, d, "orders").select(record_id("o_orderkey").alias("record_id"), "o_totalprice")
     return capped_sample(rows)
 
@@ -364,7 +373,7 @@ def reduce_event_attempts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def reduce_turn_attempts(spark: SparkSession, d: str) -> DataFrame:
+def reduce_attempts_(spark: SparkSession, d: str) -> DataFrame:
     return reduce_attempts(classify_attempts(b.turns_as_attempts(b.table(spark, d, "conversations"))))
 
 
@@ -377,7 +386,7 @@ def backoff_budget(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def normalize_priority(spark: SparkSession, d: str) -> DataFrame:
+def normalize_label_(spark: SparkSession, d: str) -> DataFrame:
     orders = b.table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
     return with_normalized(orders, "o_orderpriority", "Urgent", "not_specified").drop("o_orderpriority")
 
@@ -453,7 +462,7 @@ def checkpoint_store(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def experiment_plan(spark: SparkSession, d: str) -> DataFrame:
+def experiment_matrix_(spark: SparkSession, d: str) -> DataFrame:
     """The default models over the sources of the documents, with their test sizes."""
     sources = b.table(spark, d, "documents").groupBy(F.col("source").alias("dataset_name")).agg(
         F.count(F.lit(1)).alias("samples"))

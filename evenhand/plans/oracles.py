@@ -134,10 +134,10 @@ pairs AS (SELECT 'two' AS e, g, CASE WHEN s = 'F' THEN 'F' ELSE 'O' END AS t, p
   UNION ALL SELECT 'three', g, s, p FROM base UNION ALL SELECT 'one', g, 'F', p FROM base), {_rates("'F'")}
 SELECT e AS experiment_id, "binary", round(dp, 6) AS demographic_parity_difference,
   round(eo, 6) AS equalized_odds_difference FROM parity"""
-ORACLES["group_size_shares"] = f"""WITH {FINE_ROWS}
+ORACLES["group_sizes"] = f"""WITH {FINE_ROWS}
 SELECT e AS experiment_id, g AS sensitive_feature, count(*) AS "count",
   round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY e), 6) AS percentage FROM pairs GROUP BY e, g"""
-ORACLES["class_distribution"] = f"""WITH {LOAN_ROWS},
+ORACLES["class_distributions"] = f"""WITH {LOAN_ROWS},
 kinds AS (SELECT e, g, 'ground_truth' AS kind, t AS label FROM pairs UNION ALL SELECT e, g, 'predictions', p FROM pairs)
 SELECT e AS experiment_id, g AS sensitive_feature, kind, label, count(*) AS "count",
   round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY e, g, kind), 6) AS percentage
@@ -153,9 +153,11 @@ ORACLES["analysis_filter"] = f"""WITH {PREDICTIONS}
 SELECT experiment_id, record_id, sensitive_feature, ground_truth, prediction, correct FROM analysed"""
 _TOTALS = """count(*) AS total_predictions, count(*) FILTER (api_success) AS successful_predictions,
   count(*) FILTER (NOT api_success) AS failed_predictions,
-  round(count(*) FILTER (correct) / nullif(count(*) FILTER (api_success), 0), 6) AS accuracy,
+  round(coalesce(count(*) FILTER (correct) / nullif(count(*) FILTER (api_success), 0), 0), 6) AS accuracy,
   round(avg(attempts_made), 6) AS mean_attempts"""
-ORACLES["prediction_totals"] = f"WITH {PREDICTIONS} SELECT experiment_id, {_TOTALS} FROM predictions GROUP BY experiment_id"
+ORACLES["prediction_summary"] = f"WITH {PREDICTIONS} SELECT experiment_id, {_TOTALS} FROM predictions GROUP BY experiment_id"
+ORACLES["label_indicators"] = f"""WITH {PREDICTIONS} SELECT experiment_id, record_id, (ground_truth = 'good')::INTEGER AS truth,
+  coalesce(prediction = 'good', false)::INTEGER AS predicted FROM predictions"""
 ORACLES["prediction_label_counts"] = f"""WITH {PREDICTIONS}
 SELECT experiment_id, 'prediction' AS kind, prediction AS label, count(*) AS "count" FROM predictions
   WHERE prediction IS NOT NULL GROUP BY ALL
@@ -208,9 +210,9 @@ ORACLES["threshold_target"] = """SELECT c_custkey,
   CASE WHEN c_acctbal > 5000 THEN 'high_income' ELSE 'low_income' END AS ground_truth FROM customer"""
 _AGE = "'[' || (floor(o_totalprice / 50000) * 10)::BIGINT || '-' || (floor(o_totalprice / 50000) * 10 + 10)::BIGINT || ')'"
 _SENIOR = "CASE WHEN age LIKE '%70%' OR age LIKE '%80%' OR age LIKE '%90%' THEN '>=65' ELSE '<65' END"
-ORACLES["age_groups"] = f"""WITH a AS (SELECT o_orderkey, {_AGE} AS age FROM orders)
+ORACLES["age_bucket"] = f"""WITH a AS (SELECT o_orderkey, {_AGE} AS age FROM orders)
 SELECT o_orderkey, age, {_SENIOR} AS age_group FROM a"""
-ORACLES["composite_group"] = """SELECT c_custkey,
+ORACLES["group_key"] = """SELECT c_custkey,
   n_name || '_' || coalesce(CASE WHEN c_acctbal >= 0 THEN c_mktsegment END, 'nan') AS sensitive_feature
 FROM customer JOIN nation ON c_nationkey = n_nationkey"""
 _BRANDS = " ".join(f"WHEN 'Brand#{i}' THEN 'house brand {i}'" for i in range(1, 13))
@@ -271,7 +273,7 @@ ORACLES["stratified_split"] = f"""WITH samples AS (SELECT {_rec('o_orderkey')} A
 SELECT record_id, ground_truth FROM taken"""
 ORACLES["stratified_split_open"] = f"""WITH samples AS (SELECT {_rec('p_partkey')} AS record_id, p_brand AS ground_truth
   FROM part), {_split(0.15, 7)} SELECT record_id, ground_truth FROM taken"""
-ORACLES["capped_orders"] = f"""SELECT {_rec('o_orderkey')} AS record_id, o_totalprice FROM orders
+ORACLES["capped_sample"] = f"""SELECT {_rec('o_orderkey')} AS record_id, o_totalprice FROM orders
 ORDER BY md5({_rec('o_orderkey')} || '_42'), 1 LIMIT 5000"""
 
 # --- answers -----------------------------------------------------------------------------
@@ -388,8 +390,8 @@ reduced AS (SELECT experiment_id, record_id, max(label) FILTER (attempt = made A
 ORACLES["classify_error"] = f"""WITH {_EVENTS}, {PARSE}, {TRIED}
 SELECT experiment_id, record_id, attempt, outcome, error_message, stops, wait_seconds FROM tried"""
 ORACLES["reduce_event_attempts"] = f"WITH {_EVENTS}, {PARSE}, {TRIED}, {REDUCED} SELECT * FROM reduced"
-ORACLES["reduce_turn_attempts"] = f"WITH {_TURNS}, {PARSE}, {TRIED}, {REDUCED} SELECT * FROM reduced"
-ORACLES["incremental_scoring"] = ORACLES["reduce_turn_attempts"]
+ORACLES["reduce_attempts"] = f"WITH {_TURNS}, {PARSE}, {TRIED}, {REDUCED} SELECT * FROM reduced"
+ORACLES["incremental_scoring"] = ORACLES["reduce_attempts"]
 ORACLES["backoff_budget"] = f"""WITH {_EVENTS}, {PARSE}, {TRIED}, {REDUCED}
 SELECT experiment_id, outcome, count(*) AS records, sum(attempts_made)::BIGINT AS attempts,
   sum(wait_seconds)::BIGINT AS wait_seconds FROM reduced GROUP BY ALL"""
@@ -407,7 +409,7 @@ def _normalized(label: str, positive: str, negative: str) -> str:
       WHEN contains({bare(x)}, {pb}) THEN {pos} WHEN contains({bare(x)}, {nb}) THEN {neg} ELSE {x} END"""
 
 
-ORACLES["normalize_priority"] = f"""SELECT o_orderkey,
+ORACLES["normalize_label"] = f"""SELECT o_orderkey,
   {_normalized('o_orderpriority', 'Urgent', 'not_specified')} AS prediction FROM orders"""
 ORACLES["normalize_part_names"] = f"""SELECT p_partkey, {_normalized('p_name', 'Red_Widget', 'BOLT')} AS prediction,
   {_normalized('p_brand', 'brand#1', 'brand#2')} AS brand FROM part"""
@@ -432,7 +434,7 @@ FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
 ORACLES["checkpoint_store"] = """SELECT 'long' AS experiment_id, count(*) AS "rows" FROM labels
 UNION ALL SELECT 'short', (SELECT count(*) FROM documents) UNION ALL SELECT 'left', 0"""
 _MODELS = ", ".join(f"({_quoted(fv.MODELS[m][0])})" for m in fv.DEFAULT_MODELS)
-ORACLES["experiment_plan"] = f"""WITH models(model_name) AS (VALUES {_MODELS}),
+ORACLES["experiment_matrix"] = f"""WITH models(model_name) AS (VALUES {_MODELS}),
 sources AS (SELECT source AS dataset_name, count(*) AS samples FROM documents GROUP BY 1)
 SELECT left(md5(dataset_name || '_' || model_name || '_2024-01-01T00:00:00'), 8) AS experiment_id, dataset_name, model_name,
   'together' AS api_provider, 'finance' AS dataset_type, 0.0::DOUBLE AS temperature, 2000 AS max_tokens,

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from evenhand.operators.compare import compare_cube, compare_summaries, pick_experiments
 from evenhand.operators.confusion import confusion_cube, confusion_cube_wide
 from evenhand.operators.distribution import (
-    class_distributions, group_sizes, label_counts, largest_first, prediction_summary, totals)
+    approximate_groups, class_distributions, group_sizes, label_counts, largest_first, prediction_summary, totals)
 from evenhand.operators.fairness import gaps, group_rates, parity
 from evenhand.operators.metrics import METRICS, custom_metrics, long_metrics, metric_frame
 from evenhand.operators.prepare import analysis_set
@@ -134,6 +134,11 @@ def test_distributions(spark):
     assert [(r["label"], r["count"], r["percentage"]) for r in a_said] == [("bad", 2, 50.0), ("good", 2, 50.0)]
 
 
+def test_approximate_groups(spark):
+    df = spark.range(5000).select(F.lit("e").alias("experiment_id"), (F.col("id") % 1000).cast("string").alias("sensitive_feature"))
+    assert approximate_groups(df).first().num_groups == pytest.approx(1000, rel=0.08)
+
+
 def test_sizes_largest_first(spark):
     data = [(g, "x", "x") for g in "bbaacd"]
     sizes = largest_first(group_sizes(confusion_cube(rows(spark, data))), "sensitive_feature")

@@ -78,6 +78,13 @@ def test_split_when_hashes_share_a_prefix(spark, monkeypatch):
     assert got == plain_split(rows, 0.2, 42)
 
 
+def test_copies_of_a_key_stay_together(spark):
+    rows = random_rows(300, 5) + [("copy", "good")] * 150
+    df = spark.createDataFrame(rows, "record_id string, ground_truth string")
+    got = [r.record_id for r in stratified_test_split(df, classes=("good", "bad")).collect()]
+    assert got.count("copy") in (0, 150) and len(got) >= 90
+
+
 def test_other_seed_takes_other_rows(spark):
     rows = random_rows(400, 4)
     df = spark.createDataFrame(rows, "record_id string, ground_truth string")
@@ -101,4 +108,4 @@ def test_wide_rows_are_not_shuffled(spark):
     for out in (stratified_test_split(df, classes=("a", "b")), capped_sample(df, 100)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "payload" in line]
-        assert "SortMergeJoin" not in plan
+        assert "SortMergeJoin" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
