@@ -19,7 +19,8 @@ def experiment_matrix(
 
     ``datasets`` has dataset_name and dataset_type. ``stamp`` stands for the run's
     time: the same stamp gives the same ids, so a run can be resumed. The models are
-    a short literal list unfolded per dataset, not a cross join.
+    a short literal list unfolded per dataset, not a cross join. Further columns of
+    ``datasets`` come last.
     """
     unknown = [m for m in models if m not in fv.MODELS]
     if unknown:
@@ -28,7 +29,8 @@ def experiment_matrix(
         F.struct(F.lit(fv.MODELS[m][0]).alias("model_name"), F.lit(provider or fv.MODELS[m][1]).alias("api_provider"))
         for m in models
     ]))
-    unfolded = datasets.select("dataset_name", "dataset_type", listed)
+    further = [c for c in datasets.columns if c not in ("dataset_name", "dataset_type")]
+    unfolded = datasets.select("*", listed)
     return unfolded.select(
         experiment_id(F.col("dataset_name"), F.col("model_name"), F.lit(stamp)).alias("experiment_id"),
         "dataset_name", "model_name", F.col("model_name").alias("model_size"), "api_provider", "dataset_type",
@@ -37,6 +39,7 @@ def experiment_matrix(
         F.lit(float(settings.get("test_size", fv.TEST_SIZE))).alias("test_size"),
         F.lit(int(settings.get("random_state", fv.RANDOM_STATE))).alias("random_state"),
         F.lit(stamp).alias("timestamp"),
+        *further,
     )
 
 

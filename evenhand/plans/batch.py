@@ -27,6 +27,7 @@ def run_batch(
     make_classifier: Callable[[str], Callable[[], Classifier]],
     models: Sequence[str] = fv.DEFAULT_MODELS,
     rounds: int = 1,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Runs every dataset of ``paths`` with every model and returns the run results.
 
@@ -34,13 +35,14 @@ def run_batch(
     and stops nothing. The same ``stamp`` resumes: finished records are not scored
     again. The loop goes over configurations, a handful; the rows stay in Spark.
     """
-    matrix = experiment_matrix(datasets_table(spark, list(paths)), stamp, models)
+    datasets = datasets_table(spark, list(paths)).select("dataset_name", "dataset_type")
+    matrix = experiment_matrix(datasets, stamp, models)
     sinks.write_configs(matrix, layout.configs)
     errors = {}
     for run in matrix.collect():
         try:
             run_experiment(spark, run.dataset_name, paths[run.dataset_name], run.model_name, stamp, layout,
-                           make_classifier(run.model_name), rounds=rounds)
+                           make_classifier(run.model_name), rounds=rounds, tasks=tasks)
         except Exception as error:  # a failed run is a result
             errors[run.experiment_id] = f"{type(error).__name__}: {str(error)[:2000]}"
     return conclude(spark, matrix, stamp, layout, errors)

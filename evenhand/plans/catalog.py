@@ -467,10 +467,8 @@ def experiment_matrix_(spark: SparkSession, d: str) -> DataFrame:
     sources = b.table(spark, d, "documents").groupBy(F.col("source").alias("dataset_name")).agg(
         F.count(F.lit(1)).alias("samples"))
     matrix = experiment_matrix(sources.withColumn("dataset_type", F.lit("finance")), STAMP)
-    return matrix.join(sources, "dataset_name").withColumn(
-        "test_rows", F.ceil(F.col("samples") * F.col("test_size")).cast("long")).select(
-        "experiment_id", "dataset_name", "model_name", "api_provider", "dataset_type", "temperature", "max_tokens",
-        "test_size", "random_state", "timestamp", "samples", "test_rows")
+    return matrix.drop("model_size").withColumn(
+        "test_rows", F.ceil(F.col("samples") * F.col("test_size")).cast("long"))
 
 
 @query

@@ -36,7 +36,7 @@ def prompts(described: DataFrame, config: DatasetConfig) -> DataFrame:
 
 def classify(
     prompted: DataFrame, make_classifier: Callable[[], Classifier], experiment: str, stamp: str,
-    max_attempts: int = fv.MAX_ATTEMPTS,
+    max_attempts: int = fv.MAX_ATTEMPTS, tasks: int | None = None,
 ) -> DataFrame:
     """Runs a user's classifier over the prompts, partition by partition.
 
@@ -44,8 +44,11 @@ def classify(
     there) and returns ``fn(system_prompt, user_prompt, record_id, max_attempts)``,
     which gives the fields of ``schemas.CLASSIFIED`` it knows. Truth and group pass
     through beside the answer, so nothing is joined back; rows stream in Arrow
-    batches and nothing is collected.
+    batches and nothing is collected. ``tasks`` spreads slow calls over more (or
+    fewer) partitions than the scan has.
     """
+    if tasks:
+        prompted = prompted.repartition(tasks)
     kept = [c for c in ("ground_truth", "sensitive_feature") if c in prompted.columns]
     answer = to_arrow_schema(schemas.CLASSIFIED)
     out = T.StructType([*schemas.CLASSIFIED.fields, *[T.StructField(c, T.StringType()) for c in kept]])
@@ -78,6 +81,7 @@ def run_experiment(
     spark: SparkSession, dataset: str, path: str, model: str, stamp: str, layout: sinks.Layout,
     make_classifier: Callable[[], Classifier] | None = None, responses: DataFrame | None = None,
     test_size: float = fv.TEST_SIZE, seed: int = fv.RANDOM_STATE, rounds: int = 1,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Loads, scores what the checkpoint lacks, appends it, and returns all predictions.
 
@@ -96,7 +100,7 @@ def run_experiment(
     else:
         prompted = prompts(Loaded(todo, loaded.feature_columns, config).described(), config)
         for part in _parts(prompted, rounds):
-            scored = classify(part, make_classifier, experiment, stamp)
+            scored = classify(part, make_classifier, experiment, stamp, tasks=tasks)
             sinks.append_checkpoint(
                 conform(judged(scored, config.positive_class, config.negative_class)), layout.checkpoints)
     return read_checkpoint(spark, layout.checkpoints).where(F.col("experiment_id") == experiment)

@@ -15,6 +15,7 @@ from ..functions.labels import age_bucket, group_key, recode, threshold_label
 from ..functions.text import python_text, record_id, ws_strip
 from ..operators.prepare import features_except, features_kept, member_of, to_samples, with_targets
 from ..operators.split import capped_sample
+from ..staging import stage
 from .files import read_csv, read_parts, read_split, read_survey, with_row_id
 from .registry import DatasetConfig, register
 
@@ -84,9 +85,9 @@ def german_credit(spark: SparkSession, path: str, seed: int) -> DataFrame:
 
 @register(FOLKTABLES)
 def folktables(spark: SparkSession, path: str, seed: int) -> DataFrame:
-    """Large: a capped sample is drawn before anything else."""
-    df = read_survey(spark, path)
-    df = capped_sample(df, fv.MAX_SAMPLES, "row_id", seed)
+    """Large: a capped sample is drawn before anything else, and written, as the split
+    reads it several times."""
+    df = stage(capped_sample(read_survey(spark, path), fv.MAX_SAMPLES, "row_id", seed), "survey_sample")
     label = threshold_label("PINCP", fv.INCOME_THRESHOLD, "high_income", "low_income")
     features = features_except(df, "PINCP", "row_id", "RAC1P", "SEX")
     return to_samples(df, record_id("row_id"), label, _key(df, "SEX", "RAC1P"), features)

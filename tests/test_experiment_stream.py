@@ -76,7 +76,7 @@ def test_experiment_resumes_where_it_stopped(spark, tmp_path):
 def test_experiment_in_rounds(spark, tmp_path):
     path, layout = credit_files(spark, tmp_path / "in", 100), Layout(str(tmp_path / "out"))
     whole = run_experiment(spark, "german_credit", path, "m", "s1", Layout(str(tmp_path / "one")), rule())
-    parts = run_experiment(spark, "german_credit", path, "m", "s1", layout, rule(), rounds=3)
+    parts = run_experiment(spark, "german_credit", path, "m", "s1", layout, rule(), rounds=3, tasks=2)
     assert parts.count() == 20 and collect(parts, "record_id") == collect(whole, "record_id")
 
 

@@ -133,9 +133,10 @@ def test_batch_summary_and_configs(spark, tmp_path):
     layout = sinks.Layout(str(tmp_path))
     sinks.write_batch_summary(spark.createDataFrame([(1, 2)], "completed int, failed int"), layout.runs, "2024-01-01T01:02:03.4")
     assert spark.read.json(layout.runs).first().stamp == "2024-01-01T01-02-03_4"
-    sinks.write_configs(experiment_matrix(datasets_table(spark), "s"), layout.configs)
+    datasets = datasets_table(spark).select("dataset_name", "dataset_type")
+    sinks.write_configs(experiment_matrix(datasets, "s"), layout.configs)
     assert read_configs(spark, layout.configs).count() == 21
-    sinks.write_configs(experiment_matrix(datasets_table(spark, ["compas"]), "s"), layout.configs)
+    sinks.write_configs(experiment_matrix(datasets.where("dataset_name = 'compas'"), "s"), layout.configs)
     assert read_configs(spark, layout.configs).count() == 21
 
 
