@@ -150,13 +150,14 @@ def parse_responses(df: DataFrame, content: str = "content", provider: str = "pr
     )
     step = step.withColumn("outcome", outcome)
     won = F.col("outcome") == SUCCESS
-    return step.select(
-        *keep,
+    # One row in, one row out. The generator keeps a later filter on these columns from
+    # being pushed below, where it would repeat the whole parse for each use of a step.
+    return step.select(*keep, F.inline(F.array(F.struct(
         "outcome",
         F.when(won, F.col("_label")).alias("prediction_label"),
         F.when(won, why).alias("reasoning"),
         error.alias("error_message"),
-    )
+    ))))
 
 
 def _no_attribute(kind: Column, name: str) -> Column:

@@ -21,7 +21,8 @@ from ..operators.resume import remaining
 from ..sources import sinks
 from ..sources.files import read_checkpoint
 from ..sources.registry import DatasetConfig, Loaded, load_dataset
-from ..staging import new_folder
+from ..staging import new_folder, stage
+from .answers import Responder, ask_in_rounds
 
 Classifier = Callable[[str, str, str, int], dict]
 
@@ -81,11 +82,12 @@ def run_experiment(
     spark: SparkSession, dataset: str, path: str, model: str, stamp: str, layout: sinks.Layout,
     make_classifier: Callable[[], Classifier] | None = None, responses: DataFrame | None = None,
     test_size: float = fv.TEST_SIZE, seed: int = fv.RANDOM_STATE, rounds: int = 1,
-    tasks: int | None = None,
+    tasks: int | None = None, make_responder: Callable[[], Responder] | None = None, provider: str = fv.TOGETHER,
 ) -> DataFrame:
     """Loads, scores what the checkpoint lacks, appends it, and returns all predictions.
 
-    Answers come from a classifier or from a table of responses. The id follows from
+    Answers come from a classifier, from a table of raw responses, or from a responder
+    that gives raw responses (parsed and retried here). The id follows from
     dataset, model and ``stamp``, so the same call resumes an interrupted run. With
     several ``rounds`` the prompts are written out once and scored in as many parts,
     each appended when it is done; a crash then costs one part of the calls.
@@ -95,6 +97,10 @@ def run_experiment(
     experiment = hashlib.md5(f"{dataset}_{model}_{stamp}".encode()).hexdigest()[:8]
     done = read_checkpoint(spark, layout.checkpoints).where(F.col("experiment_id") == experiment)
     todo = remaining(loaded.samples, done)
+    if make_responder is not None:
+        prompted = stage(prompts(Loaded(todo, loaded.feature_columns, config).described(), config), "prompts")
+        responses = ask_in_rounds(prompted, make_responder, experiment, provider, layout.responses, tasks=tasks)
+        todo = prompted
     if responses is not None:
         sinks.append_checkpoint(answered(todo, responses, config, experiment), layout.checkpoints)
     else:

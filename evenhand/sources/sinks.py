@@ -21,6 +21,7 @@ class Layout:
         return f"{self.base.rstrip('/')}/{name}"
 
     configs = property(lambda self: self.table("configs"))
+    responses = property(lambda self: self.table("responses"))
     predictions = property(lambda self: self.table("predictions"))
     analysis = property(lambda self: self.table("analysis"))
     summaries = property(lambda self: self.table("summaries"))

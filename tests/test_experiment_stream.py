@@ -80,6 +80,38 @@ def test_experiment_in_rounds(spark, tmp_path):
     assert parts.count() == 20 and collect(parts, "record_id") == collect(whole, "record_id")
 
 
+def test_experiment_with_responder_retries_open_records(spark, tmp_path):
+    """Each record is asked until it answers or is blocked; a second run asks for nothing."""
+    path, calls = credit_files(spark, tmp_path / "in", 60), tmp_path / "calls"
+    calls.mkdir()
+
+    def responder():
+        def respond(system, user, record):
+            seen = len(list(calls.glob(f"{record}-*")))
+            (calls / f"{record}-{seen}").touch()
+            number = int(record[4:])
+            if number % 3 == 0 and seen < 2:
+                raise RuntimeError("code 429")
+            if number % 3 == 1:
+                return {"content": "no idea"}
+            return {"content": '{"prediction_label": "Bad", "reasoning": "r"}'}
+
+        return respond
+
+    layout = Layout(str(tmp_path / "out"))
+    run = lambda: run_experiment(spark, "german_credit", path, "m", "s1", layout, make_responder=responder,
+                                 provider="openai", tasks=2)
+    got = {r.record_id: r for r in run().collect()}
+    assert len(got) == 12
+    for record, r in got.items():
+        kind = int(record[4:]) % 3
+        assert (r.api_success, r.attempts_made, r.prediction) == [
+            (True, 3, "bad"), (False, 5, None), (True, 1, "bad")][kind]
+        assert len(list(calls.glob(f"{record}-*"))) == r.attempts_made
+    before = len(list(calls.iterdir()))
+    assert run().count() == 12 and len(list(calls.iterdir())) == before
+
+
 def test_batch_of_experiments(spark, tmp_path):
     """One model raises: its run fails, the others are audited and compared."""
     paths, layout = {"german_credit": credit_files(spark, tmp_path / "in", 100)}, Layout(str(tmp_path / "out"))
