@@ -5,6 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, rows
+from evenhand.plans.catalog import QUERIES
+from evenhand.plans.oracles import ORACLES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -18,17 +20,18 @@ def sql():
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, sql, name):
-    df = entry.queries()[name](spark, FOLDER)
-    result = sql.execute(entry.oracle_sql()[name])
+    df = QUERIES[name](spark, FOLDER)
+    result = sql.execute(ORACLES[name])
     names = [c[0] for c in result.description]
     assert sorted(df.columns) == sorted(names)
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(names, result.fetchall())
