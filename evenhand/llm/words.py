@@ -77,6 +77,24 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; spans ascend and don't overlap."""
+    values, n, i = _LOWER if lower else _VALUES, len(starts), 0
+    out = np.empty(n, np.uint64)
+    while i < n:
+        a = starts[i]
+        j = max(i + 1, int(np.searchsorted(starts, a + _CHUNK, "left")) - 1)
+        b = ends[j - 1]
+        up, down = powers(_STEP, b - a + 1)
+        total = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(values[data[a:b]] * up[:-1], out=total[1:])
+        s = starts[i:j] - a
+        out[i:j] = (total[ends[i:j] - a] - total[s]) * down[s]
+        i = j
+    out += (ends - starts).astype(np.uint64)
+    return mix(out)
+
+
 class Words:
     """The words of some documents: where each starts and ends, and each document's first."""
 
@@ -98,19 +116,7 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word; ``lower`` takes A-Z as a-z."""
-        values, out, i = _LOWER if lower else _VALUES, np.empty(self.n, np.uint64), 0
-        while i < self.n:
-            a = self.starts[i]
-            j = max(i + 1, int(np.searchsorted(self.starts, a + _CHUNK, "left")) - 1)
-            b = self.ends[j - 1]
-            up, down = powers(_STEP, b - a + 1)
-            total = np.zeros(b - a + 1, np.uint64)
-            np.cumsum(values[self.data[a:b]] * up[:-1], out=total[1:])
-            s = self.starts[i:j] - a
-            out[i:j] = (total[self.ends[i:j] - a] - total[s]) * down[s]
-            i = j
-        out += (self.ends - self.starts).astype(np.uint64)
-        return mix(out)
+        return span_hashes(self.data, self.starts, self.ends, lower)
 
     def documents(self) -> np.ndarray:
         """The document of each word."""
