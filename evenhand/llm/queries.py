@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op10_decontaminate
+from .near_dedup import op5_near_dedup
 from .packing import op7_packing
 from .substring_dedup import op1_substring_dedup
 from .token_counts import op3_token_counts
@@ -14,5 +15,5 @@ from .token_files import op9_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn for fn in (
-        op1_substring_dedup, op3_token_counts, op7_packing, op9_token_files, op10_decontaminate)}
+        op1_substring_dedup, op3_token_counts, op5_near_dedup, op7_packing, op9_token_files, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
