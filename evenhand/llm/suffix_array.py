@@ -56,7 +56,7 @@ class SuffixArray:
         bits = int(n + 1).bit_length()
         slots = np.flatnonzero(np.repeat(per_id > 1, per_id))
         width = 1
-        self.levels = [(1, rank.copy())]
+        self.levels = [(1, rank.astype(np.int32))]
         while width < depth and len(slots):
             at = order[slots]
             key = (rank[at] << bits) | rank[np.minimum(at + width, n + docs)]
@@ -70,7 +70,7 @@ class SuffixArray:
             sizes = np.bincount(group)
             slots = slots[np.repeat(sizes > 1, sizes)]
             width *= 2
-            self.levels.append((width, rank.copy()))
+            self.levels.append((width, rank.astype(np.int32)))
         self.order, self.depth = order, width if len(slots) else depth
 
     def common(self) -> np.ndarray:
