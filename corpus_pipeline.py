@@ -1,39 +1,82 @@
-"""A corpus pipeline of the operators in evenhand.llm."""
+"""A corpus pipeline of the operators in evenhand.llm.
+
+Language identification, near-deduplication, substring deduplication, benchmark decontamination
+and packing, each over all that the stage before it kept. All but the last return the columns
+of documents. Languages are learned from the documents that the first stage is given, and
+benchmark items are read from the folder.
+
+Null and empty texts, or texts without letters, go in the first stage, as they have no language.
+An empty table gives empty results. Rows that share an id are one document in the second stage.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evenhand.llm.decontaminate import contamination
 from evenhand.llm.frames import documents
+from evenhand.llm.language_id import UNKNOWN, identify, learn
+from evenhand.llm.near_dedup import near_duplicates
+from evenhand.llm.packing import pack_documents
 from evenhand.llm.substring_dedup import substring_dedup
 from evenhand.staging import stage
 
+LEAST_SCORE = 0.3
+"""Of four languages the best has a quarter at least; texts in none of them come near that."""
+
+
+def restored(found: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` from ``rest``, but for those changed."""
+    return found.select(*[changed.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
+
+
+def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents whose language is known. Mixed documents stay; others lose nothing either."""
+    found = identify(docs, learn(docs))
+    return restored(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs)
 
-def restored(df: DataFrame, kept: DataFrame) -> DataFrame:
-    """The columns of documents, as they were in ``df``."""
-    return kept.select(*[F.col(f"rest.`{c}`").alias(c) for c in df.columns])
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """The document with the least id of each group of near-duplicates."""
+    dropped = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Texts without words of repeated passages. A document without any keeps its text as it
-    is, one of which nothing is left goes."""
-    done = substring_dedup(docs).where("n_words = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("rest.text"))
-    changed = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("rest.n_chars"))}
-    return done.select(*[(changed[c] if c in changed else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
+    is; one of which nothing is left goes."""
+    found = substring_dedup(docs).where("n_removed = 0 or n_removed < n_words")
+    cut = F.col("n_removed") > 0
+    return restored(found, docs, text=F.when(cut, F.col("kept")).otherwise(F.col("rest.text")),
+                    n_chars=F.when(cut, F.length("kept").cast("long")).otherwise(F.col("rest.n_chars")))
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words is in windows of benchmark items."""
+    found = contamination(docs, documents(spark, folder, "benchmark"))
+    return restored(found.where((F.col("n_hit") == 0) | (20 * F.col("n_hit") < F.col("n_words"))), docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    return pack_documents(docs, with_ids=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", known_language),
+    ("near_dedup", one_of_each_group),
     ("substring_dedup", without_repeats),
+    ("decontamination", uncontaminated),
+    ("packing", packed_sequences),
 ]
 ORACLE_SQL = None
+"""SQL can express neither a trained network nor token ids."""
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
-    """All stages over the documents of a folder; between two stages the result is written and
+    """All stages over the documents of a folder. Between two stages the result is written and
     read again, so a lost executor repeats one stage at most."""
     docs = documents(spark, folder)
     for name, step in STAGES[:-1]:
