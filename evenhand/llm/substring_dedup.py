@@ -38,7 +38,7 @@ from . import frames
 from .words import SPACED, Words, deltas, mix, pack, text_bytes, undeltas, unpack, window_hashes
 
 WINDOW = 20
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 LEAST_BLOCKS = 64
 CELLS_PER_WINDOW = 8
 SLICE_WINDOWS = 1 << 21
