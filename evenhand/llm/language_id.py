@@ -35,7 +35,7 @@ BATCH = 2048
 PER_LANGUAGE = 600
 MOST_DOCUMENTS = 8192
 SLICE = 512
-EPOCHS = 4
+STEPS = 120
 
 
 def _squash(x: np.ndarray) -> None:
@@ -173,9 +173,9 @@ def segments(data: np.ndarray, offsets: np.ndarray, size: int = SEGMENT) -> tupl
     return text, count, doc
 
 
-def train(texts: list[str], truth: list[str], *, hidden: int = HIDDEN, epochs: int = EPOCHS, batch: int = 512,
+def train(texts: list[str], truth: list[str], *, hidden: int = HIDDEN, steps: int = STEPS, batch: int = 512,
           rate: float = 0.02, seed: int = 11) -> Network:
-    """A network for the languages in ``truth``, with Adam steps over the segments of ``texts``."""
+    """A network for the languages in ``truth``, by Adam steps over batches of the segments of ``texts``."""
     rng, names = np.random.default_rng(seed), sorted(set(truth))
     normal = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
     weights = {"bias": np.zeros(len(names), np.float32)}
@@ -187,20 +187,19 @@ def train(texts: list[str], truth: list[str], *, hidden: int = HIDDEN, epochs: i
     text, length, doc = segments(data, offsets)
     label = np.searchsorted(names, truth)[doc]
     first, second = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
-    done, total = 0, epochs * -(-len(label) // batch)
-    for _ in range(epochs):
-        order = rng.permutation(len(label))
-        for at in range(0, len(order), batch):
-            own = order[at:at + batch]
-            _, grads = net.gradients(text[:, own], length[own], label[own])
-            done += 1
-            now = rate * (1 - 0.9 * done / total)
-            norm = max(1.0, float(np.sqrt(sum((g**2).sum() for g in grads.values()))))
-            for k, g in grads.items():
-                g = g / norm
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.01 * (g**2 - second[k])
-                weights[k] -= (now * first[k] / (1 - 0.9**done) / (np.sqrt(second[k] / (1 - 0.99**done)) + 1e-8)).astype(np.float32)
+    order = np.empty(0, np.int64)
+    for done in range(1, steps + 1):
+        while len(order) < min(batch, len(label)):
+            order = np.concatenate([order, rng.permutation(len(label))])
+        own, order = order[:batch], order[batch:]
+        _, grads = net.gradients(text[:, own], length[own], label[own])
+        now = rate * (1 - 0.9 * done / steps)
+        norm = max(1.0, float(np.sqrt(sum((g**2).sum() for g in grads.values()))))
+        for k, g in grads.items():
+            g = g / norm
+            first[k] += 0.1 * (g - first[k])
+            second[k] += 0.01 * (g**2 - second[k])
+            weights[k] -= (now * first[k] / (1 - 0.9**done) / (np.sqrt(second[k] / (1 - 0.99**done)) + 1e-8)).astype(np.float32)
     return net
 
 
