@@ -31,7 +31,6 @@ RANDOM_STATE = 42
 MAX_ATTEMPTS = 5
 MAX_SAMPLES = 5000
 INCOME_THRESHOLD = 50000
-REASONING_LIMIT = 200
 CHECKPOINT_INTERVAL = 10
 ALIAS_DATASET = "heritage_health"
 
@@ -257,7 +256,8 @@ FENCE_PATTERN = r"```json\s*(\{.*?\})\s*```"
 # --- message texts ------------------------------------------------------------
 NO_REASONING = "No reasoning"
 NO_REASONING_PROVIDED = "No reasoning provided"
-UNPARSEABLE = "JSON decode error: Could not parse response: line 1 column 1 (char 0)"
+UNPARSEABLE = "JSON decode error: Could not parse response"
+MISSHAPEN = "API error: not an object with a text label"
 BLOCKED_NO_CANDIDATES = "Response blocked by safety filters (no candidates)"
 BLOCKED_SAFETY = "Response blocked by safety filters (finish_reason=SAFETY)"
 BLOCKED_FINISH = "Response blocked (finish_reason=2, likely safety)"
@@ -265,8 +265,3 @@ BLOCKED_CONTENT = "Content blocked by safety filters"
 NO_PARTS = "No valid response parts: "
 NO_SUCCESS = "No successful predictions"
 
-# --- output column order ------------------------------------------------------
-PREDICTION_COLUMNS = (
-    "record_id", "ground_truth", "prediction", "sensitive_feature", "experiment_id",
-    "reasoning", "api_success", "attempts_made", "timestamp", "correct",
-)

@@ -54,24 +54,9 @@ def _extract(text: Column, pattern: str, flags: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, flags + pattern, group), F.lit(""))
 
 
-def _json_kind(text: Column) -> Column:
-    """Python's type name of the value of a valid JSON text."""
-    first = F.left(ws_strip(text), F.lit(1))
-    return (
-        F.when(first == "{", "dict").when(first == "[", "list").when(first == '"', "str")
-        .when(first.isin("t", "f"), "bool").when(first == "n", "NoneType")
-        .when(F.rlike(text, F.lit("[.eE]")), "float").otherwise("int")
-    )
-
-
-def _variant_kind(value: Column) -> Column:
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(kind == "STRING", "str").when(kind == "VOID", "NoneType")
-        .when(kind == "BOOLEAN", "bool").when(kind == "BIGINT", "int")
-        .when(kind.startswith("ARRAY"), "list").when(kind.startswith("OBJECT"), "dict")
-        .otherwise("float")
-    )
+def _is_object(text: Column) -> Column:
+    """Whether a valid JSON text is an object."""
+    return F.left(ws_strip(text), F.lit(1)) == "{"
 
 
 def parse_responses(df: DataFrame, content: str = "content", provider: str = "provider") -> DataFrame:
@@ -109,14 +94,12 @@ def parse_responses(df: DataFrame, content: str = "content", provider: str = "pr
     # 3. label and reasoning of whichever reading holds
     step = step.withColumn("_value", F.try_variant_get("_doc", "$.prediction_label", "variant"))
     step = step.withColumn("_reason", F.try_variant_get("_doc", "$.reasoning", "variant"))
-    step = step.withColumn("_kind", F.when(F.col("_doc").isNotNull(), _json_kind(F.col("_body"))))
-    step = step.withColumn("_vkind", F.when(F.col("_value").isNotNull(), _variant_kind(F.col("_value"))))
-    attribute_error = (
-        F.when(F.col("_kind") != "dict", _no_attribute(F.col("_kind"), "get"))
-        .when(F.col("_vkind") != "str", _no_attribute(F.col("_vkind"), "strip"))
-        .when(text.isNull(), F.lit("the JSON object must be str, bytes or bytearray, not NoneType"))
+    misshapen = (
+        F.when(F.col("_doc").isNotNull() & ~_is_object(F.col("_body")), True)
+        .when(F.schema_of_variant("_value") != "STRING", True)
+        .when(text.isNull(), True)
     )
-    step = step.withColumn("_bad", attribute_error)
+    step = step.withColumn("_bad", misshapen)
     alt = F.col("_alt")
     raw_label = (
         F.when(F.col("_doc").isNotNull(), F.coalesce(F.try_variant_get("_value", "$", "string"), F.lit("")))
@@ -135,8 +118,7 @@ def parse_responses(df: DataFrame, content: str = "content", provider: str = "pr
             F.try_variant_get("_reason", "$", "string"),
             F.when(F.col("_reason").isNull(), fv.NO_REASONING_PROVIDED)))
         .when(alt.isNotNull(), F.coalesce(alt["reasoning"], F.lit(fv.NO_REASONING_PROVIDED)))
-        .otherwise(F.left(F.coalesce(ws_strip(F.col("_why")), F.lit(fv.NO_REASONING)),
-                          F.lit(fv.REASONING_LIMIT)))
+        .otherwise(F.coalesce(ws_strip(F.col("_why")), F.lit(fv.NO_REASONING)))
     )
     keys = (
         F.when(F.col("_found").isNotNull(), F.array(F.lit("prediction_label"), F.lit("reasoning")))
@@ -144,7 +126,7 @@ def parse_responses(df: DataFrame, content: str = "content", provider: str = "pr
     )
     listed = F.array_join(F.transform(keys, lambda k: F.concat(F.lit("'"), k, F.lit("'"))), ", ")
     error = (
-        F.when(F.col("outcome") == FAILED, F.concat(F.lit("API error: "), F.col("_bad")))
+        F.when(F.col("outcome") == FAILED, F.lit(fv.MISSHAPEN))
         .when(F.col("outcome") == UNPARSEABLE, F.lit(fv.UNPARSEABLE))
         .when(F.col("outcome") == EMPTY, F.concat(F.lit("Empty prediction (keys: ["), listed, F.lit("])")))
     )
@@ -160,10 +142,6 @@ def parse_responses(df: DataFrame, content: str = "content", provider: str = "pr
     ))))
 
 
-def _no_attribute(kind: Column, name: str) -> Column:
-    return F.concat(F.lit("'"), kind, F.lit(f"' object has no attribute '{name}'"))
-
-
 def error_outcome(provider: Column, error_text: Column) -> Column:
     """Class of a call that raised, by the wording its provider uses."""
     low = F.lower(error_text)

@@ -35,68 +35,12 @@ def is_blank(c: Column | str) -> Column:
     return F.coalesce(col(c), F.lit("")) == ""
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once per row, however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _shortest(n: Column) -> Column:
-    """(digits, exponent) with the fewest digits that still read back as the same double.
-    Java before 19 prints some doubles with more digits than they need."""
-    out = n["mantissa"]
-    for digits in (17, 16, 15):
-        fewer = F.round(n["mantissa"].cast("decimal(38,20)"), digits - 1).cast("string")
-        same = F.concat(fewer, F.lit("E"), n["exponent"].cast("string")).try_cast("double") == n["size"]
-        out = F.when(same, fewer).otherwise(out)
-    chosen = F.when(F.length(n["mantissa"]) >= 17, out).otherwise(n["mantissa"])
-    carried = chosen.startswith("10.")
-    return F.struct(
-        F.regexp_replace(F.replace(chosen, F.lit("."), F.lit("")), "(?<=.)0+$", "").alias("digits"),
-        (n["exponent"] + F.when(carried, 1).otherwise(0)).alias("exponent"))
-
-
-def _exponent_text(n: Column, shortest: Column) -> Column:
-    """Python's text of a number that Java shows with an exponent."""
-    digits, exponent = shortest["digits"], shortest["exponent"]
-    width = F.length(digits)
-    plain = F.when(
-        exponent < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    ).when(
-        width <= exponent + 1, F.concat(F.rpad(digits, exponent + 1, F.lit("0")), F.lit(".0"))
-    ).otherwise(F.concat(
-        F.substring(digits, F.lit(1), exponent + 1), F.lit("."), F.substring(digits, exponent + 2, width)))
-    fraction = F.when(width > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), width))).otherwise(F.lit(""))
-    power = F.abs(exponent).cast("string")
-    scientific = F.concat(
-        F.left(digits, F.lit(1)), fraction, F.lit("e"), F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.when(F.length(power) < 2, F.lit("0")).otherwise(F.lit("")), power)
-    return F.concat(n["sign"], F.when((n["size"] < 1e16) & (n["size"] >= 1e-4), plain).otherwise(scientific))
-
-
-def _float_text(c: Column) -> Column:
-    """Python's repr of a double. Spark shows exponents from 1e7 and below 1e-3, Python
-    from 1e16 and below 1e-4; only such numbers take the longer way."""
-    text = c.cast("string")
-    sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
-    parts = F.struct(
-        sign.alias("sign"),
-        F.ltrim(F.substring_index(text, "E", 1), F.lit("-")).alias("mantissa"),
-        F.substring_index(text, "E", -1).try_cast("int").alias("exponent"),
-        F.abs(c).alias("size"),
-    )
-    return (
-        F.when(c.isNull() | F.isnan(c), F.lit("nan"))
-        .when(F.abs(c) == float("inf"), F.concat(sign, F.lit("inf")))
-        .when(~F.contains(text, F.lit("E")), text)
-        .otherwise(bind(parts, lambda n: bind(_shortest(n), lambda short: _exponent_text(n, short))))
-    )
-
-
 def python_text(c: Column | str, dtype: T.DataType | None = None) -> Column:
-    """Text of a value as Python's str() shows it; a missing value is 'nan'."""
+    """Text of a value; a missing value is 'nan', truth values are 'True' and 'False'.
+    Numbers are shown as Spark shows them."""
     c = col(c)
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return _float_text(c.cast("double"))
+        return F.when(c.isNull() | F.isnan(c), F.lit("nan")).otherwise(c.cast("string"))
     if isinstance(dtype, T.BooleanType):
         return F.when(c, F.lit("True")).when(~c, F.lit("False")).otherwise(F.lit("nan"))
     return F.coalesce(c.cast("string"), F.lit("nan"))

@@ -8,50 +8,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import responses as R
-from ..functions.fixed_values import MAX_ATTEMPTS
 from ..functions.labels import is_correct, with_normalized
 
 RECORD = ("experiment_id", "record_id")
 
 
-def reduce_attempts(
-    attempts: DataFrame, keys: Sequence[str] = RECORD, max_attempts: int = MAX_ATTEMPTS
-) -> DataFrame:
-    """Outcome per record: attempts count up to the first success or block, at most
-    ``max_attempts``; later ones are ignored even if they are in the log.
+# Attempts of a record that are joined and summed in one place, at most.
+PART = 64
+
+
+def reduce_attempts(attempts: DataFrame, keys: Sequence[str] = RECORD) -> DataFrame:
+    """Outcome per record: attempts count up to the first success or block; later ones
+    are ignored even if they are in the log. There may be any number of them.
 
-    One aggregation with a fixed slot per attempt number. It combines before the
-    shuffle, so a record that fills a third of the log sends a few rows, not its log.
+    First the attempt that ends each record is found, then the attempts up to it are
+    summed. Attempts are joined by record and runs of ``PART`` numbers, and a record's
+    end has a row for each of its runs, so a record that fills a third of the log is
+    spread over many tasks; sums of runs are combined before the last shuffle.
     """
     slot = F.struct("ts", "outcome", "prediction_label", "reasoning", "error_message", "wait_seconds")
-    used = attempts.where(F.col("attempt").between(1, max_attempts))
-    slots = [F.max(F.when(F.col("attempt") == k, slot)).alias(f"_{k}") for k in range(1, max_attempts + 1)]
-    per_record = used.groupBy(*keys).agg(
-        F.min(F.when(F.col("stops"), F.col("attempt"))).alias("_stop"),
-        F.max("attempt").alias("_last"),
-        *slots,
+    numbered = attempts.withColumn("_run", F.expr(f"attempt div {PART}").cast("int"))
+    ends = numbered.groupBy(*keys).agg(
+        F.min(F.when(F.col("stops"), F.col("attempt"))).alias("_stop"), F.max("attempt").alias("_last"))
+    made = F.coalesce("_stop", "_last").cast("int")
+    runs = ends.select(*keys, made.alias("attempts_made")).withColumn(
+        "_run", F.explode(F.sequence(F.lit(0), F.expr(f"cast(attempts_made div {PART} as int)"))))
+    used = numbered.join(runs, [*keys, "_run"]).where(F.col("attempt") <= F.col("attempts_made"))
+    # a row that was logged twice counts once
+    once = used.groupBy(*keys, "_run", "attempt", "attempts_made").agg(F.max(slot).alias("_slot"))
+    error = F.col("_slot.error_message")
+    per_record = once.groupBy(*keys, "attempts_made").agg(
+        F.max(F.when(F.col("attempt") == F.col("attempts_made"), F.col("_slot"))).alias("_final"),
+        # an error before a later success stays on the record
+        F.max(F.when(error.isNotNull(), F.struct("attempt", error.alias("text")))).alias("_error"),
+        F.sum(F.coalesce("_slot.wait_seconds", F.lit(0))).alias("wait_seconds"),
     )
-    made = F.coalesce("_stop", "_last")
-    taken = F.slice(F.array(*[f"_{k}" for k in range(1, max_attempts + 1)]), F.lit(1), F.col("attempts_made"))
-    final = F.element_at("_taken", F.col("attempts_made"))
-    won = F.coalesce(final["outcome"] == R.SUCCESS, F.lit(False))
-    return (
-        per_record.withColumn("attempts_made", made.cast("int"))
-        .withColumn("_taken", taken)
-        .select(
-            *keys,
-            final["prediction_label"].alias("prediction_label"),
-            final["reasoning"].alias("reasoning"),
-            won.alias("api_success"),
-            "attempts_made",
-            final["ts"].alias("ts"),
-            # an error before a later success stays on the record
-            F.aggregate("_taken", F.lit(None).cast("string"),
-                        lambda acc, a: F.coalesce(a["error_message"], acc)).alias("error_message"),
-            F.aggregate("_taken", F.lit(0).cast("long"),
-                        lambda acc, a: acc + F.coalesce(a["wait_seconds"], F.lit(0))).alias("wait_seconds"),
-            final["outcome"].alias("outcome"),
-        )
+    final = F.col("_final")
+    return per_record.select(
+        *keys,
+        final["prediction_label"].alias("prediction_label"),
+        final["reasoning"].alias("reasoning"),
+        F.coalesce(final["outcome"] == R.SUCCESS, F.lit(False)).alias("api_success"),
+        "attempts_made",
+        final["ts"].alias("ts"),
+        F.col("_error")["text"].alias("error_message"),
+        F.col("wait_seconds").cast("long").alias("wait_seconds"),
+        final["outcome"].alias("outcome"),
     )
 
 

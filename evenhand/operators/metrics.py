@@ -15,7 +15,6 @@ METRICS = ("accuracy", "precision", "recall", "f1_score")
 OVERALL, PER_GROUP = "overall", "group"
 
 
-
 def label_sums(cube: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Support, predicted and tp per label, for each group and overall.
 
@@ -77,9 +76,8 @@ def long_metrics(frame: DataFrame, by: Sequence[str] = BY, names: Sequence[str]
 
 
 MetricFunction = Callable[[pd.Series, pd.Series, pd.Series], float]
-
-
-OTHER = "(other)"
+# Stands for answers outside the classes that are not the row's truth. No label begins with NUL.
+OTHER = "\0other"
 
 
 def custom_metrics(
@@ -88,9 +86,10 @@ def custom_metrics(
     """User metrics as long rows: ``fn(y_true, y_pred, sample_weight) -> float``.
 
     A function sees the cells of a group (a row per pair of labels, its count as the
-    weight), never the group's rows. Labels that are not among ``classes``, such as
-    stray answers of a model, count as one label. So k classes make at most (k + 1)^2
-    rows, however large the group is.
+    weight), never the group's rows. Truths come as they are. A prediction that is neither
+    among ``classes`` nor the row's truth, such as a stray answer of a model, comes as
+    ``OTHER``, which equals no truth. So k classes and t true labels make at most
+    t * (k + 2) rows, however large the group is and whatever a model answers.
     """
 
     def udf(fn: MetricFunction) -> Callable[..., Column]:
@@ -100,8 +99,9 @@ def custom_metrics(
 
         return evaluate
 
-    labels = [F.when(F.col(c).isin(*classes), F.col(c)).otherwise(OTHER).alias(c) for c in CELL[1:]]
-    cells = cube.select(*by, GROUP, *labels, "n")
+    truth, said = (F.col(c) for c in CELL[1:])
+    said = F.when(said.isin(*classes) | (said == truth), said).otherwise(OTHER).alias(CELL[2])
+    cells = cube.select(*by, GROUP, truth, said, "n")
     aggregates = [udf(fn)("ground_truth", "prediction", "n").alias(name) for name, fn in functions.items()]
 
     def evaluated(keys: Sequence[str], level: str) -> DataFrame:

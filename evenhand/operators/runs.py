@@ -54,10 +54,9 @@ def completed(runs: DataFrame) -> DataFrame:
 def run_results(summary: DataFrame, experiments: DataFrame,
                 errors: Mapping[str, str] | None = None) -> DataFrame:
     """Status row per experiment: completed where it has predictions, else failed."""
-    failed = F.lit(None).cast("string")
-    for eid, text in (errors or {}).items():
-        failed = F.when(F.col("experiment_id") == eid, F.lit(text)).otherwise(failed)
-    joined = experiments.join(summary, "experiment_id", "left")
+    known = experiments.sparkSession.createDataFrame(list((errors or {}).items()), "experiment_id string, _error string")
+    failed = F.col("_error")
+    joined = experiments.join(summary, "experiment_id", "left").join(known, "experiment_id", "left")
     ran = F.col("total_predictions").isNotNull() & failed.isNull()
     return joined.select(
         "experiment_id", F.col("dataset_name").alias("dataset"), F.col("model_name").alias("model"),

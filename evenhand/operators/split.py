@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import MAX_SAMPLES, RANDOM_STATE, TEST_SIZE
-from ..staging import stage
 
 # Hex digits per refinement: 16^3 prefixes per class and level.
 DIGITS = 3
@@ -31,10 +30,11 @@ def test_quotas(counts: DataFrame, test_size: float = TEST_SIZE) -> DataFrame:
 
     The test set has ceil(test_size * N) rows. The train side gets floor plus
     largest remainder, ties to the smaller label; test is what is left. One row
-    per class goes in, so the windows over all classes are tiny.
+    per class goes in: the total is a scalar, and only the rank of the remainders
+    is a window over all classes.
     """
     whole = Window.partitionBy()
-    sized = counts.withColumn("_N", F.sum("c").over(whole)).withColumn(
+    sized = counts.withColumn("_N", counts.agg(F.sum("c")).scalar()).withColumn(
         "_train", F.col("_N") - F.ceil(F.lit(float(test_size)) * F.col("_N")).cast("long"))
     shared = sized.withColumn("_base", F.expr("(c * _train) div _N")).withColumn(
         "_rem", F.expr("(c * _train) % _N"))
@@ -45,14 +45,22 @@ def test_quotas(counts: DataFrame, test_size: float = TEST_SIZE) -> DataFrame:
     return ranked.select("stratum", (F.col("c") - train).alias("k"))
 
 
-def _one_per_class(df: DataFrame, bounded: bool, name: str) -> DataFrame:
-    """A table of one row per class for a join with all rows. Broadcast where the number
-    of classes is known to be small; else written out, and Spark goes by the size it finds."""
-    return F.broadcast(df) if bounded else stage(df, name)
+# A table of one row per class is broadcast for up to so many classes.
+FEW_CLASSES = 100_000
+
+
+def _few(strata: DataFrame) -> bool:
+    """Whether there are few classes: counts no further than it has to."""
+    return strata.distinct().limit(FEW_CLASSES + 1).count() <= FEW_CLASSES
+
+
+def _one_per_class(df: DataFrame, few: bool) -> DataFrame:
+    """A table of one row per class for a join with all rows, broadcast if classes are few."""
+    return F.broadcast(df) if few else df
 
 
 def _last_taken(
-    hashed: DataFrame, histogram: DataFrame, quotas: DataFrame, levels: int, bounded: bool
+    hashed: DataFrame, histogram: DataFrame, quotas: DataFrame, levels: int, few: bool
 ) -> DataFrame:
     """(stratum, h, key) of the last row taken per class: the k-th by (h, key)."""
     need, cut = quotas, None
@@ -68,7 +76,7 @@ def _last_taken(
             .where((F.col("_end") >= F.col("k")) & (F.col("_end") - F.col("n") < F.col("k")))
             .select("stratum", "prefix", (F.col("k") - F.col("_end") + F.col("n")).alias("k"))
         )
-        cut = _one_per_class(cut, bounded, "cuts")
+        cut = _one_per_class(cut, few)
         need = cut.select("stratum", "k")
     # copies of a key are counted first, so that many of them are one row to rank
     edge = hashed.withColumn("prefix", F.left("h", F.lit(DIGITS * levels))).join(
@@ -93,16 +101,16 @@ def stratified_test_split(
     test_size: float = TEST_SIZE,
     seed: int = RANDOM_STATE,
     classes: Sequence[str] | None = None,
-    levels: int = 1,
+    levels: int = 2,
 ) -> DataFrame:
     """The test rows of an exact stratified split.
 
     ``key`` is unique; should it not be, copies of a key stay together, and the last
-    key taken may exceed the size by its copies. Rows without a stratum are left out. ``classes`` names
-    the strata where they are known: it bounds the table of cut points, which is
-    then broadcast. Without it the cut points are written out, and Spark picks the
-    join by the size it finds. ``levels`` adds narrow scans that each cut the
-    ranked rest by 4096; one level is enough up to some 10^10 rows per class.
+    key taken may exceed the size by its copies. Rows without a stratum are left out, all
+    other labels are strata; ``classes`` leaves only those named. The table of cut points
+    is broadcast if it has few rows, by ``classes`` or by a count. Each of the ``levels``
+    is a narrow scan that cuts the ranked rest by 4096; two are enough up to some 10^12
+    rows per class.
     """
     rows = samples.where(F.col(stratum).isNotNull())
     if classes is not None:
@@ -111,16 +119,16 @@ def stratified_test_split(
                          F.col(key).alias("key"))
     histogram = _histogram(hashed, DIGITS)
     counts = histogram.groupBy("stratum").agg(F.sum("n").alias("c"))
-    bounded = classes is not None
-    last = _last_taken(hashed, histogram, test_quotas(counts, test_size), levels, bounded)
-    last = _one_per_class(last.toDF("_stratum", "_h", "_key"), bounded, "last")
+    few = classes is not None or _few(hashed.select("stratum"))
+    last = _last_taken(hashed, histogram, test_quotas(counts, test_size), levels, few)
+    last = _one_per_class(last.toDF("_stratum", "_h", "_key"), few)
     taken = F.struct(hash_key(key, seed), F.col(key)) <= F.struct("_h", "_key")
     return rows.join(last, (F.col(stratum) == F.col("_stratum")) & taken, "left_semi")
 
 
 def capped_sample(
     df: DataFrame, n: int = MAX_SAMPLES, key: str = "record_id", seed: int = RANDOM_STATE,
-    levels: int = 1,
+    levels: int = 2,
 ) -> DataFrame:
     """Exactly n rows by hash order, or all rows where there are no more than n."""
     # one stratum; an empty prefix rather than a literal, so that joins on it stay equi-joins

@@ -1,4 +1,8 @@
-"""The nested fairness summary per experiment, and its parts as long rows."""
+"""The fairness summary: a document per experiment, and long rows for all that goes by group.
+
+Groups and their labels are as many as the data has, so they are rows of a table, never
+entries of a document.
+"""
 
 from __future__ import annotations
 
@@ -7,19 +11,15 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from .confusion import BY
-from .distribution import class_distributions, totals
+from .distribution import class_distributions, group_sizes, totals
 from .fairness import gaps, group_rates, parity
 from .metrics import GROUP, METRICS, OVERALL, PER_GROUP, long_metrics, metric_frame
 
-# A document lists its groups and their labels inline up to this many entries. Past it
-# the maps by group are NULL and the long tables, which hold all of it, are the record.
-MAX_INLINE_ENTRIES = 100_000
-
 _KEY = BY[0]
 
 
 def _entries(key: str, value: Column) -> Column:
-    """Aggregate: rows as one map, in key order. A NULL value leaves its row out."""
+    """Aggregate: one row per metric as a map, in key order. A NULL value leaves its row out."""
     rows = F.collect_list(F.when(value.isNotNull(), F.struct(F.col(key).alias("k"), value.alias("v"))))
     return F.map_from_entries(F.array_sort(
         rows, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)))
@@ -31,7 +31,6 @@ def _scores() -> Column:
 
 def summarize(
     cube: DataFrame, experiments: DataFrame, positive: str | None = None,
-    max_inline_entries: int = MAX_INLINE_ENTRIES,
 ) -> DataFrame:
     """One summary document per experiment, on ``schemas.SUMMARY``.
 
@@ -59,59 +58,51 @@ def summarize(
     odds = parity(rates).select(_KEY, F.struct(
         "demographic_parity_difference", "equalized_odds_difference").alias("binary_metrics"))
 
-    shares = class_distributions(cube)
-    entries = shares.groupBy(_KEY).agg(F.count(F.lit(1)).alias("_entries"))
-    inline = size.join(entries.where(F.col("_entries") <= max_inline_entries), _KEY).select(_KEY, "total_samples")
-    share = F.struct("count", "percentage")
-    labels = shares.join(inline, _KEY, "left_semi").groupBy(_KEY, GROUP).agg(*[
-        _entries("label", F.when(F.col("kind") == kind, share)).alias(kind)
-        for kind in ("ground_truth", "predictions")
-    ])
-    per_group = frame.where(F.col("level") == PER_GROUP).join(inline, _KEY).join(labels, [_KEY, GROUP])
-    size_share = F.struct(
-        F.col("n").alias("count"), (F.col("n") * F.lit(100.0) / F.col("total_samples")).alias("percentage"))
-    groups = per_group.groupBy(_KEY).agg(
-        _entries(GROUP, size_share).alias("group_sizes"),
-        _entries(GROUP, F.struct("ground_truth", "predictions", "accuracy")).alias("class_distributions"),
-        *[_entries(GROUP, F.col(m)).alias(f"_{m}") for m in METRICS],
-    ).withColumn("metrics_by_group", F.create_map(*[x for m in METRICS for x in (F.lit(m), F.col(f"_{m}"))]))
-
     document = config.join(size, _KEY)
-    for part in (overall, gap, odds, groups):
+    for part in (overall, gap, odds):
         document = document.join(part, _KEY, "left")
     return document.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.SUMMARY.fields])
 
 
+def _row(section: str, metric: Column | None = None, group: Column | None = None, label: Column | None = None,
+         count: Column | None = None, value: Column | None = None) -> list[Column]:
+    text = F.lit(None).cast("string")
+    return [
+        F.col(_KEY), F.lit(section).alias("section"),
+        *[(text if c is None else c).alias(n) for n, c in (("metric", metric), ("grp", group), ("label", label))],
+        (F.lit(None) if count is None else count).cast("long").alias("count"),
+        (F.lit(None) if value is None else value).cast("double").alias("value"),
+    ]
+
+
 def flatten_summary(documents: DataFrame) -> DataFrame:
     """A summary document as rows (experiment, section, metric, group, label, count, value)."""
-    none = F.lit(None).cast("string")
-
-    def rows(section: str, metric: Column = none, group: Column = none, label: Column = none,
-             count: Column = F.lit(None), value: Column = F.lit(None)) -> list[Column]:
-        return [F.col(_KEY), F.lit(section).alias("section"), metric.alias("metric"),
-                group.alias("grp"), label.alias("label"), count.cast("long").alias("count"),
-                value.cast("double").alias("value")]
 
-    def exploded(map_column: str, key: str = "k", value: str = "v") -> DataFrame:
-        return documents.select(_KEY, F.explode(map_column).alias(key, value))
+    def exploded(map_column: str) -> DataFrame:
+        return documents.select(_KEY, F.explode(map_column).alias("k", "v"))
 
     k, v = F.col("k"), F.col("v")
-    out = documents.select(*rows("total_samples", count=F.col("total_samples"), value=F.col("num_groups")))
+    out = documents.select(*_row("total_samples", count=F.col("total_samples"), value=F.col("num_groups")))
     for section in ("overall_metrics", "fairness_differences", "fairness_ratios"):
-        out = out.unionByName(exploded(section).select(*rows(section, k, value=v)))
+        out = out.unionByName(exploded(section).select(*_row(section, k, value=v)))
     named = exploded("group_summary")
     for which in ("best", "worst"):
-        out = out.unionByName(named.select(*rows(which, k, v[f"{which}_group"], value=v[f"{which}_value"])))
+        out = out.unionByName(named.select(*_row(which, k, v[f"{which}_group"], value=v[f"{which}_value"])))
     for name in ("demographic_parity_difference", "equalized_odds_difference"):
-        out = out.unionByName(documents.select(*rows(
+        out = out.unionByName(documents.select(*_row(
             "binary_metrics", F.lit(name), value=F.col("binary_metrics")[name])))
-    out = out.unionByName(exploded("group_sizes").select(*rows(
-        "group_sizes", group=k, count=v["count"], value=v["percentage"])))
-    groups = exploded("class_distributions", "g", "d")
-    for kind in ("ground_truth", "predictions"):
-        out = out.unionByName(groups.select(_KEY, "g", F.explode(F.col("d")[kind]).alias("k", "v")).select(
-            *rows(kind, group=F.col("g"), label=k, count=v["count"], value=v["percentage"])))
-    metrics = exploded("metrics_by_group", "m", "g")
-    return out.unionByName(metrics.select(_KEY, "m", F.explode("g").alias("k", "v")).select(
-        *rows("metrics_by_group", F.col("m"), k, value=v)))
+    return out
 
+
+def group_rows(cube: DataFrame) -> DataFrame:
+    """All that a summary says by group, as rows of the same form: sizes, shares of labels
+    (sections ground_truth and predictions) and metrics."""
+    sizes = group_sizes(cube).select(*_row(
+        "group_sizes", group=F.col(GROUP), count=F.col("count"), value=F.col("percentage")))
+    shares = class_distributions(cube)
+    labels = shares.select(F.col("kind"), *_row(
+        "", group=F.col(GROUP), label=F.col("label"), count=F.col("count"), value=F.col("percentage"))
+    ).withColumn("section", F.col("kind")).drop("kind")
+    per_group = long_metrics(metric_frame(cube)).where(F.col("level") == PER_GROUP)
+    metrics = per_group.select(*_row("metrics_by_group", F.col("metric"), F.col(GROUP), value=F.col("value")))
+    return sizes.unionByName(labels).unionByName(metrics)

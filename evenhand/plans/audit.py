@@ -7,13 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed_values import NO_SUCCESS
 from ..operators.compare import compare_cube
 from ..operators.confusion import confusion_cube
-from ..operators.distribution import class_distributions, group_sizes, prediction_summary, totals
+from ..operators.distribution import class_distributions, group_sizes, label_counts, prediction_summary, totals
 from ..operators.fairness import gaps, group_rates, parity
 from ..operators.metrics import long_metrics, metric_frame
 from ..operators.prepare import analysis_set
-from ..operators.summary import summarize
+from ..operators.summary import group_rows, summarize
 from ..sources.registry import with_dataset
 from ..staging import stage
 
@@ -58,6 +59,14 @@ class Audit:
     def prediction_summary(self) -> DataFrame:
         return prediction_summary(self.predictions)
 
+    @property
+    def label_counts(self) -> DataFrame:
+        return label_counts(self.predictions)
+
+    @property
+    def group_rows(self) -> DataFrame:
+        return group_rows(self.cube)
+
     @property
     def comparison(self) -> DataFrame:
         names = self.experiments.select("experiment_id", F.col("model_size").alias("model"),
@@ -73,7 +82,7 @@ class Audit:
         """Experiments that have no row to analyse, with the reason."""
         seen = self.cube.select("experiment_id").distinct()
         return self.experiments.select("experiment_id").join(seen, "experiment_id", "left_anti").withColumn(
-            "error", F.lit("No successful predictions"))
+            "error", F.lit(NO_SUCCESS))
 
     def _classed(self) -> DataFrame:
         return self.cube.join(self.experiments.select("experiment_id", "positive_class"), "experiment_id")

@@ -12,11 +12,11 @@ from ..operators.compare import compare_summaries, pick_experiments
 from ..operators.prepare import analysis_set
 from ..operators.runs import batch_status, completed, dataset_rollup, experiment_matrix, progress, run_results
 from ..sources import sinks
-from ..sources.files import read_checkpoint, read_configs, read_summaries
+from ..sources.files import read_configs, read_predictions, read_summaries
 from ..sources.registry import datasets_table
 from ..staging import stage
 from .audit import Audit, audit
-from .experiment import Classifier, run_experiment
+from .experiment import Classifier, Prepared, prepare, run_experiment
 
 
 def run_batch(
@@ -28,37 +28,58 @@ def run_batch(
     models: Sequence[str] = fv.DEFAULT_MODELS,
     rounds: int = 1,
     tasks: int | None = None,
+    resume: bool = True,
 ) -> DataFrame:
     """Runs every dataset of ``paths`` with every model and returns the run results.
 
-    ``make_classifier`` takes a model name. An experiment that fails is a failed run
-    and stops nothing. The same ``stamp`` resumes: finished records are not scored
-    again. The loop goes over configurations, a handful; the rows stay in Spark.
+    ``make_classifier`` takes a model name. A dataset is loaded, split and rendered once,
+    and all models read the prompts that were written. An experiment that fails is a failed
+    run and stops nothing. The same ``stamp`` resumes: finished records are not scored
+    again, unless ``resume`` is off. The loop goes over configurations, a handful; the rows
+    stay in Spark.
     """
     datasets = datasets_table(spark, list(paths)).select("dataset_name", "dataset_type")
     matrix = experiment_matrix(datasets, stamp, models)
     sinks.write_configs(matrix, layout.configs)
-    errors = {}
-    for run in matrix.collect():
+    errors: dict[str, str] = {}
+    prepared: dict[str, Prepared | Exception] = {}
+    for run in matrix.orderBy("dataset_name", "model_name").collect():
+        if run.dataset_name not in prepared:
+            prepared[run.dataset_name] = _prepared(spark, run.dataset_name, paths[run.dataset_name])
         try:
+            ready = prepared[run.dataset_name]
+            if isinstance(ready, Exception):
+                raise ready
             run_experiment(spark, run.dataset_name, paths[run.dataset_name], run.model_name, stamp, layout,
-                           make_classifier(run.model_name), rounds=rounds, tasks=tasks)
+                           make_classifier(run.model_name), rounds=rounds, tasks=tasks, resume=resume, prepared=ready)
         except Exception as error:  # a failed run is a result
-            errors[run.experiment_id] = f"{type(error).__name__}: {str(error)[:2000]}"
+            errors[run.experiment_id] = f"{type(error).__name__}: {error}"
     return conclude(spark, matrix, stamp, layout, errors)
 
 
+def _prepared(spark: SparkSession, dataset: str, path: str) -> Prepared | Exception:
+    try:
+        return prepare(spark, dataset, path)
+    except Exception as error:  # fails each of the dataset's runs
+        return error
+
+
 def conclude(
     spark: SparkSession, experiments: DataFrame, stamp: str, layout: sinks.Layout,
     errors: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Audits what the listed experiments have predicted and writes all artefacts."""
-    ids = F.broadcast(experiments.select("experiment_id"))
-    scored = read_checkpoint(spark, layout.checkpoints).join(ids, "experiment_id", "left_semi")
+    ids = experiments.select("experiment_id").distinct()
+    scored = read_predictions(spark, layout.checkpoints).join(ids, "experiment_id", "left_semi")
     result = audit(scored, experiments)
     runs = stage(run_results(result.prediction_summary, experiments, errors), "runs")
+    sinks.write_predictions(scored, layout.predictions)
+    sinks.write_by_experiment(result.prediction_summary, layout.prediction_summaries)
+    sinks.write_by_experiment(result.label_counts, layout.label_counts)
     sinks.write_analysis(analysis_set(scored), layout.analysis)
+    sinks.write_by_experiment(result.without_success, layout.unanalysed)
     sinks.write_summaries(result.summaries, layout.summaries)
+    sinks.write_by_experiment(result.group_rows, layout.group_rows)
     rollup = dataset_rollup(runs)
     comparable = rollup.where("comparable").select("dataset")
     compared = result.comparison.join(completed(runs).select("experiment_id"), "experiment_id", "left_semi")
@@ -77,4 +98,4 @@ def compare_stored(spark: SparkSession, layout: sinks.Layout, experiment_ids: Se
 
 def reaudit(spark: SparkSession, layout: sinks.Layout) -> Audit:
     """Audit of everything a base folder holds."""
-    return audit(read_checkpoint(spark, layout.checkpoints), read_configs(spark, layout.configs))
+    return audit(read_predictions(spark, layout.checkpoints), read_configs(spark, layout.configs))

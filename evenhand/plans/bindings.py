@@ -107,11 +107,13 @@ def doc_responses(spark: SparkSession, folder: str) -> DataFrame:
     text, kind = F.col("text"), F.expr("cast(substring(source, 4) as int)")
     good = answer("good", text)
     fence = F.concat(F.lit("Sure:\n```json\n"), good, F.lit("\n```\nbye"))
+    bad, quoted = answer("bad", text), F.to_json(F.array(text))
+    reason = F.concat(F.lit(',"reasoning":'), F.expr("substring(to_json(array(text)), 2, length(to_json(array(text))) - 2)"), F.lit("}"))
     shapes = [
-        good, answer(" Good ", text), fence, F.lit('{"prediction_label": "bad", "reas'),
+        good, answer(" Good ", text), fence, F.left(bad, F.length(bad) - 2),
         F.concat(F.lit("prediction_label: good, reasoning: "), text),
-        F.lit('{"prediction_label": ""}'), F.lit('{"prediction_label": 1}'), F.lit('{"prediction_label": null}'),
-        F.lit("[1]"), F.lit('{"label": "good"}'), F.concat(good, F.lit(" trailing")), text,
+        answer("", text), F.concat(F.lit('{"prediction_label":1'), reason), F.concat(F.lit('{"prediction_label":null'), reason),
+        quoted, F.concat(F.lit('{"label":"good"'), reason), F.concat(good, F.lit(" trailing")), text,
     ]
     content = F.when(kind == 0, shapes[0])
     for i, shape in enumerate(shapes[1:], 1):
@@ -124,12 +126,17 @@ def doc_responses(spark: SparkSession, folder: str) -> DataFrame:
 def event_attempts(spark: SparkSession, folder: str) -> DataFrame:
     """Call attempts: a record is a user's day, its events in order are the attempts.
 
-    Only the first attempts are ranked out, as the reduction reads no further; Spark
-    then keeps just those of each record before the shuffle, however many there are.
+    Events are numbered within a minute of a record; what came before is a sum over at
+    most 1,440 counts. So a busy record is not sorted in one task.
     """
-    record = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
-    kind = F.col("event_type")
-    ranked = table(spark, folder, "events").withColumn("attempt", F.row_number().over(record)).where("attempt <= 5")
+    record, kind = ["user_id", "_day"], F.col("event_type")
+    events = table(spark, folder, "events").withColumns({
+        "_day": F.to_date("ts"), "_minute": (F.hour("ts") * 60 + F.minute("ts"))})
+    counts = events.groupBy(*record, "_minute").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*record).orderBy("_minute")) - F.col("_n"))
+    within = F.row_number().over(Window.partitionBy(*record, "_minute").orderBy("ts", "event_id"))
+    ranked = events.join(before.drop("_n"), [*record, "_minute"]).withColumn(
+        "attempt", (F.col("_before") + within).cast("int"))
     return ranked.select(
         F.lit("events").alias("experiment_id"),
         F.concat_ws("_", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("record_id"),

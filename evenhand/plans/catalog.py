@@ -8,28 +8,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
+from ..functions import fixed_values as fv
 from ..functions.describe import describe_row, prompt_columns
 from ..functions.labels import age_bucket, decode, group_key, is_class, normalize_label, recode, threshold_label, with_normalized
 from ..functions.responses import classify_attempts, parse_responses
-from ..functions.text import python_text, record_id
+from ..functions.text import record_id
 from ..operators.attempts import RECORD, reduce_attempts, to_predictions
 from ..operators.compare import compare_cube, compare_summaries, pick_experiments
 from ..operators.confusion import confusion_cube
 from ..operators.distribution import (
-    class_distributions, group_sizes, label_counts, prediction_summary, totals)
+    class_distributions, group_sizes, label_counts, largest_first, prediction_summary, totals)
 from ..operators.fairness import gaps, group_rates, parity
 from ..operators.metrics import METRICS, custom_metrics, long_metrics, metric_frame
 from ..operators.prepare import analysis_set, features_except, with_targets
 from ..operators.resume import remaining, with_done
-from ..operators.runs import batch_status, completed, dataset_rollup, experiment_matrix, progress
+from ..operators.runs import batch_status, completed, dataset_rollup, experiment_matrix, progress, without_alias
 from ..operators.split import capped_sample, stratified_test_split
-from ..operators.summary import flatten_summary, summarize
+from ..operators.summary import flatten_summary, group_rows, summarize
 from ..sources import sinks
-from ..sources.files import read_checkpoint, read_csv, read_summaries, read_survey, with_row_id
-from ..sources.registry import load_dataset, with_dataset
+from ..sources.files import read_checkpoint, read_csv, read_predictions, read_summaries, read_survey, with_row_id
+from ..sources.registry import load_dataset, models_table, with_dataset
 from ..staging import new_folder, stage
-from ..streaming.scoring import drain, latest, outcome_stream, running_summary
+from ..streaming.scoring import attempt_stream, drain, latest, outcomes, running_summary
 from . import bindings as b
+from .audit import audit
 from .experiment import classify, prompts, rule_classifier
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,6 +152,22 @@ def custom_metric(spark: SparkSession, d: str) -> DataFrame:
     return rounded(by_sums.unionByName(custom_metrics(cube, {"kappa": kappa}, ("yes", "no"))), "value")
 
 
+@query
+def custom_metric_stray(spark: SparkSession, d: str) -> DataFrame:
+    """A metric function over truths and answers that both hold labels of neither class."""
+    flag, line = F.col("l_returnflag"), F.col("l_linenumber")
+    truth = F.when(flag == "R", "yes").when(flag == "A", "no").otherwise("maybe")
+    said = F.when(line == 7, "unsure").when(line == 6, "maybe").when(F.col("l_quantity") <= 25, "yes").otherwise("no")
+    cube = confusion_cube(b.loans(spark, d).select(
+        F.lit("stray").alias("experiment_id"), F.col("c_mktsegment").alias("sensitive_feature"),
+        truth.alias("ground_truth"), said.alias("prediction")))
+
+    def agreement(true: pd.Series, answer: pd.Series, weight: pd.Series) -> float:
+        return weight[true == answer].sum() / weight.sum()
+
+    return rounded(custom_metrics(cube, {"agreement": agreement}, ("yes", "no")), "value")
+
+
 # --- predictions tables -------------------------------------------------------
 
 
@@ -206,7 +225,7 @@ def summary_document(spark: SparkSession, d: str) -> DataFrame:
     predictions = b.doc_predictions(spark, d)
     cube = stage(confusion_cube(analysis_set(predictions)), "cube")
     documents = stage(summarize(cube, _doc_experiments(predictions)), "documents")
-    return rounded(flatten_summary(documents), "value")
+    return rounded(flatten_summary(documents).unionByName(group_rows(cube)), "value")
 
 
 @query
@@ -221,6 +240,105 @@ def summary_store(spark: SparkSession, d: str) -> DataFrame:
                    "demographic_parity_diff", "equalized_odds_diff")
 
 
+# --- artefacts, written and read back ------------------------------------------
+
+
+@query
+def predictions_store(spark: SparkSession, d: str) -> DataFrame:
+    """The predictions artefact; the second write replaces the first."""
+    path = new_folder(spark, "predictions")
+    for _ in range(2):
+        sinks.write_predictions(b.doc_predictions(spark, d), path)
+    return read_predictions(spark, path)
+
+
+@query
+def analysis_store(spark: SparkSession, d: str) -> DataFrame:
+    path = new_folder(spark, "analysis")
+    sinks.write_analysis(analysis_set(b.doc_predictions(spark, d)), path)
+    return read_predictions(spark, path).select(
+        "experiment_id", "record_id", "sensitive_feature", "ground_truth", "prediction", "correct")
+
+
+@query
+def label_counts_store(spark: SparkSession, d: str) -> DataFrame:
+    path, counts = new_folder(spark, "label_counts"), label_counts(b.doc_predictions(spark, d))
+    sinks.write_by_experiment(counts, path)
+    return spark.read.schema(counts.schema).json(path).select(counts.columns)
+
+
+@query
+def prediction_summary_store(spark: SparkSession, d: str) -> DataFrame:
+    path, summary = new_folder(spark, "prediction_summary"), prediction_summary(b.doc_predictions(spark, d))
+    sinks.write_by_experiment(summary, path)
+    return rounded(spark.read.schema(summary.schema).json(path).select(summary.columns), "accuracy", "mean_attempts")
+
+
+@query
+def group_rows_store(spark: SparkSession, d: str) -> DataFrame:
+    """What a summary says by group, as stored rows."""
+    path = new_folder(spark, "group_rows")
+    sinks.write_by_experiment(group_rows(confusion_cube(analysis_set(b.doc_predictions(spark, d)))), path)
+    names = schemas.GROUP_ROWS.fieldNames()
+    return rounded(spark.read.schema(schemas.GROUP_ROWS).json(path).select(names), "value")
+
+
+@query
+def unanalysed_store(spark: SparkSession, d: str) -> DataFrame:
+    """Experiments without a row to analyse, with the reason."""
+    path, rows = new_folder(spark, "unanalysed"), b.doc_predictions(spark, d)
+    failed = rows.where("experiment_id = 'short'").withColumns(
+        {"experiment_id": F.lit("failed"), "api_success": F.lit(False)})
+    both = rows.unionByName(failed)
+    sinks.write_by_experiment(audit(both, _doc_experiments(both)).without_success, path)
+    return spark.read.schema("error string, experiment_id string").json(path).select("experiment_id", "error")
+
+
+@query
+def comparison_store(spark: SparkSession, d: str) -> DataFrame:
+    path, scores = new_folder(spark, "comparison"), (
+        "accuracy", "accuracy_difference", "accuracy_ratio", "demographic_parity_diff", "equalized_odds_diff")
+    rows = compare_cube(b.loan_cube(spark, d), "yes").withColumn("dataset", F.lit("loans"))
+    sinks.write_comparison(rounded(rows, *scores), path)
+    stored = spark.read.option("header", True).csv(path)
+    return stored.select("experiment_id", "dataset", *[F.col(c).cast("double") for c in scores])
+
+
+@query
+def batch_summary_store(spark: SparkSession, d: str) -> DataFrame:
+    """Rollup and progress of a batch under the path-safe time of the run."""
+    path, rollup = new_folder(spark, "runs"), dataset_rollup(b.run_table(spark, d))
+    sinks.write_batch_summary(progress(rollup), path, STAMP)
+    stored = spark.read.schema(
+        "current_dataset string, completed_datasets long, total_datasets long, completed_so_far long, "
+        "failed_so_far long, stamp string").json(path)
+    return stored
+
+
+@query
+def largest_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The ten largest groups of a report."""
+    sizes = group_sizes(b.fine_cube(spark, d)).where("experiment_id = 'short'")
+    return rounded(largest_first(sizes, "sensitive_feature").limit(10), "percentage")
+
+
+@query
+def datasets_without_alias(spark: SparkSession, d: str) -> DataFrame:
+    names = {"AUTOMOBILE": "german_credit", "BUILDING": "compas", "FURNITURE": "folktables", "HOUSEHOLD": "heritage_health"}
+    rows = b.table(spark, d, "customer").select("c_custkey", recode("c_mktsegment", names).alias("dataset_name"))
+    return without_alias(rows).groupBy("dataset_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def models_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Runs with the name and provider of their model."""
+    keys = F.array(*[F.lit(k) for k in fv.MODELS])
+    runs = b.table(spark, d, "orders").select(
+        F.get(keys, (F.col("o_orderkey") % (len(fv.MODELS) + 1)).cast("int")).alias("model_key"))
+    return runs.join(F.broadcast(models_table(spark)), "model_key", "left").groupBy(
+        "model_key", "model_name", "api_provider").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- preparation --------------------------------------------------------------
 
 
@@ -275,26 +393,6 @@ def row_description(spark: SparkSession, d: str) -> DataFrame:
     return parts.select(record_id("p_partkey").alias("record_id"), text.alias("data_description"))
 
 
-@query
-def float_text(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers of very different size in Python's notation."""
-    line = F.col("l_linenumber")
-    factor = F.when(line == 1, 1e3).when(line == 2, 1e7).when(line == 3, 1e13).when(line == 4, 1e-4) \
-        .when(line == 5, 1e-9).when(line == 6, 1e-14).otherwise(-1e11)
-    return b.table(spark, d, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber",
-        python_text(F.col("l_extendedprice"), _double()).alias("price"),
-        python_text(F.col("l_extendedprice") * factor, _double()).alias("scaled"))
-
-
-def _double():
-    from pyspark.sql.types import DoubleType
-
-    return DoubleType()
-
-
-
-
 def _dataset_of(segment: str) -> Column:
     """Segments stand for datasets; one of them is in no registry."""
     names = {"AUTOMOBILE": "german_credit", "BUILDING": "compas", "FURNITURE": "folktables",
@@ -505,11 +603,11 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 @query
 def incremental_scoring(spark: SparkSession, d: str) -> DataFrame:
-    """The attempt reduction as a stream over conversations; run twice, same result."""
+    """Attempts classified as a stream over conversations; run twice, same outcomes."""
     out, checkpoint = new_folder(spark, "outcomes"), new_folder(spark, "outcomes-progress")
     for _ in range(2):
-        drain(outcome_stream(b.turns_as_attempts(_stream(spark, d, "conversations"))), out, checkpoint).awaitTermination()
-    return latest(spark, out)
+        drain(attempt_stream(b.turns_as_attempts(_stream(spark, d, "conversations"))), out, checkpoint, "append").awaitTermination()
+    return outcomes(spark, out)
 
 
 @query
@@ -546,7 +644,7 @@ def partition_scan(spark: SparkSession, d: str) -> DataFrame:
     orders = b.table(spark, d, "orders").select(
         "o_orderkey", "o_totalprice", F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("state"))
     orders.repartition("year", "state", F.expr("o_orderkey div 1000000")).write.partitionBy(
-        "year", "state").parquet(path)
+        "year", "state").mode("append").parquet(path)
     return read_survey(spark, path, 1997, ("F", "P"))
 
 
@@ -596,7 +694,7 @@ def load_adult(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("c_acctbal") > 5000, "Male").otherwise("Female").alias("sex"),
         F.when(F.col("c_acctbal") > 4000, " >50K.").otherwise("<=50K ").alias("income"),
         F.when(F.col("c_acctbal") > 9000, "test").otherwise("train").alias("split"))
-    rows.write.partitionBy("split").parquet(path)
+    rows.write.mode("append").partitionBy("split").parquet(path)
     return _loaded(spark, "adult_income", path)
 
 
@@ -612,7 +710,7 @@ def load_compas(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("o_totalprice") > 200000, "Male").otherwise("Female").alias("sex"),
         F.year("o_orderdate").alias("age"), F.col("o_custkey").alias("priors_count"),
         F.col("o_orderpriority").alias("c_charge_degree"), late.cast("int").alias("two_year_recid"),
-    ).orderBy("o_orderkey").write.option("header", True).csv(path)
+    ).orderBy("o_orderkey").write.mode("append").option("header", True).csv(path)
     return _loaded(spark, "compas", path)
 
 
@@ -626,6 +724,18 @@ def load_bank(spark: SparkSession, d: str) -> DataFrame:
     return _loaded(spark, "bank_marketing", _write_parts(features, targets, spark))
 
 
+@query
+def load_bank_three_labels(spark: SparkSession, d: str) -> DataFrame:
+    """A label that is neither class is a stratum like the others."""
+    docs = b.labelled_docs(spark, d)
+    features = docs.select(
+        F.col("doc_id").alias("row_id"), F.expr("n_chars div 500").alias("age"), F.col("lang").alias("job"),
+        F.col("source").alias("marital"), F.col("n_chars").alias("balance"))
+    label = F.when(F.col("toxic") == 1, "unknown").when(F.col("quality") == 1, "yes").otherwise("no")
+    targets = docs.select(F.col("doc_id").alias("row_id"), label.alias("y"))
+    return _loaded(spark, "bank_marketing", _write_parts(features, targets, spark))
+
+
 @query
 def load_folktables(spark: SparkSession, d: str) -> DataFrame:
     path = new_folder(spark, "acs")
@@ -635,7 +745,7 @@ def load_folktables(spark: SparkSession, d: str) -> DataFrame:
         F.substring("o_orderpriority", 1, 1).cast("double").alias("RAC1P"),
         (F.col("o_totalprice") / 4).alias("PINCP"), F.lit(2018).alias("year"),
         F.when(F.col("o_totalprice") > 480000, "NV").otherwise("CA").alias("state"),
-    ).write.partitionBy("year", "state").parquet(path)
+    ).write.mode("append").partitionBy("year", "state").parquet(path)
     return _loaded(spark, "folktables", path)
 
 
@@ -645,8 +755,9 @@ def load_diabetes(spark: SparkSession, d: str) -> DataFrame:
     features = orders.select(
         F.col("o_orderkey").alias("row_id"), _age_range().alias("age"), F.col("o_orderpriority").alias("race"),
         F.col("o_custkey").alias("num_medications"), F.year("o_orderdate").alias("time_in_hospital"))
-    targets = orders.where(F.col("o_totalprice") > 10000).select(
-        F.col("o_orderkey").alias("row_id"), recode("o_orderstatus", {"F": "<30", "O": " NO", "P": ">30"}).alias("readmitted"))
+    outcome = recode("o_orderstatus", {"F": "<30", "O": " NO", "P": ">30"})
+    targets = orders.select(
+        F.col("o_orderkey").alias("row_id"), F.when(F.col("o_totalprice") > 10000, outcome).alias("readmitted"))
     return _loaded(spark, "heritage_health", _write_parts(features, targets, spark))
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +22,7 @@ from ..operators.prepare import conform
 from ..operators.resume import remaining
 from ..sources import sinks
 from ..sources.files import read_checkpoint
-from ..sources.registry import DatasetConfig, Loaded, load_dataset
+from ..sources.registry import DatasetConfig, load_dataset
 from ..staging import new_folder, stage
 from .answers import Responder, ask_in_rounds
 
@@ -70,7 +72,7 @@ def answered(samples: DataFrame, responses: DataFrame, config: DatasetConfig, ex
              max_attempts: int = fv.MAX_ATTEMPTS) -> DataFrame:
     """Predictions out of a table of raw responses (``schemas.RESPONSES``)."""
     mine = responses.where(F.col("experiment_id") == experiment)
-    outcomes = reduce_attempts(classify_attempts(mine, max_attempts), ("record_id",), max_attempts)
+    outcomes = reduce_attempts(classify_attempts(mine, max_attempts), ("record_id",))
     when = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     rows = to_predictions(
         samples.select("record_id", "ground_truth", "sensitive_feature"),
@@ -78,37 +80,54 @@ def answered(samples: DataFrame, responses: DataFrame, config: DatasetConfig, ex
     return conform(rows.withColumn("experiment_id", F.lit(experiment)))
 
 
+@dataclass(frozen=True)
+class Prepared:
+    """A dataset's test samples with their prompts, written once for all models."""
+
+    prompted: DataFrame
+    config: DatasetConfig
+
+
+def prepare(spark: SparkSession, dataset: str, path: str, test_size: float = fv.TEST_SIZE,
+            seed: int = fv.RANDOM_STATE) -> Prepared:
+    """Loads, splits and renders a dataset in one job."""
+    loaded = load_dataset(spark, dataset, path, test_size, seed)
+    return Prepared(stage(prompts(loaded.described(), loaded.config), "prompts"), loaded.config)
+
+
 def run_experiment(
     spark: SparkSession, dataset: str, path: str, model: str, stamp: str, layout: sinks.Layout,
     make_classifier: Callable[[], Classifier] | None = None, responses: DataFrame | None = None,
     test_size: float = fv.TEST_SIZE, seed: int = fv.RANDOM_STATE, rounds: int = 1,
     tasks: int | None = None, make_responder: Callable[[], Responder] | None = None, provider: str = fv.TOGETHER,
+    resume: bool = True, prepared: Prepared | None = None,
 ) -> DataFrame:
-    """Loads, scores what the checkpoint lacks, appends it, and returns all predictions.
+    """Scores what the checkpoint lacks, appends it, and returns all predictions.
 
     Answers come from a classifier, from a table of raw responses, or from a responder
     that gives raw responses (parsed and retried here). The id follows from
-    dataset, model and ``stamp``, so the same call resumes an interrupted run. With
-    several ``rounds`` the prompts are written out once and scored in as many parts,
-    each appended when it is done; a crash then costs one part of the calls.
+    dataset, model and ``stamp``, so the same call resumes an interrupted run; without
+    ``resume`` all is scored anew and replaces what the checkpoint has. With several
+    ``rounds`` the prompts are scored in as many parts, each appended when it is done; a
+    crash then costs one part of the calls. ``prepared`` saves loading the dataset again.
     """
-    loaded: Loaded = load_dataset(spark, dataset, path, test_size, seed)
-    config = loaded.config
-    experiment = hashlib.md5(f"{dataset}_{model}_{stamp}".encode()).hexdigest()[:8]
-    done = read_checkpoint(spark, layout.checkpoints).where(F.col("experiment_id") == experiment)
-    todo = remaining(loaded.samples, done)
+    ready = prepared or prepare(spark, dataset, path, test_size, seed)
+    config, experiment = ready.config, hashlib.md5(f"{dataset}_{model}_{stamp}".encode()).hexdigest()[:8]
+    if resume:
+        done = read_checkpoint(spark, layout.checkpoints).where(F.col("experiment_id") == experiment)
+        todo, keep = remaining(ready.prompted, done), sinks.append_checkpoint
+    else:
+        todo, keep = ready.prompted, sinks.write_predictions
     if make_responder is not None:
-        prompted = stage(prompts(Loaded(todo, loaded.feature_columns, config).described(), config), "prompts")
-        responses = ask_in_rounds(prompted, make_responder, experiment, provider, layout.responses, tasks=tasks)
-        todo = prompted
+        log = layout.responses if resume else f"{layout.responses}-anew-{uuid.uuid4().hex[:12]}"
+        responses = ask_in_rounds(todo, make_responder, experiment, provider, log, tasks=tasks)
     if responses is not None:
-        sinks.append_checkpoint(answered(todo, responses, config, experiment), layout.checkpoints)
+        keep(answered(todo, responses, config, experiment), layout.checkpoints)
     else:
-        prompted = prompts(Loaded(todo, loaded.feature_columns, config).described(), config)
-        for part in _parts(prompted, rounds):
+        for part in _parts(todo, rounds):
             scored = classify(part, make_classifier, experiment, stamp, tasks=tasks)
-            sinks.append_checkpoint(
-                conform(judged(scored, config.positive_class, config.negative_class)), layout.checkpoints)
+            keep(conform(judged(scored, config.positive_class, config.negative_class)), layout.checkpoints)
+            keep = sinks.append_checkpoint
     return read_checkpoint(spark, layout.checkpoints).where(F.col("experiment_id") == experiment)
 
 
@@ -116,9 +135,9 @@ def _parts(prompted: DataFrame, rounds: int) -> Iterator[DataFrame]:
     if rounds <= 1:
         yield prompted
         return
-    path = new_folder(prompted.sparkSession, "prompts")
+    path = new_folder(prompted.sparkSession, "rounds")
     numbered = prompted.withColumn("round", F.pmod(F.xxhash64("record_id"), F.lit(rounds)).cast("int"))
-    numbered.write.partitionBy("round").parquet(path)
+    numbered.write.mode("append").partitionBy("round").parquet(path)
     written = prompted.sparkSession.read.schema(numbered.schema).parquet(path)
     for number in range(rounds):
         yield written.where(F.col("round") == number).drop("round")

@@ -201,6 +201,33 @@ UNION ALL SELECT e, kind, NULL, g, label, count(*), count(*) * 100.0::DOUBLE / s
 UNION ALL SELECT e, 'metrics_by_group', metric, g, NULL, NULL, v FROM long WHERE level = 'group')
 SELECT e AS experiment_id, section, metric, g AS grp, label, c::BIGINT AS "count", round(v, 6) AS value FROM out"""
 
+# --- artefacts --------------------------------------------------------------------------
+
+ORACLES["custom_metric_stray"] = """WITH rows_ AS (SELECT c_mktsegment AS g,
+  CASE l_returnflag WHEN 'R' THEN 'yes' WHEN 'A' THEN 'no' ELSE 'maybe' END AS t,
+  CASE WHEN l_linenumber = 7 THEN 'unsure' WHEN l_linenumber = 6 THEN 'maybe' WHEN l_quantity <= 25 THEN 'yes' ELSE 'no' END AS p
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)
+SELECT 'stray' AS experiment_id, g AS sensitive_feature, CASE grouping(g) WHEN 1 THEN 'overall' ELSE 'group' END AS level,
+  'agreement' AS metric, round(count(*) FILTER (t = p) / count(*), 6) AS value FROM rows_ GROUP BY GROUPING SETS ((g), ())"""
+ORACLES["predictions_store"] = f"WITH {PREDICTIONS} SELECT * FROM predictions"
+ORACLES["analysis_store"] = ORACLES["analysis_filter"]
+ORACLES["label_counts_store"] = ORACLES["prediction_label_counts"]
+ORACLES["prediction_summary_store"] = ORACLES["prediction_summary"]
+ORACLES["group_rows_store"] = ORACLES["summary_document"] + " WHERE section IN ('group_sizes', 'ground_truth', 'predictions', 'metrics_by_group')"
+ORACLES["unanalysed_store"] = "SELECT DISTINCT 'failed' AS experiment_id, 'No successful predictions' AS error FROM labels"
+ORACLES["comparison_store"] = _comparison(LOAN_ROWS, "'yes'", ["taxwise", "broad", "careful"], "'loans' AS dataset,").replace(
+    "SELECT pos, e AS", "SELECT e AS")
+ORACLES["largest_groups"] = f"""SELECT * FROM ({ORACLES["group_sizes"]}) WHERE experiment_id = 'short'
+ORDER BY "count" DESC, sensitive_feature LIMIT 10"""
+_LIMITED = " ".join(f"WHEN {i} THEN {_quoted(k)}" for i, k in enumerate(fv.MODELS))
+_NAMED = ", ".join(f"({_quoted(k)}, {_quoted(n)}, {_quoted(p)})" for k, (n, p) in fv.MODELS.items())
+ORACLES["models_lookup"] = f"""WITH models(model_key, model_name, api_provider) AS (VALUES {_NAMED}),
+runs AS (SELECT CASE o_orderkey % {len(fv.MODELS) + 1} {_LIMITED} END AS model_key FROM orders)
+SELECT model_key, model_name, api_provider, count(*) AS n FROM runs LEFT JOIN models USING (model_key) GROUP BY ALL"""
+ORACLES["datasets_without_alias"] = """SELECT CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'german_credit' WHEN 'BUILDING' THEN 'compas'
+  ELSE 'folktables' END AS dataset_name, count(*) AS n FROM customer
+WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE') GROUP BY 1"""
+
 # --- preparation ------------------------------------------------------------------------
 
 ORACLES["target_recode"] = f"""SELECT {_rec('o_orderkey')} AS record_id,
@@ -222,9 +249,6 @@ ORACLES["row_description"] = f"""SELECT {_rec('p_partkey')} AS record_id,
   'p_name: ' || p_name || chr(10) || 'p_brand: ' || p_brand || chr(10) || 'Kind: ' ||
   CASE p_type WHEN 'PROMO' THEN 'special offer' ELSE p_type END || chr(10) || 'p_size: ' || p_size || chr(10) ||
   'p_retailprice: ' || p_retailprice::VARCHAR AS data_description FROM part"""
-ORACLES["float_text"] = """SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice::VARCHAR AS price,
-  (l_extendedprice * CASE l_linenumber WHEN 1 THEN 1e3 WHEN 2 THEN 1e7 WHEN 3 THEN 1e13 WHEN 4 THEN 1e-4
-    WHEN 5 THEN 1e-9 WHEN 6 THEN 1e-14 ELSE -1e11 END)::VARCHAR AS scaled FROM lineitem"""
 
 _DATASETS = [
     ("german_credit", "German Credit", "finance", "good", "bad", "assess credit risk for loan approval"),
@@ -294,13 +318,7 @@ read4 AS (SELECT *, json_type(doc) AS top, json_type(doc, '$.prediction_label')
     ELSE regexp_extract(content, '(?i)prediction_label[:\\s]+([^,\\n]+)', 1) END, '') END AS found,
   nullif(CASE WHEN fenced THEN regexp_extract(content, '(?is)reasoning["\\s:]+(.+?)(?:\\n|$|")', 1)
     ELSE regexp_extract(content, '(?is)reasoning[:\\s]+(.+)', 1) END, '') AS said FROM read3),
-read5 AS (SELECT *, CASE WHEN top <> 'OBJECT' THEN '''' || CASE top WHEN 'ARRAY' THEN 'list' WHEN 'VARCHAR' THEN 'str'
-      WHEN 'NULL' THEN 'NoneType' WHEN 'BOOLEAN' THEN 'bool' WHEN 'DOUBLE' THEN 'float' ELSE 'int' END
-      || ''' object has no attribute ''get'''
-    WHEN lt <> 'VARCHAR' THEN '''' || CASE lt WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'dict'
-      WHEN 'NULL' THEN 'NoneType' WHEN 'BOOLEAN' THEN 'bool' WHEN 'DOUBLE' THEN 'float' ELSE 'int' END
-      || ''' object has no attribute ''strip'''
-    WHEN content IS NULL THEN 'the JSON object must be str, bytes or bytearray, not NoneType' END AS bad FROM read4),
+read5 AS (SELECT *, CASE WHEN top <> 'OBJECT' OR lt <> 'VARCHAR' OR content IS NULL THEN true END AS bad FROM read4),
 read6 AS (SELECT *, CASE WHEN bad IS NULL THEN lower({_strip(f"""CASE WHEN doc IS NOT NULL
     THEN coalesce(doc->>'$.prediction_label', '')
     ELSE trim(trim({_strip('found')}, '"'), '''') END""")}) END AS lab FROM read5),
@@ -311,8 +329,8 @@ parsed AS (SELECT * EXCLUDE (lab),
   CASE WHEN nullif(lab, '') IS NULL THEN NULL
     WHEN doc IS NOT NULL THEN CASE WHEN json_type(doc, '$.reasoning') IS NULL THEN 'No reasoning provided'
       ELSE doc->>'$.reasoning' END
-    ELSE left(coalesce({_strip('said')}, 'No reasoning'), 200) END AS why,
-  CASE WHEN bad IS NOT NULL THEN 'API error: ' || bad
+    ELSE coalesce({_strip('said')}, 'No reasoning') END AS why,
+  CASE WHEN bad IS NOT NULL THEN '{fv.MISSHAPEN}'
     WHEN lab IS NULL THEN '{fv.UNPARSEABLE}'
     WHEN lab = '' THEN 'Empty prediction (keys: [' || CASE WHEN found IS NOT NULL THEN '''prediction_label'', ''reasoning'''
       ELSE list_aggregate(list_transform(json_keys(doc), lambda k: '''' || k || ''''), 'string_agg', ', ') END || '])'
@@ -321,9 +339,10 @@ parsed AS (SELECT * EXCLUDE (lab),
 _SHAPES = [
     _json("'good'", "text"), _json("' Good '", "text"),
     "'Sure:' || chr(10) || '```json' || chr(10) || " + _json("'good'", "text") + " || chr(10) || '```' || chr(10) || 'bye'",
-    """'{"prediction_label": "bad", "reas'""", "'prediction_label: good, reasoning: ' || text",
-    """'{"prediction_label": ""}'""", """'{"prediction_label": 1}'""", """'{"prediction_label": null}'""", "'[1]'",
-    """'{"label": "good"}'""", _json("'good'", "text") + " || ' trailing'", "text",
+    f"left({_json("'bad'", 'text')}, -2)", "'prediction_label: good, reasoning: ' || text",
+    _json("''", "text"), "json_object('prediction_label', 1, 'reasoning', text)::VARCHAR",
+    "json_object('prediction_label', NULL, 'reasoning', text)::VARCHAR", "json_array(text)::VARCHAR",
+    "json_object('label', 'good', 'reasoning', text)::VARCHAR", _json("'good'", "text") + " || ' trailing'", "text",
 ]
 _CASES = " ".join(f"WHEN {i} THEN {shape}" for i, shape in enumerate(_SHAPES))
 ORACLES["parse_response"] = f"""WITH answers AS (SELECT doc_id,
@@ -340,7 +359,7 @@ answers AS (SELECT 'events' AS experiment_id, user_id || '_' || strftime(ts, '%Y
   1 AS finish_reason,
   CASE event_type WHEN 'purchase' THEN {_json("'Yes'", 'props')} WHEN 'click' THEN props
     WHEN 'signup' THEN '{{"prediction_label": " "}}' END AS content, ts
-  FROM ordered WHERE attempt <= 5)"""
+  FROM ordered)"""
 _TURNS = f"""answers AS (SELECT 'turns' AS experiment_id, {_rec('conv_id')} AS record_id,
   CASE conv_id % 3 WHEN 0 THEN 'together' WHEN 1 THEN 'gemini' ELSE 'openai' END AS provider,
   (turn + 1)::INTEGER AS attempt, CASE role WHEN 'assistant' THEN 'ok' ELSE 'error' END AS status,
@@ -378,7 +397,7 @@ tried AS (SELECT *, CASE WHEN outcome = 'success' THEN NULL WHEN held IS NOT NUL
     WHEN outcome IN ('json_error', 'api_error') THEN 1 ELSE 0 END AS wait_seconds FROM kinds)"""
 
 REDUCED = """ends AS (SELECT experiment_id, record_id,
-  coalesce(min(attempt) FILTER (stops), max(attempt)) AS made FROM tried WHERE attempt <= 5 GROUP BY ALL),
+  coalesce(min(attempt) FILTER (stops), max(attempt)) AS made FROM tried GROUP BY ALL),
 used AS (SELECT t.*, made FROM tried t JOIN ends USING (experiment_id, record_id) WHERE attempt <= made),
 reduced AS (SELECT experiment_id, record_id, max(label) FILTER (attempt = made AND outcome = 'success') AS prediction_label,
   max(why) FILTER (attempt = made AND outcome = 'success') AS reasoning,
@@ -459,6 +478,8 @@ ORACLES["progress_snapshot"] = f"""WITH {_RUNS} SELECT dataset AS current_datase
   row_number() OVER (ORDER BY dataset) AS completed_datasets, count(*) OVER () AS total_datasets,
   sum(completed_models) OVER (ORDER BY dataset)::BIGINT AS completed_so_far,
   sum(failed_models) OVER (ORDER BY dataset)::BIGINT AS failed_so_far FROM rollup_"""
+ORACLES["batch_summary_store"] = ORACLES["progress_snapshot"].replace(
+    "SELECT dataset AS current_dataset", "SELECT '2024-01-01T00-00-00' AS stamp, dataset AS current_dataset")
 ORACLES["running_totals"] = f"""WITH limits(experiment_id, lim) AS (VALUES ('low', 10), ('high', 40)),
 rows_ AS (SELECT experiment_id, l_linestatus = 'F' AS api_success, l_linestatus = 'F' AND l_quantity >= lim AS correct,
   l_linenumber AS attempts_made FROM lineitem, limits)
@@ -500,12 +521,14 @@ ORACLES["load_compas"] = _loader(f"""SELECT {_rec('id')} AS record_id,
 ORACLES["load_bank"] = _loader(f"""SELECT {_rec('doc_id')} AS record_id,
   CASE quality WHEN 1 THEN 'yes' ELSE 'no' END AS ground_truth, (n_chars // 500) || '_' || lang AS sensitive_feature,
   'balance: ' || n_chars AS data_description FROM docs""", DOCS + ",")
+ORACLES["load_bank_three_labels"] = _loader(f"""SELECT {_rec('doc_id')} AS record_id,
+  CASE WHEN toxic = 1 THEN 'unknown' WHEN quality = 1 THEN 'yes' ELSE 'no' END AS ground_truth,
+  (n_chars // 500) || '_' || lang AS sensitive_feature, 'balance: ' || n_chars AS data_description FROM docs""", DOCS + ",")
 ORACLES["load_folktables"] = _loader(f"""SELECT {_rec('o_orderkey')} AS record_id,
   CASE WHEN o_totalprice / 4 > 50000 THEN 'high_income' ELSE 'low_income' END AS ground_truth,
   CASE o_orderstatus WHEN 'F' THEN '1.0' ELSE '2.0' END || '_' || substr(o_orderpriority, 1, 1) || '.0' AS sensitive_feature,
   'AGEP: ' || o_custkey::DOUBLE::VARCHAR AS data_description FROM capped""",
-    """capped AS (SELECT * FROM orders WHERE o_totalprice <= 480000
-  ORDER BY md5(o_orderkey || '_42'), o_orderkey LIMIT 5000),""")
+    "capped AS (SELECT * FROM orders WHERE o_totalprice <= 480000),")
 ORACLES["load_diabetes"] = _loader(f"""SELECT {_rec('o_orderkey')} AS record_id,
   CASE o_orderstatus WHEN 'F' THEN 'readmitted' ELSE 'not_readmitted' END AS ground_truth,
   {_SENIOR} AS sensitive_feature,

@@ -38,7 +38,6 @@ RUN_RESULTS = struct(
     successful_predictions=_L, failed_predictions=_L, accuracy=_D,
 )
 
-_SHARE = struct(count=_L, percentage=_D)
 _SCORES = T.MapType(_S, _D)
 
 SUMMARY = struct(
@@ -48,8 +47,7 @@ SUMMARY = struct(
     group_summary=T.MapType(_S, struct(
         best_group=_S, best_value=_D, worst_group=_S, worst_value=_D, gap=_D)),
     binary_metrics=struct(demographic_parity_difference=_D, equalized_odds_difference=_D),
-    group_sizes=T.MapType(_S, _SHARE),
-    class_distributions=T.MapType(_S, struct(
-        ground_truth=T.MapType(_S, _SHARE), predictions=T.MapType(_S, _SHARE), accuracy=_D)),
-    metrics_by_group=T.MapType(_S, _SCORES),
 )
+
+# What a summary says by group, a row per group and label or metric.
+GROUP_ROWS = struct(experiment_id=_S, section=_S, metric=_S, grp=_S, label=_S, count=_L, value=_D)

@@ -37,18 +37,18 @@ def read_survey(spark: SparkSession, path: str, year: int = 2018, states: tuple[
 def with_row_id(df: DataFrame) -> DataFrame:
     """Adds a dense ``row_id`` in file order, for a source that has no key.
 
-    Rows are numbered within a file block; blocks are numbered by path and offset,
-    so no sort of the rows takes place. Run it once at ingest, on a plain scan.
+    One pass over the source writes its rows, each with its file, block and place; the
+    number of rows before each block is then counted in what was written, so blocks and
+    rows always agree, however the source is split. Run it once at ingest, on a plain scan.
     """
-    placed = df.withColumns({
+    placed = stage(df.withColumns({
         "_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"),
         "_id": F.monotonically_increasing_id(),
-    })
+    }), "ingest")
     blocks = placed.groupBy("_file", "_start").agg(
         F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     order = Window.partitionBy().orderBy("_file", "_start")
     offsets = blocks.withColumn("_before", F.sum("_rows").over(order) - F.col("_rows")).drop("_rows")
-    offsets = stage(offsets, "file_blocks")
     return placed.join(offsets, ["_file", "_start"]).withColumn(
         "row_id", F.col("_before") + F.col("_id") - F.col("_first")
     ).drop("_file", "_start", "_id", "_first", "_before")

@@ -13,11 +13,10 @@ from ..functions import fixed_values as fv
 from ..functions.describe import describe_credit
 from ..functions.labels import age_bucket, group_key, recode, threshold_label
 from ..functions.text import python_text, record_id, ws_strip
-from ..operators.prepare import features_except, features_kept, member_of, to_samples, with_targets
+from ..operators.prepare import features_except, features_kept, member_of, to_samples
 from ..operators.split import capped_sample
-from ..staging import stage
 from .files import read_csv, read_parts, read_split, read_survey, with_row_id
-from .registry import DatasetConfig, register
+from .registry import DatasetConfig, TwoParts, register
 
 # Names, classes and task texts of the datasets.
 ADULT = DatasetConfig(
@@ -75,38 +74,40 @@ def compas(spark: SparkSession, path: str, seed: int) -> DataFrame:
 
 
 @register(CREDIT)
-def german_credit(spark: SparkSession, path: str, seed: int) -> DataFrame:
+def german_credit(spark: SparkSession, path: str, seed: int) -> TwoParts:
     """The group stays the raw code, stripped."""
-    df = with_targets(*read_parts(spark, path))
-    features = features_except(df, "class", "row_id", "Attribute9")
-    return to_samples(df, record_id("row_id"), recode("class", fv.CREDIT_TARGET),
-                      ws_strip(python_text("Attribute9")), features)
+    features, targets = read_parts(spark, path)
+    return TwoParts(features, targets, recode("class", fv.CREDIT_TARGET), ws_strip(python_text("Attribute9")),
+                    tuple(features_except(features, "row_id", "Attribute9")))
 
 
 @register(FOLKTABLES)
 def folktables(spark: SparkSession, path: str, seed: int) -> DataFrame:
-    """Large: a capped sample is drawn before anything else, and written, as the split
-    reads it several times."""
-    df = stage(capped_sample(read_survey(spark, path), fv.MAX_SAMPLES, "row_id", seed), "survey_sample")
+    """All survey rows of the default year and states; ``survey_samples`` draws fewer."""
+    return survey_samples(read_survey(spark, path))
+
+
+def survey_samples(df: DataFrame, max_samples: int | None = None, seed: int = fv.RANDOM_STATE) -> DataFrame:
+    """Samples out of survey rows; with ``max_samples``, so many of them by hash order."""
+    if max_samples is not None:
+        df = capped_sample(df, max_samples, "row_id", seed)
     label = threshold_label("PINCP", fv.INCOME_THRESHOLD, "high_income", "low_income")
     features = features_except(df, "PINCP", "row_id", "RAC1P", "SEX")
     return to_samples(df, record_id("row_id"), label, _key(df, "SEX", "RAC1P"), features)
 
 
 @register(BANK)
-def bank_marketing(spark: SparkSession, path: str, seed: int) -> DataFrame:
-    df = with_targets(*read_parts(spark, path))
-    features = features_except(df, "y", "row_id", "age", "job", "marital")
-    return to_samples(df, record_id("row_id"), ws_strip(python_text("y")), _key(df, "age", "job"), features)
+def bank_marketing(spark: SparkSession, path: str, seed: int) -> TwoParts:
+    features, targets = read_parts(spark, path)
+    return TwoParts(features, targets, ws_strip(python_text("y")), _key(features, "age", "job"),
+                    tuple(features_except(features, "row_id", "age", "job", "marital")))
 
 
 @register(HERITAGE)
 @register(DIABETES)
-def diabetes_readmission(spark: SparkSession, path: str, seed: int) -> DataFrame:
+def diabetes_readmission(spark: SparkSession, path: str, seed: int) -> TwoParts:
     """Three outcomes become two; rows with another outcome are dropped."""
-    df = with_targets(*read_parts(spark, path))
-    df = df.withColumn("readmitted", recode(ws_strip("readmitted"), fv.READMISSION_TARGET))
-    group = age_bucket("age") if "age" in df.columns else F.lit(fv.JUNIOR)
-    kept = df.dropna(subset=["readmitted"])
-    return to_samples(kept, record_id("row_id"), F.col("readmitted"), group,
-                      features_kept(df, fv.READMISSION_FEATURES))
+    features, targets = read_parts(spark, path)
+    group = age_bucket("age") if "age" in features.columns else F.lit(fv.JUNIOR)
+    return TwoParts(features, targets, recode(ws_strip("readmitted"), fv.READMISSION_TARGET), group,
+                    tuple(features_kept(features, fv.READMISSION_FEATURES)))

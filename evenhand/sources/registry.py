@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.describe import Describe, describe_row
+from ..functions.text import record_id
+from ..operators.prepare import to_samples
 from ..operators.split import stratified_test_split
 
 
@@ -41,7 +43,29 @@ class Loaded:
                                    text.alias("data_description"))
 
 
-Loader = Callable[[SparkSession, str, int], DataFrame]
+@dataclass(frozen=True)
+class TwoParts:
+    """A dataset whose targets are a narrow table of their own. It is split by the targets
+    alone; only rows that are kept are joined to their features. A target without features
+    is a sample with missing ones; features without a target are no sample."""
+
+    features: DataFrame
+    targets: DataFrame
+    truth: Column
+    group: Column
+    feature_columns: tuple[str, ...]
+    key: str = "row_id"
+
+    def labels(self) -> DataFrame:
+        return self.targets.select(self.key, record_id(self.key).alias("record_id"), self.truth.alias("ground_truth")).where(
+            F.col("ground_truth").isNotNull())
+
+    def samples(self, labels: DataFrame) -> DataFrame:
+        joined = labels.join(self.features, self.key, "left")
+        return to_samples(joined, F.col("record_id"), F.col("ground_truth"), self.group, self.feature_columns)
+
+
+Loader = Callable[[SparkSession, str, int], "DataFrame | TwoParts"]
 DATASETS: dict[str, tuple[DatasetConfig, Loader]] = {}
 
 
@@ -61,21 +85,33 @@ def dataset_config(name: str) -> DatasetConfig:
     return DATASETS[name][0]
 
 
+def _loaded(name: str, source: DataFrame | TwoParts, choose: Callable[[DataFrame], DataFrame]) -> Loaded:
+    if isinstance(source, TwoParts):
+        return Loaded(source.samples(choose(source.labels())), source.feature_columns, dataset_config(name))
+    return Loaded(choose(source), tuple(source.columns[3:]), dataset_config(name))
+
+
 def load_all(spark: SparkSession, name: str, path: str, seed: int = fv.RANDOM_STATE) -> Loaded:
     """Every sample of a dataset, before the split."""
-    config = dataset_config(name)
-    samples = DATASETS[name][1](spark, path, seed)
-    return Loaded(samples, tuple(samples.columns[3:]), config)
+    dataset_config(name)
+    return _loaded(name, DATASETS[name][1](spark, path, seed), lambda rows: rows)
 
 
 def load_dataset(
     spark: SparkSession, name: str, path: str, test_size: float = fv.TEST_SIZE, seed: int = fv.RANDOM_STATE
 ) -> Loaded:
-    """The test samples of a dataset: loader, then the exact stratified split."""
-    loaded = load_all(spark, name, path, seed)
+    """The test samples of a dataset: loader, then the exact stratified split. Every label
+    is a stratum, also one that is not among the dataset's two classes."""
+    dataset_config(name)
+    return _loaded(name, DATASETS[name][1](spark, path, seed),
+                   lambda rows: stratified_test_split(rows, test_size=test_size, seed=seed))
+
+
+def foreign_labels(loaded: Loaded) -> DataFrame:
+    """Labels of samples that are not among the dataset's classes, with their counts."""
     classes = (loaded.config.positive_class, loaded.config.negative_class)
-    test = stratified_test_split(loaded.samples, test_size=test_size, seed=seed, classes=classes)
-    return Loaded(test, loaded.feature_columns, loaded.config)
+    return loaded.samples.where(~F.col("ground_truth").isin(*classes)).groupBy("ground_truth").agg(
+        F.count(F.lit(1)).alias("count"))
 
 
 def datasets_table(spark: SparkSession, names: Sequence[str] | None = None) -> DataFrame:

@@ -23,6 +23,10 @@ class Layout:
     configs = property(lambda self: self.table("configs"))
     responses = property(lambda self: self.table("responses"))
     predictions = property(lambda self: self.table("predictions"))
+    prediction_summaries = property(lambda self: self.table("prediction_summaries"))
+    label_counts = property(lambda self: self.table("label_counts"))
+    unanalysed = property(lambda self: self.table("unanalysed"))
+    group_rows = property(lambda self: self.table("group_rows"))
     analysis = property(lambda self: self.table("analysis"))
     summaries = property(lambda self: self.table("summaries"))
     logs = property(lambda self: self.table("logs"))
@@ -31,9 +35,9 @@ class Layout:
     runs = property(lambda self: self.table("runs"))
 
 
-def write_predictions(predictions: DataFrame, path: str, mode: str = "append") -> None:
-    """Ten-column predictions as Parquet by experiment."""
-    conform(predictions).write.mode(mode).partitionBy("experiment_id").parquet(path)
+def write_predictions(predictions: DataFrame, path: str) -> None:
+    """Ten-column predictions as Parquet by experiment; an experiment's new ones replace its old."""
+    _replace_partitions(conform(predictions), path, "parquet", "experiment_id")
 
 
 def export_csv(rows: DataFrame, path: str) -> None:
@@ -42,7 +46,7 @@ def export_csv(rows: DataFrame, path: str) -> None:
 
 def append_checkpoint(predictions: DataFrame, path: str) -> None:
     """Adds finished rows; rows already there are never rewritten."""
-    write_predictions(predictions, path)
+    conform(predictions).write.mode("append").partitionBy("experiment_id").parquet(path)
 
 
 def _replace_partitions(rows: DataFrame, path: str, form: str, *keys: str) -> None:
@@ -60,6 +64,12 @@ def write_configs(experiments: DataFrame, path: str) -> None:
     _replace_partitions(experiments, path, "json", "dataset_name", "experiment_id")
 
 
+def write_by_experiment(rows: DataFrame, path: str) -> None:
+    """Prediction summaries, label counts, group rows, or reasons why there is no analysis, as
+    JSON by experiment."""
+    _replace_partitions(rows, path, "json", "experiment_id")
+
+
 def write_summaries(documents: DataFrame, path: str) -> None:
     """Summary documents as JSON lines, a folder per dataset and experiment."""
     _replace_partitions(documents, path, "json", "dataset", "experiment_id")

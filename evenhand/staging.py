@@ -1,34 +1,32 @@
-"""Intermediate tables in the shared folder the session names."""
+"""Intermediate tables in the shared folder that the session names."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_LOCAL: dict[str, str] = {}
-
-
 def work_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. Only where a session has none, as on a
-    single machine, a local folder serves; a cluster names its shared one."""
+    """``spark.checkpoint.dir`` of the session, else a folder in its warehouse; on a cluster
+    either is one that all executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
-    return _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="evenhand-"))
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{work_folder(spark).rstrip('/')}/evenhand/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder, which is deleted when the session's JVM ends."""
+    path = f"{work_folder(spark).rstrip('/')}/evenhand/{name}-{uuid.uuid4().hex[:12]}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(place)
+    system.deleteOnExit(place)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a small result and read it back: lineage ends, and the planner knows its size."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.mode("append").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -21,10 +21,15 @@ def response_stream(spark: SparkSession, path: str, files_per_trigger: int = CHE
         "maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def outcome_stream(responses: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """The attempt reduction as a streaming aggregation: the state holds the attempt
-    slots of a record, so its attempts may arrive in any order and in any batch."""
-    return reduce_attempts(classify_attempts(responses, max_attempts), RECORD, max_attempts)
+def attempt_stream(responses: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """Classified attempts as a stream without state: each response is parsed once, when
+    it arrives, so a record may have any number of attempts, in any order and batch."""
+    return classify_attempts(responses, max_attempts)
+
+
+def outcomes(spark: SparkSession, out: str, keys: Sequence[str] = RECORD) -> DataFrame:
+    """Outcomes per record of all attempts that a drained stream has written."""
+    return reduce_attempts(spark.read.parquet(out), keys)
 
 
 def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "update") -> StreamingQuery:

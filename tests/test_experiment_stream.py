@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from conftest import collect
 from pyspark.sql import functions as F
 
@@ -10,10 +11,11 @@ from evenhand.functions.fixed_values import MODELS
 from evenhand.plans.audit import audit
 from evenhand.plans.batch import compare_stored, reaudit, run_batch
 from evenhand.plans.experiment import rule_classifier, run_experiment
-from evenhand.sources.files import read_summaries
+from evenhand.plans import experiment
+from evenhand.sources.files import read_predictions, read_summaries
 from evenhand.sources.registry import load_dataset
 from evenhand.sources.sinks import Layout
-from evenhand.streaming.scoring import drain, latest, outcome_stream, response_stream, running_summary
+from evenhand.streaming.scoring import attempt_stream, drain, latest, outcomes, response_stream, running_summary
 
 T0 = dt.datetime(2024, 1, 1)
 GOOD = '{"prediction_label": "good", "reasoning": "r"}'
@@ -139,6 +141,45 @@ def test_batch_of_experiments(spark, tmp_path):
     again = {names[r.model]: r.status for r in run_batch(spark, paths, "s1", layout, lambda m: rule()).collect()}
     assert set(again.values()) == {"completed"}
     assert read_summaries(spark, layout.summaries).count() == 3
+    assert read_predictions(spark, layout.predictions).count() == 60
+    assert spark.read.json(layout.prediction_summaries).count() == 3
+    assert spark.read.json(layout.group_rows).where("section = 'group_sizes'").count() == 9
+
+
+def test_batch_loads_a_dataset_once_and_reports_what_has_no_analysis(spark, tmp_path, monkeypatch):
+    paths, layout, loads = {"german_credit": credit_files(spark, tmp_path / "in", 100)}, Layout(str(tmp_path / "out")), []
+    load = experiment.load_dataset
+    monkeypatch.setattr(experiment, "load_dataset", lambda *a: loads.append(a[1]) or load(*a))
+    runs = run_batch(spark, paths, "s1", layout, lambda m: nobody(), models=("LLAMA_8B", "LLAMA_70B"))
+    assert loads == ["german_credit"]
+    assert {r.status for r in runs.collect()} == {"completed"}
+    reasons = spark.read.json(layout.unanalysed).collect()
+    assert len(reasons) == 2 and {r.error for r in reasons} == {"No successful predictions"}
+
+
+def nobody():
+    def make():
+        return lambda *_: {"api_success": False}
+
+    return make
+
+
+def test_run_without_resume_replaces_its_predictions(spark, tmp_path):
+    path, layout = credit_files(spark, tmp_path / "in", 100), Layout(str(tmp_path / "out"))
+    run = lambda c, **more: run_experiment(spark, "german_credit", path, "m", "s1", layout, c, **more)
+    assert run(nobody()).where("api_success").count() == 0
+    assert run(rule()).where("api_success").count() == 0
+    again = run(rule(), resume=False, rounds=2)
+    assert again.count() == again.where("api_success").count() == 20
+
+
+def test_audit_refuses_a_damaged_file(spark, tmp_path):
+    paths, layout = {"german_credit": credit_files(spark, tmp_path / "in", 60)}, Layout(str(tmp_path / "out"))
+    run_batch(spark, paths, "s1", layout, lambda m: rule(), models=("LLAMA_8B",))
+    folder = next((tmp_path / "out" / "checkpoints").glob("experiment_id=*"))
+    (folder / "part-damaged.parquet").write_bytes(b"PAR1 this is no table PAR1")
+    with pytest.raises(Exception, match="(?i)parquet|footer|corrupt"):
+        reaudit(spark, layout).totals.collect()
 
 
 def response_rows():
@@ -162,14 +203,14 @@ def test_stream_equals_batch_and_rerun_adds_nothing(spark, tmp_path):
         spark.createDataFrame(part, schemas.RESPONSES).coalesce(1).write.mode("append").parquet(source)
 
     def step():
-        drain(outcome_stream(response_stream(spark, source, 1)), out, progress).awaitTermination()
+        drain(attempt_stream(response_stream(spark, source, 1)), out, progress, "append").awaitTermination()
 
     deliver(rows[::3])
     deliver(rows[1::3])
     step()
     deliver(rows[2::3])
     step()
-    assert collect(latest(spark, out).select(*expected[0]), "record_id") == expected
+    assert collect(outcomes(spark, out).select(*expected[0]), "record_id") == expected
     before = spark.read.parquet(out).count()
     step()
     assert spark.read.parquet(out).count() == before

@@ -9,7 +9,7 @@ from evenhand.operators.distribution import (
 from evenhand.operators.fairness import gaps, group_rates, parity
 from evenhand.operators.metrics import METRICS, custom_metrics, long_metrics, metric_frame
 from evenhand.operators.prepare import analysis_set
-from evenhand.operators.summary import flatten_summary, summarize
+from evenhand.operators.summary import group_rows, summarize
 from evenhand.plans.audit import audit
 
 HAND = [("a", "good", "good"), ("a", "good", "bad"), ("a", "bad", "bad"), ("a", "bad", "good"),
@@ -145,10 +145,13 @@ def test_sizes_largest_first(spark):
     assert [(r.sensitive_feature, r["count"]) for r in sizes.collect()] == [("a", 2), ("b", 2), ("c", 1), ("d", 1)]
 
 
-def test_stray_labels_count_as_one(spark):
+def test_stray_answers_are_one_label_and_never_right(spark):
     data = [("a", "good", f"stray {i}") for i in range(100)] + [("a", "good", "good")]
     seen = custom_metrics(confusion_cube(rows(spark, data)), {"cells": lambda t, p, w: len(t)}, ("good", "bad"))
     assert {r.value for r in seen.collect()} == {2.0}
+    both = [("a", "good", "good")] * 5 + [("a", "maybe", "unsure")] * 5 + [("b", "maybe", "maybe"), ("b", "odd", "maybe")]
+    right = custom_metrics(confusion_cube(rows(spark, both)), {"accuracy": lambda t, p, w: w[t == p].sum() / w.sum()}, ("good", "bad"))
+    assert {r.sensitive_feature: r.value for r in right.collect()} == {"a": 0.5, "b": 0.5, None: 0.5}
 
 
 def test_wide_cube_equals_row_cube(spark):
@@ -225,20 +228,14 @@ def test_summary_document(spark):
     config = experiments(spark, "e").withColumn("positive_class", F.lit("good"))
     d = summarize(cube, config).first().asDict(recursive=True)
     assert (d["total_samples"], d["num_groups"]) == (7, 2)
-    assert set(d["overall_metrics"]) == set(METRICS) == set(d["group_summary"]) == set(d["metrics_by_group"])
+    assert set(d["overall_metrics"]) == set(METRICS) == set(d["group_summary"])
     assert d["group_summary"]["accuracy"]["best_group"] == "b"
     assert d["binary_metrics"]["equalized_odds_difference"] == 0.5
-    assert d["group_sizes"]["a"] == {"count": 4, "percentage": pytest.approx(400 / 7)}
-    assert d["class_distributions"]["b"]["predictions"]["bad"]["count"] == 1
-    assert d["metrics_by_group"]["precision"] == {"a": 0.5, "b": 1.0}
-    assert flatten_summary(summarize(cube, config)).where("section = 'metrics_by_group'").count() == 8
-
-
-def test_summary_leaves_out_maps_of_too_many_groups(spark):
-    config = experiments(spark, "e").withColumn("positive_class", F.lit("good"))
-    d = summarize(confusion_cube(rows(spark, HAND)), config, max_inline_entries=3).first()
-    assert d.group_sizes is None and d.metrics_by_group is None and d.num_groups == 2
-    assert d.fairness_differences["accuracy"] == pytest.approx(1 / 6)
+    by_group = {(r.section, r.metric, r.grp, r.label): (r["count"], r.value) for r in group_rows(cube).collect()}
+    assert by_group["group_sizes", None, "a", None] == (4, pytest.approx(400 / 7))
+    assert by_group["predictions", None, "b", "bad"][0] == 1
+    assert by_group["metrics_by_group", "precision", "b", None] == (None, 1.0)
+    assert sum(k[0] == "metrics_by_group" for k in by_group) == 8
 
 
 def test_zero_ratio_stays_as_null_entry(spark):

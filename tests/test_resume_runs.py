@@ -14,7 +14,8 @@ from evenhand.sources import sinks
 from evenhand.sources.files import (
     read_checkpoint, read_configs, read_csv, read_parts, read_predictions, read_split, read_summaries, read_survey, with_row_id)
 from evenhand.sources.registry import (
-    DATASETS, DatasetConfig, dataset_config, datasets_table, load_dataset, models_table, register, with_dataset)
+    DATASETS, DatasetConfig, dataset_config, datasets_table, foreign_labels, load_all, load_dataset, models_table, register,
+    with_dataset)
 
 
 def prediction(record, experiment="e", success=True):
@@ -34,7 +35,7 @@ def test_remaining_skips_failed_rows_too(spark):
 def test_union_is_on_one_schema(spark):
     new = spark.createDataFrame([("z", "bad", True)], "record_id string, prediction_label string, api_success boolean")
     both = with_done(table(spark, prediction("a")), new)
-    assert both.schema.fieldNames() == list(fv.PREDICTION_COLUMNS)
+    assert both.schema.fieldNames() == schemas.PREDICTIONS.fieldNames()
     assert {r.record_id: r.prediction for r in both.collect()} == {"a": "good", "z": "bad"}
 
 
@@ -100,7 +101,7 @@ def test_sinks_round_trip(spark, tmp_path):
     sinks.append_checkpoint(table(spark, prediction("a"), prediction("b", "f")), layout.checkpoints)
     sinks.append_checkpoint(table(spark, prediction("c")), layout.checkpoints)
     back = read_checkpoint(spark, layout.checkpoints)
-    assert back.columns == list(fv.PREDICTION_COLUMNS)
+    assert back.columns == schemas.PREDICTIONS.fieldNames()
     assert collect(back, "record_id") == collect(
         table(spark, prediction("a"), prediction("b", "f"), prediction("c")), "record_id")
     scanned = back.where("experiment_id = 'f'")._jdf.queryExecution().executedPlan().toString()
@@ -174,6 +175,17 @@ def test_row_ids_across_splits_of_a_file(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_row_ids_when_the_split_size_changes_after_definition(spark, tmp_path):
+    (tmp_path / "big.csv").write_text("v\n" + "\n".join(str(j) for j in range(5000)) + "\n")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        numbered = with_row_id(read_csv(spark, str(tmp_path), "v int"))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1300")
+        assert numbered.where("row_id = v").count() == 5000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_registry(spark, tmp_path):
     with pytest.raises(ValueError, match="Unknown dataset: nope"):
         dataset_config("nope")
@@ -192,6 +204,7 @@ def test_registry(spark, tmp_path):
             F.lit("g").alias("sensitive_feature"), F.col("id").alias("size"))
 
     try:
+        assert foreign_labels(load_all(spark, "toy", "")).count() == 0
         loaded = load_dataset(spark, "toy", "")
         assert loaded.samples.groupBy("ground_truth").count().collect() and loaded.samples.count() == 20
         assert loaded.feature_columns == ("size",)
