@@ -265,3 +265,24 @@ BLOCKED_CONTENT = "Content blocked by safety filters"
 NO_PARTS = "No valid response parts: "
 NO_SUCCESS = "No successful predictions"
 
+# --- datasets: name, type, group columns, target, positive and negative class, task -
+DATASETS = {
+    "adult_income": (
+        "Adult Income", "socioeconomic", ("race", "sex"), "income",
+        ">50K", "<=50K", "predict whether annual income exceeds $50K"),
+    "compas": (
+        "COMPAS Recidivism", "criminal_justice", ("race", "sex"), "two_year_recid",
+        "low_risk", "high_risk", "predict two-year recidivism risk"),
+    "german_credit": (
+        "German Credit", "finance", ("Attribute9",), "class",
+        "good", "bad", "assess credit risk for loan approval"),
+    "folktables": (
+        "Folktables (ACS Income)", "socioeconomic", ("RAC1P", "SEX"), "PINCP",
+        "high_income", "low_income", "predict high income from census data"),
+    "bank_marketing": (
+        "Bank Marketing", "finance", ("age", "job", "marital"), "y",
+        "yes", "no", "predict if client will subscribe to term deposit"),
+    "diabetes_readmission": (
+        "Diabetes Hospital Readmission", "healthcare", ("age_group",), "readmitted",
+        "readmitted", "not_readmitted", "predict 30-day hospital readmission for diabetic patients"),
+}

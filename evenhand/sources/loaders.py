@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.describe import describe_credit
+from ..functions.describe import describe_credit, describe_row
 from ..functions.labels import age_bucket, group_key, recode, threshold_label
 from ..functions.text import python_text, record_id, ws_strip
 from ..operators.prepare import features_except, features_kept, member_of, to_samples
@@ -18,28 +18,9 @@ from ..operators.split import capped_sample
 from .files import read_csv, read_parts, read_split, read_survey, with_row_id
 from .registry import DatasetConfig, TwoParts, register
 
-# Names, classes and task texts of the datasets.
-ADULT = DatasetConfig(
-    "adult_income", "Adult Income", "socioeconomic", ("race", "sex"), "income",
-    ">50K", "<=50K", "predict whether annual income exceeds $50K")
-COMPAS = DatasetConfig(
-    "compas", "COMPAS Recidivism", "criminal_justice", ("race", "sex"), "two_year_recid",
-    "low_risk", "high_risk", "predict two-year recidivism risk")
-CREDIT = DatasetConfig(
-    "german_credit", "German Credit", "finance", ("Attribute9",), "class",
-    "good", "bad", "assess credit risk for loan approval", describe_credit)
-FOLKTABLES = DatasetConfig(
-    "folktables", "Folktables (ACS Income)", "socioeconomic", ("RAC1P", "SEX"), "PINCP",
-    "high_income", "low_income", "predict high income from census data")
-BANK = DatasetConfig(
-    "bank_marketing", "Bank Marketing", "finance", ("age", "job", "marital"), "y",
-    "yes", "no", "predict if client will subscribe to term deposit")
-DIABETES = DatasetConfig(
-    "diabetes_readmission", "Diabetes Hospital Readmission", "healthcare", ("age_group",), "readmitted",
-    "readmitted", "not_readmitted", "predict 30-day hospital readmission for diabetic patients")
-HERITAGE = DatasetConfig(
-    fv.ALIAS_DATASET, DIABETES.name, DIABETES.dataset_type, DIABETES.sensitive_features,
-    DIABETES.target_column, DIABETES.positive_class, DIABETES.negative_class, DIABETES.task_description)
+ADULT, COMPAS, CREDIT, FOLKTABLES, BANK, DIABETES = (
+    DatasetConfig(key, *values, describe_credit if key == "german_credit" else describe_row) for key, values in fv.DATASETS.items())
+HERITAGE = DatasetConfig(fv.ALIAS_DATASET, *fv.DATASETS["diabetes_readmission"])
 
 # Columns of the recidivism file that the audit uses; the file has more.
 COMPAS_COLUMNS = (
