@@ -29,8 +29,9 @@ LEAST_SCORE = 0.3
 
 
 def restored(found: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
-    """The columns of ``docs`` from ``rest``, but for those changed."""
-    return found.select(*[changed.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
+    """The columns of ``docs`` from ``rest``, but for those changed; types stay."""
+    return found.select(*[
+        changed.get(f.name, F.col(f"rest.`{f.name}`")).cast(f.dataType).alias(f.name) for f in docs.schema.fields])
 
 
 def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

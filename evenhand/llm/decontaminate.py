@@ -121,8 +121,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
                 return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(words, pa.int64()), "n_hit": pa.array(n, pa.int64()),
                                  "item_ids": table["item_ids"], "rest": table["rest"]})
 
-            rest = schema["rest"].dataType.simpleString()
-            rows = map_slabs(rows, final, f"doc_id long, n_words long, n_hit long, item_ids array<string>, rest {rest}")
+            rows = map_slabs(rows, final, frames.with_rest("doc_id long, n_words long, n_hit long, item_ids array<string>", rows))
     return rows
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def documents(spark: SparkSession, folder: str, table: str = "documents") -> DataFrame:
@@ -25,3 +26,8 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest"))
+
+
+def with_rest(columns: str, rows: DataFrame) -> T.StructType:
+    """A schema of these columns and the ``rest`` of packed rows."""
+    return T.StructType.fromDDL(columns).add("rest", rows.schema["rest"].dataType)

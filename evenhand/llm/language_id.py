@@ -257,9 +257,8 @@ def identify(docs: DataFrame, net: Network | None, *, id_col: str = "doc_id", te
                          "score": pa.array(np.minimum(share[np.arange(len(best)), best], 1.0)),
                          "probabilities": pa.array(list(share), pa.list_(pa.float64())), "letters": table["letters"], "rest": table["rest"]})
 
-    rest = rows.schema["rest"].dataType.simpleString()
     found = map_slabs(rows.withColumn("letters", letters), label,
-                      f"doc_id long, lang_pred string, score double, probabilities array<double>, letters boolean, rest {rest}", most=2 << 20)
+                      frames.with_rest("doc_id long, lang_pred string, score double, probabilities array<double>, letters boolean", rows), most=2 << 20)
     return found.select("doc_id", F.when(F.col("letters"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
                         F.when(F.col("letters"), F.col("score")).otherwise(0.0).alias("score"), "probabilities", "rest")
 

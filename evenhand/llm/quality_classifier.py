@@ -156,8 +156,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, *, id_col: st
             total += (sums[own[1:]] - sums[own[:-1]]) * SCALE / np.maximum(np.diff(own), 1)
         return pa.table({"doc_id": table["doc_id"], "score": pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35)))), "rest": table["rest"]})
 
-    rest = rows.schema["rest"].dataType.simpleString()
-    return map_slabs(rows, judge, f"doc_id long, score double, rest {rest}")
+    return map_slabs(rows, judge, frames.with_rest("doc_id long, score double", rows))
 
 
 def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:

@@ -102,9 +102,9 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             "base_failed": pa.array(failed), "n_covered": pa.array(n_covered, pa.int64()),
             "longest_repeat": pa.array(most, pa.int64()), "kept": pa.array(kept), "rest": table["rest"]})
 
-    rest = rows.schema["rest"].dataType.simpleString()
-    return map_slabs(rows, judge, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-                     f"base_failed boolean, n_covered long, longest_repeat long, kept boolean, rest {rest}", most=SLAB)
+    return map_slabs(rows, judge, frames.with_rest(
+        "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+        "base_failed boolean, n_covered long, longest_repeat long, kept boolean", rows), most=SLAB)
 
 
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:

@@ -187,7 +187,6 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return pa.table({"block": pa.array([b for b, _ in out], pa.int64()),
                          "starts": pa.array([c for _, c in out], pa.binary())})
 
-    rest = rows.schema["rest"].dataType.simpleString()
 
     def keep(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         table = _ordered(table)
@@ -215,7 +214,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         candidates, "slice long, block long, prints binary").groupBy("slice").applyInArrow(
         later, "block long, starts binary")
     return by_block.cogroup(first_elsewhere.groupBy("block")).applyInArrow(
-        keep, f"doc_id long, kept string, n_words long, n_removed long, rest {rest}")
+        keep, frames.with_rest("doc_id long, kept string, n_words long, n_removed long", rows))
 
 
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -63,8 +63,7 @@ def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         return pa.table({"doc_id": table["doc_id"], "n_bytes": pa.array(n_bytes, pa.int64()),
                          "n_tokens": pa.array(n_tokens, pa.int64()), "rest": table["rest"]})
 
-    rest = rows.schema["rest"].dataType.simpleString()
-    return map_slabs(rows, count, f"doc_id long, n_bytes long, n_tokens long, rest {rest}")
+    return map_slabs(rows, count, frames.with_rest("doc_id long, n_bytes long, n_tokens long", rows))
 
 
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 SLAB_BYTES = 6 << 20
 """Bytes of text that a task works on at once, but for longer single documents."""
@@ -159,7 +160,7 @@ def slabs(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = S
         yield pa.concat_tables(held)
 
 
-def map_slabs(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str, column: str = "text",
+def map_slabs(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: T.StructType | str, column: str = "text",
               most: int = SLAB_BYTES) -> DataFrame:
     """``fn`` over slabs of rows. No shuffle; memory is bounded by the slab."""
 

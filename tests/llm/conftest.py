@@ -12,7 +12,7 @@ SPACED = re.compile("[^\x20\x09-\x0D]+")
 ALNUM = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 #: Names that operators use inside.
-CLASHING = ("block", "rest", "node", "words", "kept", "n", "hit", "slice", "draw", "letters", "score", "n_words")
+CLASHING = ("block", "rest", "node", "words", "kept", "n", "hit", "slice", "draw", "letters", "score", "n_words", "a.b c", "x:y")
 
 
 def words(text, pattern=SPACED, lower=False):

@@ -52,7 +52,7 @@ def test_awkward_rows(spark, awkward, name):
     if name != "packing":
         assert len(ids) == awkward.count()
     if "rest" in out.columns:
-        assert plain(out.select("rest.*").select(*awkward.columns).collect()) == plain(awkward.collect())
+        assert plain(out.select("rest.*").select(*[f"`{c}`" for c in awkward.columns]).collect()) == plain(awkward.collect())
 
 
 @pytest.mark.parametrize("name", OPERATORS)
