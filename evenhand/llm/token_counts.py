@@ -1,7 +1,7 @@
 """Token counts by a two-tier lookup, without a shuffle of pre-tokens.
 
-First tier: a broadcast hash table of the lengths, in tokens, of the ``FREQUENT`` most frequent
-pre-tokens. They are found by a pass over all documents in which each slab of text names its
+First tier: a broadcast hash table of the lengths, in tokens, of at most ``FREQUENT`` of the most
+frequent pre-tokens. They are found by a pass over all documents in which each slab of text names its
 own most frequent ones with their counts; only these short lists are added up. Second tier: a
 table that every worker process fills with the pre-tokens it met and the library encoded. The
 first tier only saves work; counts are those of the library whatever it holds.
@@ -17,6 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import stage
 from . import frames
 from .tokens import HashTable, default_vocabulary, encoder, pre_tokens
 from .words import map_slabs, span_hashes, text_bytes
@@ -40,7 +41,16 @@ def frequent_lengths(docs: DataFrame, vocabulary: str, size: int = FREQUENT) ->
         return pa.table({"word": pa.array(words, pa.string()), "n": pa.array(counts[top], pa.int64())})
 
     lists = map_slabs(docs.select("text"), most, "word string, n long")
-    words = [r[0] for r in lists.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).collect()]
+    counts = stage(lists.groupBy("word").agg(F.sum("n").alias("n")), "frequent").withColumn(
+        "class", F.floor(4 * F.log2("n")).cast("int"))
+    # classes of counts from the top, as long as they fit: the driver gets no more than it keeps
+    least, room = None, size
+    for k, n in sorted(counts.groupBy("class").count().collect(), reverse=True):
+        room -= n
+        if room < 0:
+            break
+        least = k
+    words = [r[0] for r in counts.where(F.col("class") >= least).select("word").collect()] if least is not None else []
     data, offsets = text_bytes(pa.array(words, pa.string()))
     hashes = span_hashes(data, offsets[:-1], offsets[1:])
     hashes[hashes == 0] = 1
