@@ -11,6 +11,14 @@ def documents(spark: SparkSession, folder: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Sends texts to Python in batches of fewer rows than the default, which is made for
+    numbers: a batch lies in the memory of the executor's JVM and of its worker at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def text_total(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts; one pass that returns one row."""
     return docs.select(F.octet_length(text).alias("n")).agg(F.sum("n")).first()[0] or 0

@@ -19,7 +19,7 @@ fewer words the whole sequence is one. Documents whose sets have a Jaccard simil
 5. Components of these links, then of all documents.
 
 Two sets at similarity 0.85 share none of the 24 bands of 5 with probability 8e-7 (at 0.9:
-6e-10), and are estimated 0.2 too low with one of about 1e-9; nothing else is lost. Groups of
+5e-10), and are estimated 0.2 too low with one of about 1e-9; nothing else is lost. Groups of
 more than ``TILE`` classes are dealt into tiles, a task for each pair of tiles, so that no task
 holds a group and no pair is put out. Links and components stay in tables.
 
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from ..staging import stage
 from . import frames
 from .components import connected, labels
-from .words import SPACED, Words, map_slabs, mix, pack, text_bytes, unpack, window_hashes
+from .words import SPACED, Words, map_slabs, mix, pack, release, text_bytes, unpack, window_hashes
 
 SHINGLE = 5
 PERCENT = 85
@@ -240,6 +240,7 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
                     found_b.append(y[good])
             if found_a:
                 yield _links(table, np.concatenate(found_a), np.concatenate(found_b))
+        release()
 
     spread = rows.select("band", "i", "j", "side", "node", "n", "registers").repartition("band", "i", "j")
     return spread.sortWithinPartitions("band", "i", "j").mapInArrow(run, "a long, b long")
@@ -300,6 +301,7 @@ def links(rows: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
                 a, b = _verified(full, np.flatnonzero(side == i), np.flatnonzero(side == j), percent)
                 found.append((a + at, b + at))
             yield _links(table, np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]))
+        release()
 
     spread = held.select("component", "i", "j", "side", "node", "set").repartition("component", "i", "j")
     return spread.sortWithinPartitions("component", "i", "j").mapInArrow(verify, "a long, b long")

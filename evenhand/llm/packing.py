@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import frames
 from .tokens import default_vocabulary, encoder
-from .words import slabs
+from .words import release, slabs
 
 SIZE = 2048
 END = 1
@@ -128,6 +128,7 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                    vocabulary: str | None = None, with_ids: bool = True) -> DataFrame:
     """One row per piece: ``doc_id``, ``start`` (in its document), ``length``, ``ids_crc32``,
     ``doc_tokens``, ``sequence_id``, ``offset`` (in its sequence), and ``ids`` if asked for."""
+    frames.small_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     rows = frames.packed(docs, id_col, text_col).drop("rest")
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -151,6 +152,7 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield from table(packer)
         packer.finish()
         yield from table(packer)
+        release()
 
     schema = ", ".join(f"{n} long" for n in names) + (", ids array<int>" if with_ids else "")
     return rows.mapInArrow(run, schema)

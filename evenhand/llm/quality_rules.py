@@ -42,7 +42,7 @@ def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def repeats(w: Words) -> np.ndarray:
     """The words of the longest repeat, in the same document, that starts at each word."""
     salt = mix(np.arange(len(w.counts), dtype=np.uint64) + np.uint64(1))
-    array = SuffixArray(mix(w.hashes() ^ salt[w.documents()]), w.counts, int(w.counts.max(initial=0)))
+    array = SuffixArray(mix(w.hashes() ^ salt[w.documents()]), w.counts, int(w.counts.max(initial=0)), prefixes=True)
     common = array.common()
     longest = np.maximum(common, np.append(common[1:], 0))
     doc = np.searchsorted(array.starts, array.order, "right") - 1

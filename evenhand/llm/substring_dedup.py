@@ -27,6 +27,7 @@ words lose nothing. An empty table gives an empty result.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import frames
-from .words import SPACED, Words, deltas, mix, pack, text_bytes, undeltas, unpack, window_hashes
+from .words import SPACED, Words, deltas, mix, pack, release, text_bytes, undeltas, unpack, window_hashes
 
 WINDOW = 20
 BLOCK_BYTES = 6 << 20
@@ -102,10 +103,29 @@ def _column(table: pa.Table, name: str) -> list:
     return table[name].to_pylist()
 
 
+def _tidy(fn: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """``fn`` of a group or of a pair of groups, after which freed memory goes back."""
+    if fn.__code__.co_argcount == 3:
+        def two(key: tuple, table: pa.Table, other: pa.Table) -> pa.Table:
+            out = fn(key, table, other)
+            release()
+            return out
+
+        return two
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        out = fn(key, table)
+        release()
+        return out
+
+    return one
+
+
 def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
                     depth: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: ``doc_id``, ``kept`` (kept words joined by one space), ``n_words``,
     ``n_removed``, and ``rest``, a struct of all its columns."""
+    frames.small_batches(docs.sparkSession)
     total = frames.text_total(docs, text_col)
     blocks = max(LEAST_BLOCKS, -(-total // block_bytes))
     cell_bits = min(56, _bits(CELLS_PER_WINDOW * total / 6))
@@ -208,6 +228,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                          "rest": table["rest"]})
 
     by_block = rows.groupBy("block")
+    sketch, merge, candidates, later, keep = (_tidy(fn) for fn in (sketch, merge, candidates, later, keep))
     shared = by_block.applyInArrow(sketch, "slice long, block long, cells binary").groupBy("slice").applyInArrow(
         merge, "block long, slice long, cells binary")
     first_elsewhere = by_block.cogroup(shared.groupBy("block")).applyInArrow(

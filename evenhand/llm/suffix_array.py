@@ -39,9 +39,10 @@ class SuffixArray:
     ``ids`` holds the words of all documents as numbers from 1, with a 0 after each document;
     ``order`` the positions of all words, sorted by what begins there. Ranks are refined by
     doubling: once suffixes are sorted by k words, the rank of the suffix k words on sorts
-    them by 2k. Only suffixes that are still tied are sorted again."""
+    them by 2k. Only suffixes that are still tied are sorted again. ``prefixes`` keeps the
+    ranks of all rounds, for ``common``."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, depth: int) -> None:
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, depth: int, prefixes: bool = False) -> None:
         self.vocabulary, own = dense_ids(hashes)
         n, docs = len(hashes), len(counts)
         self.starts = np.concatenate(([0], np.cumsum(counts + 1)))[:docs]
@@ -56,7 +57,7 @@ class SuffixArray:
         bits = int(n + 1).bit_length()
         slots = np.flatnonzero(np.repeat(per_id > 1, per_id))
         width = 1
-        self.levels = [(1, rank.astype(np.int32))]
+        self.levels = [(1, rank.astype(np.int32))] if prefixes else []
         while width < depth and len(slots):
             at = order[slots]
             key = (rank[at] << bits) | rank[np.minimum(at + width, n + docs)]
@@ -70,7 +71,8 @@ class SuffixArray:
             sizes = np.bincount(group)
             slots = slots[np.repeat(sizes > 1, sizes)]
             width *= 2
-            self.levels.append((width, rank.astype(np.int32)))
+            if prefixes:
+                self.levels.append((width, rank.astype(np.int32)))
         self.order, self.depth = order, width if len(slots) else depth
 
     def common(self) -> np.ndarray:

@@ -127,6 +127,7 @@ class TokenFile:
 def write_token_files(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", end: int = END,
                       vocabulary: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the files and returns their list: ``file``, ``part``, ``slab``, ``n_docs``, ``n_ids``."""
+    frames.small_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     rows = frames.packed(docs, id_col, text_col).drop("rest")
     parts = max(32, -(-frames.text_total(rows) // file_bytes))

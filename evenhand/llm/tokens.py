@@ -21,7 +21,7 @@ import pyarrow as pa
 
 from .words import span_hashes, text_bytes
 
-MOST_ENTRIES = 1 << 21
+MOST_ENTRIES = 1 << 19
 _OTHER, _LETTER, _DIGIT, _SPACE = range(4)
 
 

@@ -8,6 +8,7 @@ UTF-8 is the same as sequences of characters outside that set.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -16,10 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-SLAB_BYTES = 6 << 20
+from . import frames
+
+SLAB_BYTES = 3 << 20
 """Bytes of text that a task works on at once, but for longer single documents."""
 
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def _table(allowed: Iterable[int]) -> np.ndarray:
@@ -49,7 +52,9 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         size = max(n, _CHUNK + 256)
         up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 2**64), np.uint64)
         up[0] = down[0] = 1
-        have = _powers[base] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
+        have = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+        if size == _CHUNK + 256:
+            _powers[base] = have
     return have[0][:n], have[1][:n]
 
 
@@ -163,14 +168,25 @@ def slabs(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = S
 def map_slabs(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: T.StructType | str, column: str = "text",
               most: int = SLAB_BYTES) -> DataFrame:
     """``fn`` over slabs of rows. No shuffle; memory is bounded by the slab."""
+    frames.small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab in slabs(batches, column, most):
             yield from fn(slab).to_batches()
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Gives freed memory back to the system. Worker processes live on from task to task and
+    from job to job; without this each holds the most that any of its tasks has needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed byte string; each keeps its type."""
     head = b"".join(a.dtype.str[1:].encode() + len(a).to_bytes(8, "little") for a in arrays)

@@ -94,7 +94,7 @@ def test_suffix_array(docs, item):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 3), max_size=40))
 def test_common_prefixes(doc):
-    array = SuffixArray(np.array(doc, np.uint64), np.array([len(doc)]), max(len(doc), 1))
+    array = SuffixArray(np.array(doc, np.uint64), np.array([len(doc)]), max(len(doc), 1), prefixes=True)
     common = array.common().tolist()
     for k in range(1, len(doc)):
         a, b = doc[array.order[k - 1]:], doc[array.order[k]:]
