@@ -27,6 +27,9 @@ from evenhand.staging import stage
 LEAST_SCORE = 0.3
 """Of four languages the best has a quarter at least; texts in none of them come near that."""
 
+NEAR_PERCENT = 80
+"""Near copies share four fifths of their shingles of five words; 85 is the rule of op5 alone."""
+
 
 def restored(found: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
     """The columns of ``docs`` from ``rest``, but for those changed; types stay."""
@@ -41,8 +44,9 @@ def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document with the least id of each group of near-duplicates."""
-    dropped = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    """The document with the least id of each group of near-duplicates, which are linked at a
+    similarity of ``NEAR_PERCENT`` hundredths."""
+    dropped = near_duplicates(docs, percent=NEAR_PERCENT).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 

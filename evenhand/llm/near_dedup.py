@@ -4,8 +4,8 @@ A document's set is that of its distinct shingles of ``shingle`` words, A-Z lowe
 fewer words the whole sequence is one. Documents whose sets have a Jaccard similarity of
 ``percent`` hundredths or more are linked; a component is what links connect.
 
-1. Each document gets the size and a 128-bit fingerprint of its set, and ``ROWS * BANDS``
-   registers: the least of its elements' exponentially distributed hashes, on a scale spaced
+1. Each document gets the size and a 128-bit fingerprint of its set, and ``ROWS`` registers
+   for each band: the least of its elements' exponentially distributed hashes, on a scale spaced
    exponentially with base ``BASE`` and truncated to 16 bits. Registers of a union are the
    maxima of registers, so sketches merge.
 2. Documents with equal sets are one class, whose least id stands for it. Only classes go on,
@@ -18,8 +18,8 @@ fewer words the whole sequence is one. Documents whose sets have a Jaccard simil
    matrices; of the links found those to the least class of each part are kept.
 5. Components of these links, then of all documents.
 
-Two sets at similarity 0.85 share none of the 24 bands of 5 with probability 8e-7 (at 0.9:
-5e-10), and are estimated 0.2 too low with one of about 1e-9; nothing else is lost. Groups of
+Two sets at the threshold share none of the bands of 5 with a probability of at most ``MISS``: 24
+bands at 0.85 (7.7e-7; two sets at 0.9: 5e-10), 36 at 0.80 (6.2e-7). They are estimated 0.2 too low with one of about 1e-9; nothing else is lost. Groups of
 more than ``TILE`` classes are dealt into tiles, a task for each pair of tiles, so that no task
 holds a group and no pair is put out. Links and components stay in tables.
 
@@ -29,6 +29,7 @@ id are one document, which has the links of each. A row whose id is null stands
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,14 +44,19 @@ from .words import SPACED, Words, map_slabs, mix, pack, release, text_bytes, unp
 
 SHINGLE = 5
 PERCENT = 85
-ROWS, BANDS = 5, 24
+ROWS = 5
+MISS = 8e-7
 BASE, RATE = 1.001, 20.0
 KEEP = 0.2
 TILE = 512
-_REGISTERS = ROWS * BANDS
 _HASH_BITS = 51
 _TEXTS = 1 << 64 - _HASH_BITS
-_FACTORS = np.random.default_rng(7).integers(1, 2**31, _REGISTERS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def registers_for(percent: int) -> int:
+    """How many registers have bands enough that sets at the threshold miss all with ``MISS`` at most."""
+    apart = 1 - (percent / 100) ** ROWS
+    return ROWS * max(1, math.ceil(math.log(MISS) / math.log(apart))) if apart > 0 else ROWS
 
 
 def shingles(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,17 +86,18 @@ def shingles(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate(sizes))])
 
 
-def registers(elements: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The registers of each non-empty set, 16 bits each."""
+def registers(elements: np.ndarray, first: np.ndarray, count: int = registers_for(PERCENT)) -> np.ndarray:
+    """The ``count`` registers of each non-empty set, 16 bits each."""
     sets = len(first) - 1
-    least = np.empty((_REGISTERS, sets), np.uint32)
+    factors = np.random.default_rng(7).integers(1, 2**31, count).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+    least = np.empty((count, sets), np.uint32)
     low = mix(elements).astype(np.uint32)
     at = 0
     while at < sets:
         to = max(at + 1, int(np.searchsorted(first, first[at] + (1 << 16), "right")) - 1)
         part, starts = low[first[at]:first[to]], first[at:to] - first[at]
         turned = np.empty_like(part)
-        for j, factor in enumerate(_FACTORS):
+        for j, factor in enumerate(factors):
             np.multiply(part, factor, out=turned)
             least[j, at:to] = np.minimum.reduceat(turned, starts)
         at = to
@@ -98,7 +105,7 @@ def registers(elements: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, 65535).astype(np.uint16)
 
 
-def sketches(rows: DataFrame, size: int) -> DataFrame:
+def sketches(rows: DataFrame, size: int, registers_each: int) -> DataFrame:
     """``doc_id``, ``n`` (set size), ``f1``, ``f2`` (fingerprint) and ``registers``."""
 
     def sketch(table: pa.Table) -> pa.Table:
@@ -110,7 +117,7 @@ def sketches(rows: DataFrame, size: int) -> DataFrame:
             total = np.zeros(len(elements) + 1, np.uint64)
             np.cumsum(mix(elements, 0x9E3779B97F4A7C15 * salt % 2**64), out=total[1:])
             prints.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
-        own = registers(elements, np.append(first[full], len(elements))) if len(full) else np.empty((0, _REGISTERS), np.uint16)
+        own = registers(elements, np.append(first[full], len(elements)), registers_each) if len(full) else np.empty((0, registers_each), np.uint16)
         blobs: list[bytes | None] = [None] * len(n)
         for d, values in zip(full.tolist(), own):
             blobs[d] = values.tobytes()
@@ -121,18 +128,20 @@ def sketches(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, _REGISTERS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
 def banded(classes: DataFrame) -> DataFrame:
     """A row for each class and band: ``band`` (a hash of the band's number and registers), ``node``."""
 
     def split(table: pa.Table) -> pa.Table:
-        parts = _matrix(table["registers"]).reshape(-1, BANDS, ROWS).astype(np.uint64)
-        key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2]).copy()
+        own = _matrix(table["registers"])
+        bands = own.shape[1] // ROWS
+        parts = own.reshape(-1, bands, ROWS).astype(np.uint64)
+        key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), parts.shape[:2]).copy()
         for r in range(ROWS):
             key = mix(key + parts[:, :, r] * np.uint64(0x9E3779B97F4A7C15))
-        return pa.table({"band": pa.array(key.ravel().view(np.int64)), "node": pa.array(np.repeat(table["node"].to_numpy(), BANDS))})
+        return pa.table({"band": pa.array(key.ravel().view(np.int64)), "node": pa.array(np.repeat(table["node"].to_numpy(), bands))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,9 +151,10 @@ def banded(classes: DataFrame) -> DataFrame:
     return classes.select("node", "registers").mapInArrow(run, "band long, node long")
 
 
-def similarity(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """The similarity of the greatest likelihood, given how many registers of a are more and less
-    than those of b, and the sizes of the sets."""
+def similarity(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarray,
+               count: int = registers_for(PERCENT)) -> np.ndarray:
+    """The similarity of the greatest likelihood, given how many of ``count`` registers of a are
+    more and less than those of b, and the sizes of the sets."""
     u = n_a / (n_a + n_b)
     most = np.minimum(u / (1 - u), (1 - u) / u)
     best, score = np.zeros(len(u)), np.full(len(u), -np.inf)
@@ -152,7 +162,7 @@ def similarity(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndar
     for j in np.linspace(0, 1, 41):
         s = np.minimum(j, most)
         p, q = chance(u - (1 - u) * s), chance((1 - u) - u * s)
-        now = more * np.log(p) + less * np.log(q) + (_REGISTERS - more - less) * np.log(np.maximum(1 - p - q, 1e-12))
+        now = more * np.log(p) + less * np.log(q) + (count - more - less) * np.log(np.maximum(1 - p - q, 1e-12))
         better = now > score
         best[better], score[better] = s[better], now[better]
     return best
@@ -235,7 +245,7 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
                     x, y = a[at:at + (1 << 13)], b[at:at + (1 << 13)]
                     more = np.count_nonzero(own[x] > own[y], axis=1)
                     less = np.count_nonzero(own[x] < own[y], axis=1)
-                    good = similarity(more, less, n[x], n[y]) >= least
+                    good = similarity(more, less, n[x], n[y], own.shape[1]) >= least
                     found_a.append(x[good])
                     found_b.append(y[good])
             if found_a:
@@ -312,7 +322,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` (the least id that
     links reach) and ``kept`` (whether that is its own)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    own = stage(sketches(rows, shingle), "sketches")
+    own = stage(sketches(rows, shingle, registers_for(percent)), "sketches")
     classes = stage(
         own.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "registers")).alias("least"))
         .select("f1", "f2", "n", F.col("least.doc_id").alias("node"), "least.registers"), "classes")
