@@ -6,8 +6,8 @@ pair of equal words or shapes counts as one feature of its own kind. All are has
 a feature's value is its share of the document's features of that kind times ``SCALE``.
 
 Weights are learned in numpy by the follow-the-regularised-leader rule with a rate of its own for
-each weight, from at most ``PER_LABEL`` documents of each label, drawn by a hash over all rows
-that it may learn from; the bias then corrects for the shares of the labels among all of these.
+each weight, from at most ``PER_LABEL`` rows of documents of each label, drawn by hashes over all
+rows that it may learn from, and cut on Spark, so that an id with many rows brings no more; the bias then corrects for the shares of the labels among all of these.
 Scoring a document is one sparse dot product over its whole text, and shuffles nothing.
 
 A null or empty text has no features and gets the score of the bias. Without labels all scores
@@ -17,6 +17,8 @@ of one document are learned from each for itself.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -125,18 +127,19 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     few = marked.where(keep).withColumn("draw", F.xxhash64("doc_id", "label"))
     ids = few.orderBy("draw").limit(4 * per_label)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = rows.withColumn("draw", F.xxhash64("doc_id", "label", "text"))
+    parts = [rows.where(F.col("label") == label).orderBy("draw", "doc_id").limit(per_label) for label in sorted(counts)]
+    rows = functools.reduce(DataFrame.unionAll, parts)
 
     def extract(table: pa.Table) -> pa.Table:
         blobs = [pack(at.astype(np.uint32), x.astype(np.float32)) for at, x in sparse(table)]
         return pa.table({"draw": table["draw"], "label": table["label"], "features": pa.array(blobs, pa.binary())})
 
     found = map_slabs(rows, extract, "draw long, label int, features binary").collect()
-    taken, sample = {0: 0, 1: 0}, []
-    for draw, label, blob in sorted(found, key=lambda r: (r[0], r[2])):
-        taken[label] += 1
-        if taken[label] <= per_label:
-            at, x = unpack(blob)
-            sample.append((at.astype(np.int64), x.astype(np.float64), label))
+    sample = []
+    for _, label, blob in sorted(found, key=lambda r: (r[0], r[2])):
+        at, x = unpack(blob)
+        sample.append((at.astype(np.int64), x.astype(np.float64), label))
     return train(sample, counts.get(1, 0) / sum(counts.values())) if sample else None
 
 
