@@ -6,7 +6,8 @@ of documents. Languages are learned from the documents that the first stage is g
 benchmark items are read from the folder.
 
 Null and empty texts, or texts without letters, go in the first stage, as they have no language.
-An empty table gives empty results. Rows that share an id are one document in the second stage.
+An empty table gives empty results. Rows that share an id are one document in the second stage, of which rows with the same text
+stay once. So do rows with a null id and the same text; they are not linked with other rows.
 """
 
 from __future__ import annotations
@@ -47,7 +48,23 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> Data
     """The document with the least id of each group of near-duplicates, which are linked at a
     similarity of ``NEAR_PERCENT`` hundredths."""
     dropped = near_duplicates(docs, percent=NEAR_PERCENT).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return once_each(docs.join(dropped, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns]), docs)
+
+
+def once_each(left: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row of ``left`` for each id (null is one of them) and text; of rows that differ in other
+    columns the least as JSON. Only ids and texts that repeat in ``docs`` are grouped."""
+    keyed = lambda df: df.select(
+        F.col("doc_id").alias("own"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias("print"),
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("rest"))
+    again = stage(keyed(docs).groupBy("own", "print").count().where("count > 1").select(
+        F.col("own").alias("other"), F.col("print").alias("same")), "repeated")
+    if not again.head(1):
+        return left
+    rows, matches = keyed(left), F.col("own").eqNullSafe(F.col("other")) & (F.col("print") == F.col("same"))
+    once = rows.join(again, matches, "left_anti").select("rest")
+    first = rows.join(again, matches, "left_semi").groupBy("own", "print").agg(F.min_by("rest", F.to_json("rest")).alias("rest"))
+    return restored(once.unionAll(first.select("rest")), docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

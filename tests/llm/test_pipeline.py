@@ -45,3 +45,10 @@ def test_near_dedup_stage_keeps_the_least_of_each_component(spark, documents):
 def test_bands_follow_from_the_threshold(percent, bands):
     assert near_dedup.registers_for(percent) == near_dedup.ROWS * bands
     assert percent == 100 or (1 - (percent / 100) ** near_dedup.ROWS) ** bands <= near_dedup.MISS
+
+
+def test_repeated_rows_stay_once(spark):
+    rows = [(1, "one two three"), (1, "one two three"), (1, "other text of one"), (2, "four five"), (3, None), (3, None),
+            (None, "no id here"), (None, "no id here"), (None, None), (None, None)]
+    kept = [(r.doc_id, r.text) for r in pipeline.one_of_each_group(spark, _frame(spark, rows), FOLDER).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, set(rows)))
