@@ -2,7 +2,8 @@
 
 First tier: a broadcast hash table of the lengths, in tokens, of at most ``FREQUENT`` of the most
 frequent pre-tokens. They are found by a pass over all documents in which each slab of text names its
-own most frequent ones with their counts; only these short lists are added up. Second tier: a
+own ``PER_SLAB`` most frequent ones with their counts, none that it holds once; only these short
+lists are added up, so the tier is an approximation. Second tier: a
 table that every worker process fills with the pre-tokens it met and the library encoded. The
 first tier only saves work; counts are those of the library whatever it holds.
 
