@@ -25,8 +25,8 @@ from evenhand.llm.packing import pack_documents
 from evenhand.llm.substring_dedup import substring_dedup
 from evenhand.staging import stage
 
-LEAST_SCORE = 0.3
-"""Of four languages the best has a quarter at least; texts in none of them come near that."""
+OVER_CHANCE = 1.2
+"""Of n languages the best has 1/n at least; texts in none of them come near that."""
 
 NEAR_PERCENT = 80
 """Near copies share four fifths of their shingles of five words; 85 is the rule of op5 alone."""
@@ -38,10 +38,17 @@ def restored(found: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
         changed.get(f.name, F.col(f"rest.`{f.name}`")).cast(f.dataType).alias(f.name) for f in docs.schema.fields])
 
 
+def least_score(languages: int) -> float:
+    """``OVER_CHANCE`` times 1/n for n languages, but never more than for four: of two or three a clean
+    short text may have little more than a half."""
+    return OVER_CHANCE / max(4, languages)
+
+
 def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose language is known. Mixed documents stay; others lose nothing either."""
-    found = identify(docs, learn(docs))
-    return restored(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs)
+    net = learn(docs)
+    least = least_score(len(net.languages) if net else 0)
+    return restored(identify(docs, net).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)), docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

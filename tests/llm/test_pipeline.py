@@ -52,3 +52,9 @@ def test_repeated_rows_stay_once(spark):
             (None, "no id here"), (None, "no id here"), (None, None), (None, None)]
     kept = [(r.doc_id, r.text) for r in pipeline.one_of_each_group(spark, _frame(spark, rows), FOLDER).collect()]
     assert sorted(map(str, kept)) == sorted(map(str, set(rows)))
+
+
+def test_least_score_follows_from_the_number_of_languages():
+    assert pipeline.least_score(4) == pytest.approx(0.3)
+    assert pipeline.least_score(100) == pytest.approx(0.012)
+    assert pipeline.least_score(2) == pytest.approx(0.3)
