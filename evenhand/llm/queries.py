@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .conversation_repair import op11_conversation_repair
 from .decontaminate import op10_decontaminate
 from .language_id import op2_language_id
 from .license_scan import op4_license_scan, oracle
 from .near_dedup import op5_near_dedup
 from .packing import op7_packing
+from .pieces import op12_pieces
 from .quality_classifier import op8_quality_classifier
 from .quality_rules import op6_quality_rules
 from .substring_dedup import op1_substring_dedup
@@ -20,5 +22,5 @@ from .token_files import op9_token_files
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn for fn in (
         op1_substring_dedup, op2_language_id, op3_token_counts, op4_license_scan, op5_near_dedup, op6_quality_rules,
-        op7_packing, op8_quality_classifier, op9_token_files, op10_decontaminate)}
+        op7_packing, op8_quality_classifier, op9_token_files, op10_decontaminate, op11_conversation_repair, op12_pieces)}
 ORACLES: dict[str, str] = {"op4_license_scan": oracle()}
