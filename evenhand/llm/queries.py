@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .conversation_repair import op11_conversation_repair
+from .conversation_trie import op13_conversation_trie
 from .decontaminate import op10_decontaminate
 from .language_id import op2_language_id
 from .license_scan import op4_license_scan, oracle
@@ -22,5 +23,6 @@ from .token_files import op9_token_files
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn for fn in (
         op1_substring_dedup, op2_language_id, op3_token_counts, op4_license_scan, op5_near_dedup, op6_quality_rules,
-        op7_packing, op8_quality_classifier, op9_token_files, op10_decontaminate, op11_conversation_repair, op12_pieces)}
+        op7_packing, op8_quality_classifier, op9_token_files, op10_decontaminate, op11_conversation_repair, op12_pieces,
+        op13_conversation_trie)}
 ORACLES: dict[str, str] = {"op4_license_scan": oracle()}

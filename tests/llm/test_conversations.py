@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from evenhand.llm import conversation_repair
+from evenhand.llm import conversation_repair, conversation_trie
 from evenhand.llm.queries import QUERIES
 
 from .conftest import FOLDER
@@ -152,3 +152,72 @@ def test_fix_up_passes_reach_over_many_chains(spark):
 def test_repair_of_no_conversations(spark):
     broken, copies = conversation_repair.damaged(spark.createDataFrame([], SCHEMA))
     assert conversation_repair.digests(conversation_repair.repair(broken, copies)).count() == 0
+
+
+def trie(rows):
+    """Nodes of the trie of rebuilt conversations by their prefixes."""
+    own = defaultdict(list)
+    for c, t, role, text in rows:
+        if c is not None:
+            own[c].append((t, role or "", text or ""))
+    own = {c: [r[1:] for r in sorted(v, key=lambda r: (first_nulls(r[0]), md5(*r[1:])))] for c, v in own.items()}
+    rebuilt = {}
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 6
+        rebuilt[c] = tuple(own.get(c - c % 100, [])[:h] + own[c][h:])
+    members, ends, children = defaultdict(list), defaultdict(list), defaultdict(set)
+    for c, turns in rebuilt.items():
+        ends[turns].append(c)
+        for d in range(len(turns) + 1):
+            members[turns[:d]].append(c)
+            if d:
+                children[turns[:d - 1]].add(turns[:d])
+    leaves, saved = defaultdict(int), defaultdict(int)
+    for prefix in sorted(members, key=len, reverse=True):
+        leaves[prefix] += not children[prefix]
+        saved[prefix] += (len(members[prefix]) - 1) * (len(prefix[-1][1]) if prefix else 0)
+        if prefix:
+            leaves[prefix[:-1]] += leaves[prefix]
+            saved[prefix[:-1]] += saved[prefix]
+    return sorted(
+        (min(own), len(p), min(members[p[:-1]]) if p else None, len(own), len(children[p]), leaves[p], saved[p],
+         hashlib.sha256(",".join(map(str, sorted(ends.get(p, [])))).encode()).hexdigest())
+        for p, own in members.items())
+
+
+TRIE = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def check_trie(rows, found):
+    assert sorted(tuple(r[n] for n in TRIE) for r in found.collect()) == trie(rows)
+
+
+def found_trie(table):
+    return conversation_trie.prefix_trie(*conversation_trie.with_shared_heads(conversation_trie.numbered(table)))
+
+
+def test_op13(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    check_trie(rows, QUERIES["op13_conversation_trie"](spark, FOLDER))
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_trie_of_awkward_conversations(spark, monkeypatch, split):
+    """Equal conversations, one long conversation, nulls, repeated rows, and groups over many tasks."""
+    rows = awkward_conversations(2, 30, 40)
+    rows += [(c, t, "user", f"t{t}") for c in range(1000, 1400) for t in range(3)]
+    if split:
+        monkeypatch.setattr(conversation_trie, "RUN", 7)
+        monkeypatch.setattr(conversation_trie, "BLOCK", 16)
+        monkeypatch.setattr(conversation_trie, "MOST_HOT", 1)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        check_trie(rows, found_trie(spark.createDataFrame(rows, SCHEMA).withColumns(
+            {c: F.lit("x") for c in ("node", "up", "depth", "number", "any", "a.b")})))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_trie_of_no_conversations(spark):
+    assert found_trie(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert found_trie(spark.createDataFrame([(None, 1, "user", "x")], SCHEMA)).count() == 0
