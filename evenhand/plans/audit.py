@@ -77,12 +77,18 @@ class Audit:
     def summaries(self) -> DataFrame:
         return summarize(self.cube, self.experiments)
 
+    @property
+    def reasons(self) -> DataFrame:
+        """All experiments, with the reason why one has no row to analyse, else null. A row for each lets a later
+        audit take back a reason."""
+        seen = self.cube.select("experiment_id").distinct().withColumn("_seen", F.lit(True))
+        return self.experiments.select("experiment_id").join(seen, "experiment_id", "left").select(
+            "experiment_id", F.when(F.col("_seen").isNull(), NO_SUCCESS).alias("error"))
+
     @property
     def without_success(self) -> DataFrame:
         """Experiments that have no row to analyse, with the reason."""
-        seen = self.cube.select("experiment_id").distinct()
-        return self.experiments.select("experiment_id").join(seen, "experiment_id", "left_anti").withColumn(
-            "error", F.lit(NO_SUCCESS))
+        return self.reasons.where("error is not null")
 
     def _classed(self) -> DataFrame:
         return self.cube.join(self.experiments.select("experiment_id", "positive_class"), "experiment_id")

@@ -7,12 +7,14 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import fixed_values as fv
 from ..operators.compare import compare_summaries, pick_experiments
 from ..operators.prepare import analysis_set
 from ..operators.runs import batch_status, completed, dataset_rollup, experiment_matrix, progress, run_results
 from ..sources import sinks
-from ..sources.files import read_configs, read_predictions, read_summaries
+from ..sources.commits import CommitLog
+from ..sources.files import read_configs, read_summaries
 from ..sources.registry import datasets_table
 from ..staging import stage
 from .audit import Audit, audit
@@ -70,14 +72,14 @@ def conclude(
 ) -> DataFrame:
     """Audits what the listed experiments have predicted and writes all artefacts."""
     ids = experiments.select("experiment_id").distinct()
-    scored = read_predictions(spark, layout.checkpoints).join(ids, "experiment_id", "left_semi")
+    scored = CommitLog(spark, layout.checkpoints).read(schemas.PREDICTIONS).join(ids, "experiment_id", "left_semi")
     result = audit(scored, experiments)
     runs = stage(run_results(result.prediction_summary, experiments, errors), "runs")
     sinks.write_predictions(scored, layout.predictions)
     sinks.write_by_experiment(result.prediction_summary, layout.prediction_summaries)
     sinks.write_by_experiment(result.label_counts, layout.label_counts)
     sinks.write_analysis(analysis_set(scored), layout.analysis)
-    sinks.write_by_experiment(result.without_success, layout.unanalysed)
+    sinks.write_by_experiment(result.reasons, layout.unanalysed)
     sinks.write_summaries(result.summaries, layout.summaries)
     sinks.write_by_experiment(result.group_rows, layout.group_rows)
     rollup = dataset_rollup(runs)
@@ -98,4 +100,4 @@ def compare_stored(spark: SparkSession, layout: sinks.Layout, experiment_ids: Se
 
 def reaudit(spark: SparkSession, layout: sinks.Layout) -> Audit:
     """Audit of everything a base folder holds."""
-    return audit(read_predictions(spark, layout.checkpoints), read_configs(spark, layout.configs))
+    return audit(CommitLog(spark, layout.checkpoints).read(schemas.PREDICTIONS), read_configs(spark, layout.configs))

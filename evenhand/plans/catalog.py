@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,13 +21,14 @@ from ..operators.distribution import (
     class_distributions, group_sizes, label_counts, largest_first, prediction_summary, totals)
 from ..operators.fairness import gaps, group_rates, parity
 from ..operators.metrics import METRICS, custom_metrics, long_metrics, metric_frame
-from ..operators.prepare import analysis_set, features_except, with_targets
+from ..operators.prepare import analysis_set, conform, features_except, with_targets
 from ..operators.resume import remaining, with_done
 from ..operators.runs import batch_status, completed, dataset_rollup, experiment_matrix, progress, without_alias
 from ..operators.split import capped_sample, stratified_test_split
 from ..operators.summary import flatten_summary, group_rows, summarize
 from ..sources import sinks
-from ..sources.files import read_checkpoint, read_csv, read_predictions, read_summaries, read_survey, with_row_id
+from ..sources.commits import CommitLog
+from ..sources.files import read_csv, read_predictions, read_summaries, read_survey, with_row_id
 from ..sources.registry import load_dataset, models_table, with_dataset
 from ..staging import new_folder, stage
 from ..streaming.scoring import attempt_stream, drain, latest, outcomes, running_summary
@@ -546,17 +547,46 @@ def resume_union(spark: SparkSession, d: str) -> DataFrame:
     return with_done(b.doc_predictions(spark, d), _todo(spark, d))
 
 
+def _per_experiment(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("experiment_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query
 def checkpoint_store(spark: SparkSession, d: str) -> DataFrame:
-    """Appends to a checkpoint table twice and reads it; then nothing is left to do."""
-    path = new_folder(spark, "checkpoint")
-    before = read_checkpoint(spark, path)
-    sinks.append_checkpoint(before.unionByName(b.doc_predictions(spark, d)), path)
-    sinks.append_checkpoint(_todo(spark, d).withColumnRenamed("prediction_label", "prediction"), path)
-    after = read_checkpoint(spark, path)
+    """Commits rows of two experiments to a checkpoint, a part of them twice, resumes, and reads it; then nothing is
+    left to do."""
+    log = CommitLog(spark, new_folder(spark, "checkpoint"))
+    for name in b.THRESHOLDS:
+        run = log.begin(name)
+        mine = conform(b.doc_predictions(spark, d).where(F.col("experiment_id") == name))
+        for _ in range(2):
+            run.add(mine, "labelled")
+    again = log.begin("short")
+    todo = remaining(_todo(spark, d), again.done(schemas.PREDICTIONS))
+    again.add(conform(todo, rename={"prediction_label": "prediction"}))
+    after = log.read(schemas.PREDICTIONS)
     left = remaining(b.table(spark, d, "documents").select(record_id("doc_id").alias("record_id")), after)
-    rows = after.groupBy("experiment_id").agg(F.count(F.lit(1)).alias("rows"))
-    return rows.unionByName(left.agg(F.lit("left").alias("experiment_id"), F.count(F.lit(1)).alias("rows")))
+    return _per_experiment(after).unionByName(left.agg(F.lit("left").alias("experiment_id"), F.count(F.lit(1)).alias("rows")))
+
+
+@query
+def checkpoint_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """Scores all documents in parts, breaks off a second scoring, then scores all anew: rows by state of
+    the checkpoint and prediction."""
+    log = CommitLog(spark, new_folder(spark, "replaced"))
+    docs = b.table(spark, d, "documents").select(
+        record_id("doc_id").alias("record_id"), "n_chars", F.lit("short").alias("experiment_id"), (F.col("doc_id") % 3).alias("part"))
+
+    def scored(limit: int, name: str, parts: Sequence[int], finish: bool) -> DataFrame:
+        run = log.begin("short", resume=False)
+        for part in parts:
+            run.add(conform(docs.where(F.col("part") == part).withColumn("prediction", b.length_rule(limit))), str(part))
+        if finish:
+            run.finish()
+        return log.read(schemas.PREDICTIONS).groupBy(F.lit(name).alias("state"), "prediction").agg(F.count(F.lit(1)).alias("rows"))
+
+    first = scored(800, "first", (0, 1, 2), True)
+    return first.unionByName(scored(1500, "broken off", (0, 2), False)).unionByName(scored(1500, "anew", (0, 1, 1, 2), True))
 
 
 @query

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -21,7 +20,7 @@ from ..operators.attempts import judged, reduce_attempts, to_predictions
 from ..operators.prepare import conform
 from ..operators.resume import remaining
 from ..sources import sinks
-from ..sources.files import read_checkpoint
+from ..sources.commits import CommitLog
 from ..sources.registry import DatasetConfig, load_dataset
 from ..staging import new_folder, stage
 from .answers import Responder, ask_in_rounds
@@ -102,33 +101,31 @@ def run_experiment(
     tasks: int | None = None, make_responder: Callable[[], Responder] | None = None, provider: str = fv.TOGETHER,
     resume: bool = True, prepared: Prepared | None = None,
 ) -> DataFrame:
-    """Scores what the checkpoint lacks, appends it, and returns all predictions.
+    """Scores what the checkpoint lacks, commits it, and returns all predictions.
 
     Answers come from a classifier, from a table of raw responses, or from a responder
     that gives raw responses (parsed and retried here). The id follows from
     dataset, model and ``stamp``, so the same call resumes an interrupted run; without
-    ``resume`` all is scored anew and replaces what the checkpoint has. With several
-    ``rounds`` the prompts are scored in as many parts, each appended when it is done; a
-    crash then costs one part of the calls. ``prepared`` saves loading the dataset again.
+    ``resume`` all is scored anew and replaces what the checkpoint has, at once and when all is
+    done. With several ``rounds`` the prompts are scored in as many parts, each committed when it is
+    done; a crash then costs one part of the calls. ``prepared`` saves loading the dataset again.
     """
     ready = prepared or prepare(spark, dataset, path, test_size, seed)
     config, experiment = ready.config, hashlib.md5(f"{dataset}_{model}_{stamp}".encode()).hexdigest()[:8]
-    if resume:
-        done = read_checkpoint(spark, layout.checkpoints).where(F.col("experiment_id") == experiment)
-        todo, keep = remaining(ready.prompted, done), sinks.append_checkpoint
-    else:
-        todo, keep = ready.prompted, sinks.write_predictions
+    log = CommitLog(spark, layout.checkpoints)
+    run = log.begin(experiment, resume)
+    todo = remaining(ready.prompted, run.done(schemas.PREDICTIONS)) if resume else ready.prompted
     if make_responder is not None:
-        log = layout.responses if resume else f"{layout.responses}-anew-{uuid.uuid4().hex[:12]}"
-        responses = ask_in_rounds(todo, make_responder, experiment, provider, log, tasks=tasks)
+        answers = layout.responses if resume else f"{layout.responses}-anew-{run.name}"
+        responses = ask_in_rounds(todo, make_responder, experiment, provider, answers, tasks=tasks)
     if responses is not None:
-        keep(answered(todo, responses, config, experiment), layout.checkpoints)
+        run.add(answered(todo, responses, config, experiment))
     else:
-        for part in _parts(todo, rounds):
+        for number, part in enumerate(_parts(todo, rounds)):
             scored = classify(part, make_classifier, experiment, stamp, tasks=tasks)
-            keep(conform(judged(scored, config.positive_class, config.negative_class)), layout.checkpoints)
-            keep = sinks.append_checkpoint
-    return read_checkpoint(spark, layout.checkpoints).where(F.col("experiment_id") == experiment)
+            run.add(conform(judged(scored, config.positive_class, config.negative_class)), str(number))
+    run.finish()
+    return log.read(schemas.PREDICTIONS, [experiment])
 
 
 def _parts(prompted: DataFrame, rounds: int) -> Iterator[DataFrame]:

@@ -452,6 +452,10 @@ SELECT {_rec('doc_id')}, NULL, CASE WHEN n_chars >= 800 THEN 'good' ELSE 'bad' E
 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
 ORACLES["checkpoint_store"] = """SELECT 'long' AS experiment_id, count(*) AS "rows" FROM labels
 UNION ALL SELECT 'short', (SELECT count(*) FROM documents) UNION ALL SELECT 'left', 0"""
+_LABELLED_ANEW = " UNION ALL ".join(
+    f"""SELECT '{state}' AS state, CASE WHEN n_chars >= {limit} THEN 'good' ELSE 'bad' END AS prediction, count(*) AS "rows"
+FROM documents GROUP BY 2""" for state, limit in (("first", 800), ("broken off", 800), ("anew", 1500)))
+ORACLES["checkpoint_replaced"] = _LABELLED_ANEW
 _MODELS = ", ".join(f"({_quoted(fv.MODELS[m][0])})" for m in fv.DEFAULT_MODELS)
 ORACLES["experiment_matrix"] = f"""WITH models(model_name) AS (VALUES {_MODELS}),
 sources AS (SELECT source AS dataset_name, count(*) AS samples FROM documents GROUP BY 1)

@@ -83,3 +83,8 @@ def read_summaries(spark: SparkSession, path: str) -> DataFrame:
 def read_configs(spark: SparkSession, path: str) -> DataFrame:
     """Experiment configurations on the explicit schema."""
     return spark.read.schema(schemas.EXPERIMENTS).json(path).select(schemas.EXPERIMENTS.fieldNames())
+
+
+def read_reasons(spark: SparkSession, path: str) -> DataFrame:
+    """Experiments without an analysis, with the reason."""
+    return spark.read.schema("experiment_id string, error string").json(path).where(F.col("error").isNotNull())

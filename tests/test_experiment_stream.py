@@ -176,8 +176,13 @@ def test_run_without_resume_replaces_its_predictions(spark, tmp_path):
 def test_audit_refuses_a_damaged_file(spark, tmp_path):
     paths, layout = {"german_credit": credit_files(spark, tmp_path / "in", 60)}, Layout(str(tmp_path / "out"))
     run_batch(spark, paths, "s1", layout, lambda m: rule(), models=("LLAMA_8B",))
-    folder = next((tmp_path / "out" / "checkpoints").glob("experiment_id=*"))
-    (folder / "part-damaged.parquet").write_bytes(b"PAR1 this is no table PAR1")
+    damaged = next((tmp_path / "out" / "checkpoints" / "data").glob("*/*/part-*.parquet"))
+    stray = damaged.parent.parent / "stray"
+    stray.mkdir()
+    (stray / "part-0.parquet").write_bytes(b"no commit names this file")
+    assert reaudit(spark, layout).totals.count() == 1
+    (damaged.parent / f".{damaged.name}.crc").unlink(missing_ok=True)
+    damaged.write_bytes(b"PAR1 this is no table PAR1")
     with pytest.raises(Exception, match="(?i)parquet|footer|corrupt"):
         reaudit(spark, layout).totals.collect()
 
