@@ -31,7 +31,7 @@ from ..sources.commits import CommitLog
 from ..sources.files import read_csv, read_predictions, read_summaries, read_survey, with_row_id
 from ..sources.registry import load_dataset, models_table, with_dataset
 from ..staging import new_folder, stage
-from ..streaming.scoring import attempt_stream, drain, latest, outcomes, running_summary
+from ..streaming.scoring import drain, latest, outcome_stream, running_summary
 from . import bindings as b
 from .audit import audit
 from .experiment import classify, prompts, rule_classifier
@@ -633,11 +633,11 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 @query
 def incremental_scoring(spark: SparkSession, d: str) -> DataFrame:
-    """Attempts classified as a stream over conversations; run twice, same outcomes."""
+    """Outcomes of conversations as a stream with state; run twice, same outcomes."""
     out, checkpoint = new_folder(spark, "outcomes"), new_folder(spark, "outcomes-progress")
     for _ in range(2):
-        drain(attempt_stream(b.turns_as_attempts(_stream(spark, d, "conversations"))), out, checkpoint, "append").awaitTermination()
-    return outcomes(spark, out)
+        drain(outcome_stream(b.turns_as_attempts(_stream(spark, d, "conversations"))), out, checkpoint).awaitTermination()
+    return latest(spark, out)
 
 
 @query
