@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from ..functions.labels import age_bucket, decode, group_key, is_class, normaliz
 from ..functions.responses import classify_attempts, parse_responses
 from ..functions.text import record_id
 from ..operators.attempts import RECORD, reduce_attempts, to_predictions
+from ..operators.bloom import filter_of
 from ..operators.compare import compare_cube, compare_summaries, pick_experiments
 from ..operators.confusion import confusion_cube
 from ..operators.distribution import (
@@ -24,11 +27,13 @@ from ..operators.metrics import METRICS, custom_metrics, long_metrics, metric_fr
 from ..operators.prepare import analysis_set, conform, features_except, with_targets
 from ..operators.resume import remaining, with_done
 from ..operators.runs import batch_status, completed, dataset_rollup, experiment_matrix, progress, without_alias
+from ..operators.sketches import estimated_groups, group_sketches, united
 from ..operators.split import capped_sample, stratified_test_split
 from ..operators.summary import flatten_summary, group_rows, summarize
+from ..operators.user_aggregate import ThresholdCurve, aggregate, curve_rows
 from ..sources import sinks
 from ..sources.commits import CommitLog
-from ..sources.files import read_csv, read_predictions, read_summaries, read_survey, with_row_id
+from ..sources.files import read_configs, read_csv, read_predictions, read_summaries, read_survey, with_row_id
 from ..sources.registry import load_dataset, models_table, with_dataset
 from ..staging import new_folder, stage
 from ..streaming.scoring import drain, latest, outcome_stream, running_summary
@@ -172,6 +177,26 @@ def custom_metric_stray(spark: SparkSession, d: str) -> DataFrame:
 # --- predictions tables -------------------------------------------------------
 
 
+@query
+def threshold_curve(spark: SparkSession, d: str) -> DataFrame:
+    """A user aggregate that is no function of the cube: length as a score of quality, by language."""
+    curves = aggregate(b.labelled_docs(spark, d).select("lang", "n_chars", (F.col("quality") == 1).alias("good")), ["lang"],
+                       ThresholdCurve("n_chars", "good", 0, 4000, 16))
+    return rounded(curve_rows(curves, ["lang"]), "tpr", "fpr", "auc")
+
+
+@query
+def group_sketch_store(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches of parts by return flag and day, stored; united over the days, the number of parts is within five per
+    cent of the count."""
+    rows, path = b.table(spark, d, "lineitem").select("l_returnflag", "l_shipdate", "l_partkey"), new_folder(spark, "sketches")
+    group_sketches(rows, ["l_returnflag", "l_shipdate"], "l_partkey").write.mode("append").parquet(path)
+    stored = estimated_groups(united(spark.read.parquet(path), ["l_returnflag"]))
+    exact = rows.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("parts"))
+    return stored.join(exact, "l_returnflag").select(
+        "l_returnflag", "parts", (F.abs(F.col("num_groups") - F.col("parts")) <= 0.05 * F.col("parts")).alias("within"))
+
+
 @query
 def analysis_filter(spark: SparkSession, d: str) -> DataFrame:
     return analysis_set(b.doc_predictions(spark, d)).select(
@@ -316,6 +341,31 @@ def batch_summary_store(spark: SparkSession, d: str) -> DataFrame:
     return stored
 
 
+@query
+def config_store(spark: SparkSession, d: str) -> DataFrame:
+    """Configurations of the matrix of sources and models, written twice, a folder per dataset and experiment."""
+    layout = sinks.Layout(new_folder(spark, "audits"))
+    sources = b.table(spark, d, "documents").select(F.col("source").alias("dataset_name")).distinct()
+    matrix = experiment_matrix(sources.withColumn("dataset_type", F.lit("finance")), STAMP)
+    for _ in range(2):
+        sinks.write_configs(matrix, layout.configs)
+    return read_configs(spark, layout.configs).drop("model_size")
+
+
+@query
+def layout_store(spark: SparkSession, d: str) -> DataFrame:
+    """The artefacts of two experiments below one base folder; of each kind the rows of one experiment are read back."""
+    layout, rows = sinks.Layout(new_folder(spark, "audits")), b.doc_predictions(spark, d)
+    sinks.write_predictions(rows, layout.predictions)
+    sinks.write_analysis(analysis_set(rows), layout.analysis)
+    sinks.write_by_experiment(label_counts(rows), layout.label_counts)
+    sinks.write_by_experiment(prediction_summary(rows), layout.prediction_summaries)
+    kinds = {"predictions": read_predictions(spark, layout.predictions), "analysis": read_predictions(spark, layout.analysis),
+             "label_counts": spark.read.json(layout.label_counts), "prediction_summaries": spark.read.json(layout.prediction_summaries)}
+    counts = [df.where("experiment_id = 'short'").agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("rows")) for kind, df in kinds.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query
 def largest_groups(spark: SparkSession, d: str) -> DataFrame:
     """The ten largest groups of a report."""
@@ -528,9 +578,9 @@ def pluggable_scorer(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def resume_anti_join(spark: SparkSession, d: str) -> DataFrame:
-    """Documents still without a label."""
-    docs = b.table(spark, d, "documents").select("doc_id", "lang", "n_chars")
-    return remaining(docs, b.table(spark, d, "labels"), ["doc_id"])
+    """Documents still without a label; those that a Bloom filter of the labels does not know are not joined."""
+    docs, labels = b.table(spark, d, "documents").select("doc_id", "lang", "n_chars"), b.table(spark, d, "labels")
+    return remaining(docs, labels, ["doc_id"], filter_of(labels, ["doc_id"]))
 
 
 def _todo(spark: SparkSession, d: str) -> DataFrame:

@@ -17,6 +17,7 @@ from ..functions import fixed_values as fv
 from ..functions.describe import prompt_columns
 from ..functions.responses import classify_attempts
 from ..operators.attempts import judged, reduce_attempts, to_predictions
+from ..operators.bloom import filter_of
 from ..operators.prepare import conform
 from ..operators.resume import remaining
 from ..sources import sinks
@@ -114,7 +115,10 @@ def run_experiment(
     config, experiment = ready.config, hashlib.md5(f"{dataset}_{model}_{stamp}".encode()).hexdigest()[:8]
     log = CommitLog(spark, layout.checkpoints)
     run = log.begin(experiment, resume)
-    todo = remaining(ready.prompted, run.done(schemas.PREDICTIONS)) if resume else ready.prompted
+    todo = ready.prompted
+    if run.resumes():
+        done = run.done(schemas.PREDICTIONS)
+        todo = remaining(todo, done, screen=filter_of(done))
     if make_responder is not None:
         answers = layout.responses if resume else f"{layout.responses}-anew-{run.name}"
         responses = ask_in_rounds(todo, make_responder, experiment, provider, answers, tasks=tasks)

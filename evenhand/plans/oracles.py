@@ -156,6 +156,16 @@ _TOTALS = """count(*) AS total_predictions, count(*) FILTER (api_success) AS suc
   round(coalesce(count(*) FILTER (correct) / nullif(count(*) FILTER (api_success), 0), 0), 6) AS accuracy,
   round(avg(attempts_made), 6) AS mean_attempts"""
 ORACLES["prediction_summary"] = f"WITH {PREDICTIONS} SELECT experiment_id, {_TOTALS} FROM predictions GROUP BY experiment_id"
+ORACLES["threshold_curve"] = """WITH d AS (SELECT lang, quality = 1 AS good, least(n_chars // 250, 15) AS b
+  FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL),
+t AS (SELECT range AS b FROM range(16)),
+c AS (SELECT l.lang, t.b, count(*) FILTER (d.good AND d.b >= t.b) AS true_positives, count(*) FILTER (NOT d.good AND d.b >= t.b) AS false_positives,
+    count(*) FILTER (d.good AND d.b = t.b) AS p, count(*) FILTER (NOT d.good AND d.b = t.b) AS q,
+    count(*) FILTER (NOT d.good AND d.b < t.b) AS below, count(*) FILTER (d.good) AS pos, count(*) FILTER (NOT d.good) AS neg
+  FROM (SELECT DISTINCT lang FROM d) l, t, d WHERE d.lang IS NOT DISTINCT FROM l.lang GROUP BY ALL)
+SELECT lang, round(sum(p * (2 * below + q)) OVER (PARTITION BY lang) / nullif(2.0::DOUBLE * pos * neg, 0), 6) AS auc, b * 250.0::DOUBLE AS threshold,
+  true_positives, false_positives, round(true_positives / nullif(pos, 0), 6) AS tpr, round(false_positives / nullif(neg, 0), 6) AS fpr FROM c"""
+ORACLES["group_sketch_store"] = """SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, true AS "within" FROM lineitem GROUP BY 1"""
 ORACLES["label_indicators"] = f"""WITH {PREDICTIONS} SELECT experiment_id, record_id, (ground_truth = 'good')::INTEGER AS truth,
   coalesce(prediction = 'good', false)::INTEGER AS predicted FROM predictions"""
 ORACLES["prediction_label_counts"] = f"""WITH {PREDICTIONS}
@@ -163,6 +173,11 @@ SELECT experiment_id, 'prediction' AS kind, prediction AS label, count(*) AS "co
   WHERE prediction IS NOT NULL GROUP BY ALL
 UNION ALL SELECT experiment_id, 'ground_truth', ground_truth, count(*) FROM predictions
   WHERE ground_truth IS NOT NULL GROUP BY ALL"""
+ORACLES["layout_store"] = f"""WITH {PREDICTIONS}, mine AS (SELECT * FROM predictions WHERE experiment_id = 'short')
+SELECT 'predictions' AS kind, count(*) AS "rows" FROM mine
+UNION ALL SELECT 'analysis', count(*) FROM analysed WHERE experiment_id = 'short'
+UNION ALL SELECT 'label_counts', (SELECT count(*) FROM ({ORACLES['prediction_label_counts']}) WHERE experiment_id = 'short')
+UNION ALL SELECT 'prediction_summaries', count(DISTINCT experiment_id) FROM mine"""
 ORACLES["confusion_counts"] = f"""WITH {PREDICTIONS}
 SELECT experiment_id, sensitive_feature, ground_truth, prediction, count(*) AS n FROM analysed GROUP BY ALL"""
 ORACLES["analysis_totals"] = f"""WITH {PREDICTIONS}
@@ -463,6 +478,7 @@ SELECT left(md5(dataset_name || '_' || model_name || '_2024-01-01T00:00:00'), 8)
   'together' AS api_provider, 'finance' AS dataset_type, 0.0::DOUBLE AS temperature, 2000 AS max_tokens,
   0.2::DOUBLE AS test_size, 42 AS random_state, '2024-01-01T00:00:00' AS "timestamp", samples,
   ceil(samples * 0.2::DOUBLE)::BIGINT AS test_rows FROM sources, models"""
+ORACLES["config_store"] = ORACLES["experiment_matrix"].replace(", samples,\n  ceil(samples * 0.2::DOUBLE)::BIGINT AS test_rows FROM", " FROM")
 _RUNS = """runs AS (SELECT left(md5(o_orderpriority || '_' || o_orderstatus || '_r1'), 8) AS experiment_id,
   o_orderpriority AS dataset, o_orderstatus AS model,
   CASE WHEN avg(o_totalprice) < 251000 THEN 'completed' ELSE 'failed' END AS status

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..operators.scan import with_total_before
 from ..staging import stage
 
 
@@ -47,8 +48,7 @@ def with_row_id(df: DataFrame) -> DataFrame:
     }), "ingest")
     blocks = placed.groupBy("_file", "_start").agg(
         F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    order = Window.partitionBy().orderBy("_file", "_start")
-    offsets = blocks.withColumn("_before", F.sum("_rows").over(order) - F.col("_rows")).drop("_rows")
+    offsets = with_total_before(blocks, ("_file", "_start"), "_rows", "_before").drop("_rows")
     return placed.join(offsets, ["_file", "_start"]).withColumn(
         "row_id", F.col("_before") + F.col("_id") - F.col("_first")
     ).drop("_file", "_start", "_id", "_first", "_before")
