@@ -33,7 +33,7 @@ from ..operators.summary import flatten_summary, group_rows, summarize
 from ..operators.user_aggregate import ThresholdCurve, aggregate, curve_rows
 from ..sources import sinks
 from ..sources.commits import CommitLog
-from ..sources.files import read_configs, read_csv, read_predictions, read_summaries, read_survey, with_row_id
+from ..sources.files import read_configs, read_csv, read_predictions, read_summaries, read_survey, with_row_id, write_parts
 from ..sources.registry import load_dataset, models_table, with_dataset
 from ..staging import new_folder, stage
 from ..streaming.scoring import drain, latest, outcome_stream, running_summary
@@ -761,7 +761,9 @@ def load_credit(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit(" "), F.col("p_type"), F.lit("\t")).alias("Attribute9"))
     targets = parts.select(F.col("p_partkey").alias("row_id"),
                            F.when(F.col("p_retailprice") > 1000, 1).otherwise(2).alias("class"))
-    return _loaded(spark, "german_credit", _write_parts(features, targets, spark))
+    path = new_folder(spark, "parts")
+    write_parts(features, targets, path, 8)
+    return _loaded(spark, "german_credit", path)
 
 
 @query

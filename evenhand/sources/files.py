@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +22,45 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, multi_l
         "escape", '"').csv(path)
 
 
+PARTS = ("features", "targets")
+
+
 def read_parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A two-part dataset: ``<path>/features`` and ``<path>/targets``, both with row_id."""
-    return spark.read.parquet(f"{path}/features"), spark.read.parquet(f"{path}/targets")
+    """A two-part dataset: ``<path>/features`` and ``<path>/targets``, both with row_id. Parts that ``write_parts``
+    has put into buckets are read by bucket, so their join by row_id shuffles neither."""
+    buckets = _buckets(spark, path)
+    if not buckets:
+        return tuple(spark.read.parquet(f"{path}/{part}") for part in PARTS)
+    return tuple(_bucketed(spark, path, part, buckets) for part in PARTS)
+
+
+def write_parts(features: DataFrame, targets: DataFrame, path: str, buckets: int) -> None:
+    """Both parts by the same buckets of row_id, a sorted file for each: choose ``buckets`` so that one fits a task."""
+    for part, rows in zip(PARTS, (features, targets)):
+        name, place = _table_name(path, part), f"{path}/{part}.{buckets}"
+        rows.repartition(buckets, "row_id").write.bucketBy(buckets, "row_id").sortBy("row_id").option("path", place).saveAsTable(name)
+
+
+def _table_name(path: str, part: str) -> str:
+    return f"evenhand_{part}_{hashlib.md5(path.rstrip('/').encode()).hexdigest()[:16]}"
+
+
+def _buckets(spark: SparkSession, path: str) -> int:
+    """The number of buckets in the name of the folder of features; 0 for a plain one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in system.listStatus(place)] if system.exists(place) else []
+    return max((int(n.split(".")[1]) for n in names if re.fullmatch(r"features\.\d+", n)), default=0)
+
+
+def _bucketed(spark: SparkSession, path: str, part: str, buckets: int) -> DataFrame:
+    """The catalog of this session may not know a table that another one has written."""
+    name, place = _table_name(path, part), f"{path}/{part}.{buckets}"
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(place).schema.fields)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (row_id) SORTED BY (row_id) "
+                  f"INTO {buckets} BUCKETS LOCATION '{place}'")
+    return spark.table(name)
 
 
 def read_split(spark: SparkSession, path: str, split: str = "train") -> DataFrame:

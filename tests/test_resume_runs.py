@@ -12,7 +12,8 @@ from evenhand.operators.runs import (
     batch_status, completed, dataset_rollup, experiment_matrix, progress, run_results, without_alias)
 from evenhand.sources import sinks
 from evenhand.sources.files import (
-    read_checkpoint, read_configs, read_csv, read_parts, read_predictions, read_split, read_summaries, read_survey, with_row_id)
+    _table_name, read_checkpoint, read_configs, read_csv, read_parts, read_predictions, read_split, read_summaries, read_survey, with_row_id,
+    write_parts)
 from evenhand.sources.registry import (
     DATASETS, DatasetConfig, dataset_config, datasets_table, foreign_labels, load_all, load_dataset, models_table, register,
     with_dataset)
@@ -218,3 +219,24 @@ def test_two_part_reader(spark, tmp_path):
     spark.range(3).withColumnRenamed("id", "row_id").write.parquet(f"{tmp_path}/features")
     spark.range(2).select(F.col("id").alias("row_id"), F.lit("y").alias("class")).write.parquet(f"{tmp_path}/targets")
     assert with_targets(*read_parts(spark, str(tmp_path))).count() == 3
+
+
+def test_bucketed_parts_join_without_a_shuffle(spark, tmp_path):
+    """Also in a session whose catalog does not know the tables."""
+    ids = spark.range(500).withColumnRenamed("id", "row_id")
+    features, targets = ids.withColumn("x", F.col("row_id") * 2), ids.where("row_id % 5 > 0").withColumn("y", F.col("row_id") % 3)
+    path = str(tmp_path / "parts")
+    write_parts(features, targets, path, 4)
+    want = sorted((r, 2 * r, r % 3) for r in range(500) if r % 5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for session in (spark, spark.newSession()):
+            session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+            left, right = read_parts(session, path)
+            joined = right.join(left, "row_id", "left").select("row_id", "x", "y")
+            assert sorted(map(tuple, joined.collect())) == want
+            assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+            session.sql(f"DROP TABLE {_table_name(path, 'features')}")
+            session.sql(f"DROP TABLE {_table_name(path, 'targets')}")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
