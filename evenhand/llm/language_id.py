@@ -6,13 +6,13 @@ each language, so every position has a label. A document's probabilities are the
 all its positions, and its language is the most probable one.
 
 The network is trained in numpy by back-propagation through time, on slices of at most
-``PER_LANGUAGE`` documents of each language and ``MOST_DOCUMENTS`` in all, drawn by a hash over
-all rows that it may learn from. Gates are x / (1 + abs(x)), shifted to 0..1 where they need to
+``PER_LANGUAGE`` documents of each language and ``MOST_DOCUMENTS`` in all, but at least one of each
+language, drawn by a hash over all rows that it may learn from. No language is left out. Gates are x / (1 + abs(x)), shifted to 0..1 where they need to
 be, which costs no exponential. Scoring reads whole texts and shuffles nothing; the weights are
 some ten kilobytes.
 
 A text that is null or has no letter is ``und`` with score 0, and so are all texts if there is
-nothing to learn from. Equally probable languages go to the first by name. Rows that share an
+nothing to learn from. An empty table gives no rows. Equally probable languages go to the first by name. Rows that share an
 id are labelled each for itself.
 """
 
@@ -32,12 +32,18 @@ UNKNOWN = "und"
 SEGMENT = 128
 HIDDEN = 8
 BATCH = 2048
+MANY = 32
+"""Segments are worked on ``BATCH`` at once, or fewer if there are more languages than this."""
 PER_LANGUAGE = 600
 MOST_DOCUMENTS = 8192
 SLICE = 512
 STEPS = 120
 
 
+def block_size(languages: int) -> int:
+    return max(16, min(BATCH, MANY * BATCH // max(languages, 1)))
+
+
 def _squash(x: np.ndarray) -> None:
     """x / (1 + abs(x)), in place."""
     bottom = np.abs(x)
@@ -182,7 +188,7 @@ def train(texts: list[str], truth: list[str], *, hidden: int = HIDDEN, steps: in
     for d in "fb":
         weights |= {f"table_{d}": normal(3 * hidden, 256, scale=0.5), f"recurrent_{d}": normal(3 * hidden, hidden, scale=hidden**-0.5),
                     f"out_{d}": normal(len(names), hidden, scale=hidden**-0.5)}
-    net = Network(names, weights)
+    net, batch = Network(names, weights), min(batch, block_size(len(names)))
     data, offsets = text_bytes(pa.array(texts, pa.string()))
     text, length, doc = segments(data, offsets)
     label = np.searchsorted(names, truth)[doc]
@@ -208,15 +214,17 @@ def learning_sample(docs: DataFrame, may_learn: Column, lang_col: str = "lang")
     under a bound that lets about as many through as are wanted."""
     rows = docs.select(F.col("text").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("hash")).where(
         may_learn & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_DOCUMENTS // 8).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return []
-    want = min(PER_LANGUAGE, MOST_DOCUMENTS // len(counts))
-    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.2 * want / n))])
+    # at least one document of each language, however many there are
+    want = min(PER_LANGUAGE, max(1, MOST_DOCUMENTS // len(counts)))
+    some = 1.2 * want + 20
+    shares = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, some / n))])
     near = rows.where(F.pmod("hash", F.lit(1 << 30)) < shares[F.col("lang")] * (1 << 30))
     start = F.pmod(F.shiftright("hash", 8), F.greatest(F.lit(1), F.length("text") - SLICE)).cast("int") + 1
     picked = near.select("lang", "hash", F.substring("text", start, F.lit(SLICE)).alias("slice")).orderBy("hash", "lang").limit(
-        2 * MOST_DOCUMENTS).collect()
+        int(2 * sum(min(n, some) for n in counts.values()) + 1000)).collect()
     taken: dict[str, int] = {}
     out = []
     for lang, _, text in picked:
@@ -245,8 +253,9 @@ def identify(docs: DataFrame, net: Network | None, *, id_col: str = "doc_id", te
     def label(table: pa.Table) -> pa.Table:
         text, length, doc = segments(*text_bytes(table["text"]))
         total = np.zeros((table.num_rows, len(net.languages)))
-        for at in range(0, len(length), BATCH):
-            own = slice(at, at + BATCH)
+        size = block_size(len(net.languages))
+        for at in range(0, len(length), size):
+            own = slice(at, at + size)
             p = net.probabilities(text[:, own], length[own])
             if np.any(length[own] < SEGMENT):
                 p *= (np.arange(SEGMENT)[:, None] < length[own])[:, None, :]
@@ -270,7 +279,8 @@ def position_labels(docs: DataFrame, net: Network, *, id_col: str = "doc_id", te
     def runs(table: pa.Table) -> pa.Table:
         data, offsets = text_bytes(table["text"])
         text, length, _ = segments(data, offsets)
-        best = [net.probabilities(text[:, at:at + BATCH], length[at:at + BATCH]).argmax(axis=1) for at in range(0, len(length), BATCH)]
+        size = block_size(len(net.languages))
+        best = [net.probabilities(text[:, at:at + size], length[at:at + size]).argmax(axis=1) for at in range(0, len(length), size)]
         inside = np.arange(SEGMENT)[:, None] < length
         flat = np.concatenate(best, axis=1).T[inside.T] if best else np.empty(0, np.int64)
         new = np.ones(len(flat), bool)
