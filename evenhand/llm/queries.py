@@ -10,8 +10,9 @@ from .conversation_repair import op11_conversation_repair
 from .conversation_trie import op13_conversation_trie
 from .decontaminate import op10_decontaminate
 from .language_id import op2_language_id
-from .license_scan import op4_license_scan, oracle
+from .license_scan import op4_license_scan
 from .near_dedup import op5_near_dedup
+from .oracles import ORACLES as ORACLES
 from .packing import op7_packing
 from .pieces import op12_pieces
 from .quality_classifier import op8_quality_classifier
@@ -25,4 +26,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_substring_dedup, op2_language_id, op3_token_counts, op4_license_scan, op5_near_dedup, op6_quality_rules,
         op7_packing, op8_quality_classifier, op9_token_files, op10_decontaminate, op11_conversation_repair, op12_pieces,
         op13_conversation_trie)}
-ORACLES: dict[str, str] = {"op4_license_scan": oracle()}
