@@ -8,10 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, else a folder in its warehouse; on a cluster
-    either is one that all executors share."""
+    """``spark.checkpoint.dir`` of the session, else a folder in its warehouse. A cluster has to name a folder that all
+    executors share: a warehouse on the driver's own disk will not do."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+    if folder:
+        return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    one_machine = spark.sparkContext.master.split("[")[0] == "local"
+    place = spark._jvm.org.apache.hadoop.fs.Path(warehouse).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not one_machine and place.getUri().getScheme() == "file":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/_work"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

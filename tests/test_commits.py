@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from evenhand import schemas
+from evenhand import schemas, staging
 from evenhand.operators.resume import remaining
 from evenhand.plans.batch import run_batch
 from evenhand.plans.experiment import run_experiment
@@ -130,3 +130,18 @@ def test_reason_goes_when_a_later_run_succeeds(spark, tmp_path):
     batch(lambda m: rule(), resume=False)
     assert read_reasons(spark, layout.unanalysed).count() == 0
     assert remaining(spark.read.json(layout.configs), spark.read.json(layout.summaries), ["experiment_id"]).count() == 0
+
+
+def test_cluster_has_to_name_a_shared_folder(spark):
+    class Elsewhere:
+        """A session of a cluster that names no folder."""
+
+        _jvm, _jsc = spark._jvm, spark._jsc
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: {
+            "spark.sql.warehouse.dir": "file:/warehouse"}.get(key, default))})()
+
+    with pytest.raises(ValueError, match="all executors share"):
+        staging.work_folder(Elsewhere())
+    Elsewhere.sparkContext.master = "local[8]"
+    assert staging.work_folder(Elsewhere()) == "file:/warehouse/_work"
