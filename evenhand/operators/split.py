@@ -26,67 +26,79 @@ def hash_key(key: str, seed: int) -> Column:
 
 
 def test_quotas(counts: DataFrame, test_size: float = TEST_SIZE) -> DataFrame:
-    """Test rows per class (``stratum, c`` to ``stratum, k``).
+    """Test rows per class (``stratum, c`` to ``stratum, k``, with ``c`` and ``total``, the rows of all classes).
 
     The test set has ceil(test_size * N) rows. The train side gets floor plus
-    largest remainder, ties to the smaller label; test is what is left. One row
-    per class goes in: the total is a scalar, and only the rank of the remainders
-    is a window over all classes.
+    largest remainder, ties to the smaller label; test is what is left. One row per
+    class goes in; its place among the remainders is counted in two levels, so classes
+    may be as many as rows.
     """
-    whole = Window.partitionBy()
-    sized = counts.withColumn("_N", counts.agg(F.sum("c")).scalar()).withColumn(
-        "_train", F.col("_N") - F.ceil(F.lit(float(test_size)) * F.col("_N")).cast("long"))
-    shared = sized.withColumn("_base", F.expr("(c * _train) div _N")).withColumn(
-        "_rem", F.expr("(c * _train) % _N"))
-    ranked = shared.withColumn(
-        "_short", F.col("_train") - F.sum("_base").over(whole)
-    ).withColumn("_rank", F.row_number().over(whole.orderBy(F.desc("_rem"), "stratum")))
-    train = F.col("_base") + F.when(F.col("_rank") <= F.col("_short"), 1).otherwise(0)
-    return ranked.select("stratum", (F.col("c") - train).alias("k"))
+    whole = counts.agg(F.struct(F.sum("c").alias("total"), F.count(F.lit(1)).alias("classes"))).scalar()
+    train = F.col("_all.total") - F.ceil(F.lit(float(test_size)) * F.col("_all.total")).cast("long")
+    shared = counts.withColumn("_all", whole).withColumn("_train", train).withColumn(
+        "_base", F.expr("(c * _train) div _all.total")).withColumn(
+        "_order", F.struct((-F.expr("(c * _train) % _all.total")).alias("rem"), "stratum"))
+    short = shared.agg(F.max("_train") - F.sum("_base")).scalar()
+    placed = _with_place(shared, "_order", F.col("_all.classes"), "_place")
+    taken = F.col("_base") + F.when(F.col("_place") < short, 1).otherwise(0)
+    return placed.select("stratum", (F.col("c") - taken).alias("k"), "c", F.col("_all.total").alias("total"))
 
 
-# A table of one row per class is broadcast for up to so many classes.
-FEW_CLASSES = 100_000
+# About so many bounds cut the classes into ranges.
+BOUNDS = 256
 
 
-def _few(strata: DataFrame) -> bool:
-    """Whether there are few classes: counts no further than it has to."""
-    return strata.distinct().limit(FEW_CLASSES + 1).count() <= FEW_CLASSES
+def _with_place(rows: DataFrame, order: str, size: Column, name: str) -> DataFrame:
+    """Adds ``name``, how many rows come before a row by ``order``, a struct that no two rows share.
 
+    A sample by hash, about ``BOUNDS`` of the ``size`` rows, cuts them into ranges. A row's place is
+    the rows of the ranges before its own and those before it there. The sample evens out the
+    ranges and decides nothing else.
+    """
+    chosen = F.pmod(F.xxhash64(order), F.greatest(F.lit(1), F.ceil(size / BOUNDS)).cast("long")) == 0
+    bounds = rows.where(chosen).agg(F.sort_array(F.collect_list(order))).scalar()
+    ranged = rows.withColumn("_bounds", bounds).withColumn(
+        "_range", F.size(F.filter("_bounds", lambda x: x <= F.col(order)))).drop("_bounds")
+    # one row for each range
+    starts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_from"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    return ranged.withColumn("_inside", inside).join(F.broadcast(starts), "_range").withColumn(
+        name, F.col("_from") + F.col("_inside")).drop("_range", "_inside", "_from")
 
-def _one_per_class(df: DataFrame, few: bool) -> DataFrame:
-    """A table of one row per class for a join with all rows, broadcast if classes are few."""
-    return F.broadcast(df) if few else df
 
+# Classes with one in so many rows, or more, are large: there can be no more of them than this.
+LARGE_CLASSES = 100_000
 
-def _last_taken(
-    hashed: DataFrame, histogram: DataFrame, quotas: DataFrame, levels: int, few: bool
-) -> DataFrame:
-    """(stratum, h, key) of the last row taken per class: the k-th by (h, key)."""
-    need, cut = quotas, None
+
+def _crossing(rows: DataFrame, *groups: str) -> DataFrame:
+    """(stratum, h, key) of the row in each group at which the count by (h, key) reaches ``k``."""
+    # copies of a key are counted first, so that many of them are one row to rank
+    counted = rows.groupBy(*groups, "h", "key", "k").agg(F.count(F.lit(1)).alias("n"))
+    by_hash = Window.partitionBy(*groups).orderBy("h", "key").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return counted.withColumn("_end", F.sum("n").over(by_hash)).where(
+        (F.col("_end") >= F.col("k")) & (F.col("_end") - F.col("n") < F.col("k"))).select("stratum", "h", "key")
+
+
+def _last_taken(hashed: DataFrame, histogram: DataFrame, quotas: DataFrame, levels: int) -> DataFrame:
+    """(stratum, h, key) of the last row taken per class: the k-th by (h, key). For classes whose
+    number is bounded: their cut points are broadcast."""
+    need, cut = quotas.select("stratum", "k"), None
     for level in range(1, levels + 1):
         if cut is not None:
             inside = hashed.withColumn("prefix", F.left("h", F.lit(DIGITS * (level - 1))))
             histogram = _histogram(inside.join(cut, ["stratum", "prefix"], "left_semi"), DIGITS * level)
         running = Window.partitionBy("stratum").orderBy("prefix").rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
-        cut = (
-            histogram.withColumn("_end", F.sum("n").over(running))
-            .join(need, "stratum")
+        cut = F.broadcast(
+            histogram.join(F.broadcast(need), "stratum").withColumn("_end", F.sum("n").over(running))
             .where((F.col("_end") >= F.col("k")) & (F.col("_end") - F.col("n") < F.col("k")))
             .select("stratum", "prefix", (F.col("k") - F.col("_end") + F.col("n")).alias("k"))
         )
-        cut = _one_per_class(cut, few)
         need = cut.select("stratum", "k")
-    # copies of a key are counted first, so that many of them are one row to rank
-    edge = hashed.withColumn("prefix", F.left("h", F.lit(DIGITS * levels))).join(
-        cut, ["stratum", "prefix"]).groupBy("stratum", "prefix", "h", "key", "k").agg(
-        F.count(F.lit(1)).alias("n"))
-    by_hash = Window.partitionBy("stratum", "prefix").orderBy("h", "key").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    return edge.withColumn("_end", F.sum("n").over(by_hash)).where(
-        (F.col("_end") >= F.col("k")) & (F.col("_end") - F.col("n") < F.col("k"))
-    ).select("stratum", "h", "key")
+    edge = hashed.withColumn("prefix", F.left("h", F.lit(DIGITS * levels))).join(cut, ["stratum", "prefix"])
+    return _crossing(edge, "stratum", "prefix")
 
 
 def _histogram(hashed: DataFrame, digits: int) -> DataFrame:
@@ -107,10 +119,13 @@ def stratified_test_split(
 
     ``key`` is unique; should it not be, copies of a key stay together, and the last
     key taken may exceed the size by its copies. Rows without a stratum are left out, all
-    other labels are strata; ``classes`` leaves only those named. The table of cut points
-    is broadcast if it has few rows, by ``classes`` or by a count. Each of the ``levels``
-    is a narrow scan that cuts the ranked rest by 4096; two are enough up to some 10^12
-    rows per class.
+    other labels are strata; ``classes`` leaves only those named, which are then few.
+
+    Of undeclared classes those with one in ``LARGE_CLASSES`` rows or more can be no more than
+    that, so their cut points are broadcast and their rows, hot ones among them, are not
+    shuffled. The rows of all other classes are read a second time and go to their class, which is a
+    small part of the table. Nothing is counted before the result is asked for. Each of the ``levels`` is a narrow
+    scan that cuts the ranked rest by 4096; two are enough up to some 10^12 rows per class.
     """
     rows = samples.where(F.col(stratum).isNotNull())
     if classes is not None:
@@ -118,12 +133,24 @@ def stratified_test_split(
     hashed = rows.select(F.col(stratum).alias("stratum"), hash_key(key, seed).alias("h"),
                          F.col(key).alias("key"))
     histogram = _histogram(hashed, DIGITS)
-    counts = histogram.groupBy("stratum").agg(F.sum("n").alias("c"))
-    few = classes is not None or _few(hashed.select("stratum"))
-    last = _last_taken(hashed, histogram, test_quotas(counts, test_size), levels, few)
-    last = _one_per_class(last.toDF("_stratum", "_h", "_key"), few)
+    quotas = test_quotas(histogram.groupBy("stratum").agg(F.sum("n").alias("c")), test_size)
     taken = F.struct(hash_key(key, seed), F.col(key)) <= F.struct("_h", "_key")
-    return rows.join(last, (F.col(stratum) == F.col("_stratum")) & taken, "left_semi")
+    within = (F.col(stratum) == F.col("_stratum")) & taken
+
+    def until(last: DataFrame) -> DataFrame:
+        return last.toDF("_stratum", "_h", "_key")
+
+    if classes is not None:
+        return rows.join(F.broadcast(until(_last_taken(hashed, histogram, quotas, levels))), within, "left_semi")
+    is_large = F.col("c") * LARGE_CLASSES >= F.col("total")
+    large = quotas.where(is_large)
+    of_large = rows.join(F.broadcast(until(_last_taken(hashed, histogram, large, levels))), within, "left_semi")
+    names = F.broadcast(large.select(F.col("stratum").alias("_large")))
+    small = hashed.join(names, F.col("stratum") == F.col("_large"), "left_anti").join(
+        quotas.where(~is_large).select("stratum", "k"), "stratum")
+    of_small = rows.join(names, F.col(stratum) == F.col("_large"), "left_anti").join(
+        until(_crossing(small, "stratum")), within, "left_semi")
+    return of_large.unionAll(of_small)
 
 
 def capped_sample(
@@ -136,6 +163,6 @@ def capped_sample(
         "stratum", F.left("h", F.lit(0)))
     histogram = _histogram(hashed, DIGITS)
     quotas = histogram.groupBy("stratum").agg(F.lit(n).cast("long").alias("k"))
-    last = _last_taken(hashed, histogram, quotas, levels, True).select(F.struct("h", "key"))
+    last = _last_taken(hashed, histogram, quotas, levels).select(F.struct("h", "key"))
     inside = F.struct(hash_key(key, seed), F.col(key)) <= last.scalar()
     return df.where(F.coalesce(inside, F.lit(True)))

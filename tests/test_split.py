@@ -78,6 +78,31 @@ def test_split_when_hashes_share_a_prefix(spark, monkeypatch):
     assert got == plain_split(rows, 0.2, 42)
 
 
+@pytest.mark.parametrize("large", [1, 20, 100_000])
+def test_many_undeclared_classes(spark, monkeypatch, large):
+    """All classes small, some of them large, or all large: the same rows. Ties of remainders go by label."""
+    monkeypatch.setattr(split, "LARGE_CLASSES", large)
+    monkeypatch.setattr(split, "BOUNDS", 16)
+    rng = random.Random(8)
+    rows = [(f"rec_{i:06d}", "hot" if i % 3 == 0 else f"class_{rng.randrange(900)}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "record_id string, ground_truth string").repartition(5)
+    got = [r.record_id for r in stratified_test_split(df).collect()]
+    expected = plain_split(rows, 0.2, 42)
+    assert set(got) == expected and len(got) == len(expected) == 800
+
+
+def test_split_runs_no_job_at_definition(spark):
+    df = spark.range(1000).select(F.col("id").cast("string").alias("record_id"), (F.col("id") % 50).cast("string").alias("ground_truth"))
+    spark.sparkContext.setJobGroup("split-definition", "split")
+    stratified_test_split(df)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("split-definition")
+    spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_split_of_nothing(spark):
+    assert stratified_test_split(spark.createDataFrame([], "record_id string, ground_truth string")).count() == 0
+
+
 def test_copies_of_a_key_stay_together(spark):
     rows = random_rows(300, 5) + [("copy", "good")] * 150
     df = spark.createDataFrame(rows, "record_id string, ground_truth string")
