@@ -34,6 +34,7 @@ from ..operators.user_aggregate import ThresholdCurve, aggregate, curve_rows
 from ..sources import sinks
 from ..sources.commits import CommitLog
 from ..sources.files import read_configs, read_csv, read_predictions, read_summaries, read_survey, with_row_id, write_parts
+from ..sources.partitioned import read_partitioned
 from ..sources.registry import load_dataset, models_table, with_dataset
 from ..staging import new_folder, stage
 from ..streaming.scoring import drain, latest, outcome_stream, running_summary
@@ -495,6 +496,16 @@ def stratified_split_open(spark: SparkSession, d: str) -> DataFrame:
     return stratified_test_split(samples, test_size=0.15, seed=7, levels=2)
 
 
+@query
+def stratified_split_many(spark: SparkSession, d: str) -> DataFrame:
+    """Half as many strata as there are orders: most hold two rows, one holds a third of all."""
+    pair = F.expr("o_orderkey div 2")
+    samples = b.table(spark, d, "orders").select(
+        record_id("o_orderkey").alias("record_id"),
+        F.when(pair % 3 == 0, "frequent").otherwise(pair.cast("string")).alias("ground_truth"))
+    return stratified_test_split(samples)
+
+
 @query
 def capped_sample_(spark: SparkSession, d: str) -> DataFrame:
     rows = b.table(spark, d, "orders").select(record_id("o_orderkey").alias("record_id"), "o_totalprice")
@@ -831,6 +842,19 @@ def load_folktables(spark: SparkSession, d: str) -> DataFrame:
     return _loaded(spark, "folktables", path)
 
 
+@query
+def survey_source(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of one year and two states by the data source: the conditions choose folders."""
+    path = new_folder(spark, "source")
+    b.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("PINCP"), "o_orderpriority", F.year("o_orderdate").alias("year"),
+        F.when(F.col("o_orderstatus") == "F", "CA").when(F.col("o_orderstatus") == "O", "NV").alias("state"),
+    ).write.mode("append").partitionBy("year", "state").parquet(path)
+    rows = read_partitioned(spark, path, "year int, state string", ["row_id", "PINCP"])
+    return rows.where((F.col("year") == 1996) & F.col("state").isin("CA", "NV") & (F.col("PINCP") > 1000)).select(
+        "row_id", F.round("PINCP", 2).alias("PINCP"), "year", "state")
+
+
 @query
 def load_diabetes(spark: SparkSession, d: str) -> DataFrame:
     orders = b.table(spark, d, "orders")

@@ -312,6 +312,9 @@ ORACLES["stratified_split"] = f"""WITH samples AS (SELECT {_rec('o_orderkey')} A
 SELECT record_id, ground_truth FROM taken"""
 ORACLES["stratified_split_open"] = f"""WITH samples AS (SELECT {_rec('p_partkey')} AS record_id, p_brand AS ground_truth
   FROM part), {_split(0.15, 7)} SELECT record_id, ground_truth FROM taken"""
+ORACLES["stratified_split_many"] = f"""WITH samples AS (SELECT {_rec('o_orderkey')} AS record_id,
+  CASE WHEN (o_orderkey // 2) % 3 = 0 THEN 'frequent' ELSE (o_orderkey // 2)::VARCHAR END AS ground_truth FROM orders), {_split()}
+SELECT record_id, ground_truth FROM taken"""
 ORACLES["capped_sample"] = f"""SELECT {_rec('o_orderkey')} AS record_id, o_totalprice FROM orders
 ORDER BY md5({_rec('o_orderkey')} || '_42'), 1 LIMIT 5000"""
 
@@ -554,3 +557,7 @@ ORACLES["load_diabetes"] = _loader(f"""SELECT {_rec('o_orderkey')} AS record_id,
   {_SENIOR} AS sensitive_feature,
   'time_in_hospital: ' || year(o_orderdate) {_NL} 'num_medications: ' || o_custkey AS data_description
   FROM (SELECT *, {_AGE} AS age FROM orders) WHERE o_totalprice > 10000""")
+
+ORACLES["survey_source"] = """SELECT o_orderkey AS row_id, round(o_totalprice, 2) AS PINCP, year(o_orderdate)::INT AS year,
+  CASE o_orderstatus WHEN 'F' THEN 'CA' ELSE 'NV' END AS state FROM orders
+WHERE year(o_orderdate) = 1996 AND o_orderstatus IN ('F', 'O') AND o_totalprice > 1000"""
