@@ -4,14 +4,18 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from evenhand.llm import decontaminate, language_id, license_scan, near_dedup, quality_rules, substring_dedup
+from evenhand.llm import decontaminate, language_id, license_scan, near_dedup, quality_rules, substring_dedup, token_files
 from evenhand.llm.queries import ORACLES, QUERIES
 from evenhand.llm.tokens import default_vocabulary, encoder
+from evenhand.staging import new_folder
 
 from .conftest import ALNUM, FOLDER, by_id, texts, words
 
@@ -273,6 +277,33 @@ def test_op9(spark, documents):
         start += len(own)
 
 
+def test_token_files_have_many_segments_and_an_index(spark, awkward):
+    """One file for each range at most, its segments found by its own index as by the list."""
+    hot = awkward.select("doc_id", "text").unionAll(spark.range(400).select(
+        F.lit(7).cast("long"), F.concat(F.lit("row of the same number "), F.col("id").cast("string"))))
+    folder = new_folder(spark, "ids")
+    listed = token_files.write_token_files(hot, folder, file_bytes=5000, segment_bytes=1000)
+    rows = sorted(listed.collect(), key=lambda r: (r.part, r.segment))
+    names = [p.name for p in Path(folder).iterdir() if p.name[0] not in "_."]
+    assert sorted(names) == sorted({r.file for r in rows}) and len(rows) > len(names)
+    held = []
+    for name in sorted(names):
+        with pa.OSFile(f"{folder}/{name}") as file:
+            for own, row in zip(token_files.segments(file), [r for r in rows if r.file == name], strict=True):
+                assert tuple(own.tolist()) == (row["at"], row["size"], row["n_docs"], row["n_ids"])
+                held += token_files.Segment(file.read_at(own["size"], own["at"])).doc_ids.tolist()
+    assert held == sorted(held) and held.count(7) == 401
+    assert len(names) > 10
+    got = sorted(token_files.read_token_files(folder, listed).collect(), key=lambda r: r.start)
+    library = encoder(default_vocabulary()).library
+    want = sorted((d, zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())) for d, t in hot.collect())
+    assert sorted((r.doc_id, r.ids_crc32) for r in got) == want
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+
+
 def hits(all_texts, items, size=13):
     windows = defaultdict(set)
     for i, t in items:
@@ -315,8 +346,6 @@ def test_contamination_in_parts_of_the_items(spark, awkward, monkeypatch, item_b
 
 
 def test_no_other_module_imports_the_subpackage():
-    from pathlib import Path
-
     import evenhand
 
     top = Path(evenhand.__file__).parent

@@ -124,7 +124,7 @@ def test_ids_are_those_of_the_library(texts):
 @given(st.lists(st.integers(0, 60000), max_size=1500), st.sampled_from([0, 50, 90, 98, 100]))
 def test_token_file_round_trip(ids, percentile):
     raw = token_files.write_ids(np.array([3]), np.array([len(ids)]), np.array(ids, np.uint32), percentile)
-    own = token_files.TokenFile(raw)
+    own = token_files.Segment(raw)
     assert own.read().tolist() == ids
     assert own.doc_ids.tolist() == [3]
     assert own.lengths.tolist() == [len(ids)]
