@@ -1,18 +1,21 @@
 """Licence scans by a positional index of rare words, with built-in functions only.
 
-Templates are short licence notices. In the index each has its two rarest words, by the number
-of documents that hold them, counted over all documents, and their positions. A file's highest-
-IDF licence words are those that the index knows. Where one stands, the posting says where the
-template would begin and where its other rare word must stand; places at which the two agree
-are verified: the template's key phrase must stand there word by word. A place of a phrase has
-both words, so none is lost. A template's label is given if at least ``SHARE`` of its words
-stand at their places.
+Templates are licence notices. The index maps each of their words to its postings: templates and
+positions in them. A file's licence words are ranked by IDF, counted over all documents. A notice of
+which ``m`` words must stand at their places at least has ``n`` words in the file; of these the
+``n - m + 2`` of the highest IDF are looked up, as two of them must then be among those at their
+places. Each place of such a word votes, through its postings, for where a template would begin.
+Beginnings with two votes, so where two postings agree in relative position, are verified: the
+template's key phrase must stand there word by word. Its label is given if at least ``SHARE`` of its
+words stand at their places. So no place is lost, whichever words the file lacks.
 
 The templates are a constant of this module or a parameter, so expressions, index and the
 counts that reach the driver are as large as these templates. Texts are read twice, never
 moved, and every step is an expression of the row.
 
-A null is an empty text. Rows that share an id are scanned each for itself.
+A null is an empty text, which has no word and no label. Rows that share an id, or repeat, are scanned
+each for itself. Among words of the same IDF the lesser comes first; that changes no result. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -62,19 +65,37 @@ BASE = (
 NOTICES = (
     Template("agpl", "gnu affero general public license", "affero general public license"),
     Template("apache-2.0", "licensed under the apache license version 2 0", "apache license"),
+    Template("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance "
+             "with the license you may obtain a copy of the license at", "apache license"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
+    Template("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following "
+             "disclaimer in the documentation and or other materials provided with the distribution", "reproduce the above copyright notice"),
+    Template("bsl-1.0", "boost software license version 1 0", "boost software license"),
     Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     Template("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
     Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     Template("cc0", "to the extent possible under law the author has waived all copyright under cc0", "waived all copyright"),
+    Template("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+             "eclipse public license"),
+    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license "
+             "as published by the free software foundation", "terms of the gnu general public license"),
     Template("gpl-2.0", "licensed under the gnu general public license version 2", "general public license version 2"),
     Template("gpl-3.0", "licensed under the gnu general public license version 3", "general public license version 3"),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose", "copy modify and or distribute"),
     Template("lgpl", "gnu lesser general public license", "lesser general public license"),
     Template("mit", "released under the mit license", "mit license"),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby granted free of charge"),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation "
+             "files the software to deal in the software without restriction", "to deal in the software without restriction"),
     Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable "
+             "for any damages arising from the use of this software", "in no event will the authors be held liable"),
 )
+VOTES = 2
+"""Postings that must agree on where a template begins; one in templates that may match by a single word."""
+_NUMBER = 1 << 40
+"""Candidates are one number: the template's times this, and the beginning moved to be no less than 0."""
 
 
 def _words(text: str) -> Column:
@@ -89,39 +110,75 @@ def document_frequencies(docs: DataFrame, words: list[str], text_col: str = "tex
     return {w: counts.get(w, 0) for w in words}
 
 
-def postings(templates: tuple[Template, ...], frequency: dict[str, int]) -> list[tuple[Template, int, int]]:
-    """For each template the positions of the two rarest words of its phrase (one word: twice)."""
-    out = []
-    for t in templates:
-        at = sorted(range(len(t.phrase)), key=lambda i: (frequency[t.phrase[i]], t.phrase[i], i))
-        first = at[0]
-        second = next((i for i in at if t.phrase[i] != t.phrase[first]), at[-1])
-        out.append((t, t.at + first, t.at + second))
+def least_right(t: Template, share: float) -> int:
+    """How many words of a template stand at their places at least where it is found."""
+    n = len(t.words)
+    return next(m for m in range(len(t.phrase), n + 1) if m / float(n) >= min(share, 1.0))
+
+
+def postings(templates: tuple[Template, ...]) -> dict[str, list[tuple[int, int]]]:
+    """The index: for each word of the templates where it stands, as (template, position)."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for k, t in enumerate(templates):
+        for position, word in enumerate(t.words):
+            out.setdefault(word, []).append((k, position))
     return out
 
 
-def _places(t: Template, first: int, second: int) -> Column:
-    """Where the notice would begin, in array positions, for each verified place of its phrase."""
+def _literals(values: list) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def _has(word: Column) -> Column:
+    return F.array_contains("own", word)
+
+
+def _looked_up(t: Template, least: int, rank: dict[str, int]) -> Column:
+    """The template's words that the file has, but for the ``least - VOTES`` of the lowest IDF; none if
+    the file lacks a word of the key phrase."""
+    here = F.filter(_literals(sorted(t.words, key=rank.__getitem__)), _has)
+    whole = F.forall(_literals(sorted(set(t.phrase), key=rank.__getitem__)), _has)
+    return F.when(whole, F.slice(here, F.lit(1), F.greatest(F.size(here) - max(least - VOTES, 0), F.lit(0)))).otherwise(
+        F.array().cast("array<string>"))
+
+
+def _candidates(index: dict[str, list[tuple[int, int]]], most: int) -> Column:
+    """Votes of all places of words that are looked up, sorted."""
+    moved = F.create_map(*[c for w, found in sorted(index.items()) for c in (
+        F.lit(w), _literals([k * _NUMBER + most - position for k, position in found]))])
+    at = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("looked", w), i)), lambda i: i.isNotNull())
+    votes = F.transform(at, lambda i: F.transform(F.element_at(moved, F.get("words", i)), lambda p: p + i))
+    return F.when(F.size("looked") > 0, F.sort_array(F.flatten(votes))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _agreed(single: list[int]) -> Column:
+    """Candidates that ``VOTES`` postings agree on, or one of a template in ``single``."""
+    def enough(v: Column, i: Column) -> Column:
+        twice = F.coalesce(F.get("votes", i + (VOTES - 1)) == v, F.lit(False))
+        return twice | F.shiftright(v, 40).isin(single) if single else twice
+
+    return F.array_distinct(F.filter("votes", enough))
+
+
+def _places(k: int, t: Template, most: int) -> Column:
+    """Where the notice begins, in array positions, for each candidate with its phrase."""
+    def begin(c: Column) -> Column:
+        return (c - (k * _NUMBER + most)).cast("int")
 
-    def agrees(i: Column) -> Column:
-        begin, words = i - first, F.col("words")
-        test = (F.get(words, i) == t.words[first]) & (F.get(words, i + (second - first)) == t.words[second])
-        for k in range(t.at, t.at + len(t.phrase)):
-            if k not in (first, second):
-                test = test & (F.get(words, begin + k) == t.words[k])
+    def stands(c: Column) -> Column:
+        test = c.between(F.lit(k * _NUMBER), F.lit((k + 1) * _NUMBER - 1))
+        for position, word in enumerate(t.phrase, t.at):
+            test = test & (F.get("words", begin(c) + position) == word)
         return F.coalesce(test, F.lit(False))
 
-    return F.transform(F.filter("rare", agrees), lambda i: i - first)
+    return F.transform(F.filter("agreed", stands), begin)
 
 
 def _share(t: Template, places: str) -> Column:
     """The best share of the template's words that stand at their places, or 0."""
     def share(begin: Column) -> Column:
-        right = [F.when(F.get(F.col("words"), begin + k) == w, 1).otherwise(0) for k, w in enumerate(t.words)]
-        total = right[0]
-        for r in right[1:]:
-            total = total + r
-        return total / float(len(t.words))
+        right = F.filter(_literals(t.words), lambda w, i: F.coalesce(F.get("words", begin + i) == w, F.lit(False)))
+        return F.size(right) / F.lit(float(len(t.words)))
 
     return F.coalesce(F.array_max(F.transform(places, share)), F.lit(0.0))
 
@@ -135,19 +192,23 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bas
     """One row per document: ``doc_id``, ``n_words``, ``n_base`` (places of base phrases), ``first_word``
     and ``last_word`` (their least and greatest start), ``base_labels``, ``labels``, ``score`` (the best
     share of a template with a label; a base phrase is whole) and ``rest``, a struct of its columns."""
-    vocabulary = sorted({w for t in base + notices for w in t.phrase})
-    index = postings(base + notices, document_frequencies(docs, vocabulary, text_col))
-    rare = sorted({t.words[first] for t, first, _ in index})
+    every = base + notices
+    least = [least_right(t, 0.0 if k < len(base) else share) for k, t in enumerate(every)]
+    index, most = postings(every), max(len(t.words) for t in every)
+    frequency = document_frequencies(docs, sorted(index), text_col)
+    rank = {w: r for r, w in enumerate(sorted(index, key=lambda w: (frequency[w], w)))}
     rows = frames.packed(docs, id_col, text_col).select("doc_id", _words("text").alias("words"), "rest")
-    rows = rows.withColumn("rare", F.filter(F.transform(
-        "words", lambda w, i: F.when(w.isin(rare), i)), lambda i: i.isNotNull()))
-    rows = rows.withColumns({f"place_{k}": _places(*own) for k, own in enumerate(index)})
-    rows = rows.withColumns({f"share_{k}": _share(t, f"place_{k}") for k, (t, _, _) in enumerate(index)})
+    rows = rows.withColumn("own", F.array_intersect(_literals(sorted(rank, key=rank.__getitem__)), F.col("words")))
+    rows = rows.withColumn("looked", F.array_distinct(F.flatten(F.array(*[_looked_up(t, m, rank) for t, m in zip(every, least)]))))
+    rows = rows.withColumn("votes", _candidates(index, most))
+    rows = rows.withColumn("agreed", _agreed([k for k, m in enumerate(least) if m < VOTES]))
+    rows = rows.withColumns({f"place_{k}": _places(k, t, most) for k, t in enumerate(every)})
+    rows = rows.withColumns({f"share_{k}": _share(t, f"place_{k}") for k, t in enumerate(every)})
     leading = (F.get("words", F.lit(0)) == "").cast("int")
     trailing = ((F.size("words") > 1) & (F.element_at("words", -1) == "")).cast("int")
     starts = F.concat(*[F.transform(f"place_{k}", _plus(t.at)) for k, t in enumerate(base)])
     rows = rows.withColumns({"starts": starts, "leading": leading, "n_words": (F.size("words") - leading - trailing).cast("long")})
-    found = [(t.label, F.col(f"share_{k}"), 0.0 if k < len(base) else share) for k, (t, _, _) in enumerate(index)]
+    found = [(t.label, F.col(f"share_{k}"), 0.0 if k < len(base) else share) for k, t in enumerate(every)]
     label = lambda few: F.array_join(F.array_sort(F.array_distinct(F.filter(F.array(*[
         F.when((s > 0) & (s >= least), F.lit(name)) for name, s, least in few]), lambda x: x.isNotNull()))), ",")
     score = F.greatest(F.lit(0.0), *[F.when((s > 0) & (s >= least), s).otherwise(0.0) for _, s, least in found])

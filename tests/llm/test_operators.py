@@ -1,6 +1,7 @@
 """Every registered query of the subpackage against a brute-force version, on whole tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -125,6 +126,48 @@ def test_license_scan_on_awkward_rows(awkward):
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(at), min(at, default=None), max(at, default=None)), d
 
 
+def plain_labels(text, templates, share):
+    """Labels of all starts of all templates, tried one by one."""
+    w, out = words(text, ALNUM, True), set()
+    for k, t in enumerate(templates):
+        for i in range(-len(t.words), len(w)):
+            at = lambda j: w[i + j] if 0 <= i + j < len(w) else None
+            if all(at(t.at + j) == x for j, x in enumerate(t.phrase)):
+                right = sum(at(j) == x for j, x in enumerate(t.words))
+                if right / len(t.words) >= (0.0 if k < len(license_scan.BASE) else share):
+                    out.add(t.label)
+    return ",".join(sorted(out))
+
+
+def test_licenses_differ_by_words_outside_the_phrase(spark):
+    notice = next(t for t in license_scan.NOTICES if t.label == "unlicense")
+    few = ["x"] * len(notice.words)
+    few[notice.at:notice.at + len(notice.phrase)] = notice.phrase
+    cut = " ".join(notice.words[notice.at:])
+    rows = [(1, notice.notice.title()), (2, " ".join(few)), (3, notice.notice.replace("unencumbered", "x")), (4, cut), (5, "The  " + cut)]
+    found = by_id(license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {d: r["labels"] for d, r in found.items()} == {1: "unlicense", 2: "", 3: "", 4: "unlicense", 5: "unlicense"}
+
+
+@pytest.mark.parametrize("share", [0.0, 0.6, 1.0])
+def test_license_places_are_those_of_brute_force(spark, share):
+    """Texts of damaged notices, and templates of one word, of repeated words and of a phrase at the end."""
+    rng = random.Random(3)
+    own = (license_scan.Template("one", "sole", "sole"), license_scan.Template("twice", "a b a b a c", "a c"),
+           license_scan.Template("same", "z z z", "z z z"), *license_scan.NOTICES)
+    every, rows = license_scan.BASE + own, []
+    for d in range(300):
+        parts = []
+        for t in rng.choices(every, k=3):
+            w = [x if rng.random() > 0.15 else rng.choice(["the", "license", "x"]) for x in t.words]
+            parts += w[rng.randrange(3) if rng.random() < 0.3 else 0:] + ["y"] * rng.randrange(2)
+        rows.append((d, rng.choice([" ", "  ", "-"]).join(parts).upper()))
+    found = by_id(license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), notices=own, share=share))
+    for d, text in rows:
+        assert found[d]["labels"] == plain_labels(text, every, share), text
+
+
+
 def shingle_set(text, size=5):
     w = words(text, lower=True)
     return frozenset(tuple(w[i:i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
