@@ -1,13 +1,15 @@
 """Token counts by a two-tier lookup, without a shuffle of pre-tokens.
 
-First tier: a broadcast hash table of the lengths, in tokens, of at most ``FREQUENT`` of the most
-frequent pre-tokens. They are found by a pass over all documents in which each slab of text names its
-own ``PER_SLAB`` most frequent ones with their counts, none that it holds once; only these short
-lists are added up, so the tier is an approximation. Second tier: a
-table that every worker process fills with the pre-tokens it met and the library encoded. The
-first tier only saves work; counts are those of the library whatever it holds.
-
-A null is an empty text. Rows that share an id are counted each for itself.
+First tier: a broadcast hash table of the lengths, in tokens, of at most ``FREQUENT`` pre-tokens, the
+most frequent ones of a sample of documents whose text has ``SAMPLE_BYTES`` bytes as expected, however large the
+corpus. Tasks name the pre-tokens of their part of the sample with counts; what they name is no more
+than the sample and is added up on the driver. Second tier: a table that every worker process fills
+with the pre-tokens it met and the library encoded. The first tier only saves work; counts are those of
+the library whatever it holds. So the texts of the corpus are split into pre-tokens once, by the tasks that
+read them, and no step shuffles.
+
+A null is an empty text. Rows that share an id, or repeat, are counted each for itself. Ties in frequency go to
+the lesser pre-token. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,40 +20,30 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import stage
 from . import frames
 from .tokens import HashTable, default_vocabulary, encoder, pre_tokens
 from .words import map_slabs, span_hashes, text_bytes
 
 FREQUENT = 1 << 15
-PER_SLAB = 1 << 12
+SAMPLE_BYTES = 8 << 20
 LIMIT = 512
 
 
 def frequent_lengths(docs: DataFrame, vocabulary: str, size: int = FREQUENT) -> Broadcast:
     """The broadcast first tier: at most ``size`` entries of 12 bytes in a half-empty table."""
 
-    def most(table: pa.Table) -> pa.Table:
+    def named(table: pa.Table) -> pa.Table:
         data, offsets = text_bytes(table["text"])
         starts, _ = pre_tokens(data, offsets)
         ends = np.append(starts[1:], len(data))
         _, first, counts = np.unique(span_hashes(data, starts, ends), return_index=True, return_counts=True)
-        top = np.argsort(-counts, kind="stable")[:PER_SLAB]
-        top = top[counts[top] > 1]
-        words = [data[a:b].tobytes().decode() for a, b in zip(starts[first[top]].tolist(), ends[first[top]].tolist())]
-        return pa.table({"word": pa.array(words, pa.string()), "n": pa.array(counts[top], pa.int64())})
-
-    lists = map_slabs(docs.select("text"), most, "word string, n long")
-    counts = stage(lists.groupBy("word").agg(F.sum("n").alias("n")), "frequent").withColumn(
-        "class", F.floor(4 * F.log2("n")).cast("int"))
-    # classes of counts from the top, as long as they fit: the driver gets no more than it keeps
-    least, room = None, size
-    for k, n in sorted(counts.groupBy("class").count().collect(), reverse=True):
-        room -= n
-        if room < 0:
-            break
-        least = k
-    words = [r[0] for r in counts.where(F.col("class") >= least).select("word").collect()] if least is not None else []
+        found = [data[a:b].tobytes().decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        return pa.table({"word": pa.array(found, pa.string()), "n": pa.array(counts, pa.int64())})
+
+    share = min(1.0, SAMPLE_BYTES / max(1, frames.text_total(docs)))
+    drawn = map_slabs(docs.select("text").sample(share, seed=1), named, "word string, n long").toArrow()
+    most = drawn.group_by("word").aggregate([("n", "sum")]).sort_by([("n_sum", "descending"), ("word", "ascending")])
+    words = most.slice(0, size)["word"].to_pylist()
     data, offsets = text_bytes(pa.array(words, pa.string()))
     hashes = span_hashes(data, offsets[:-1], offsets[1:])
     hashes[hashes == 0] = 1
