@@ -44,13 +44,19 @@ iwin AS ({_windows("items", "item_id", "13")} UNION ALL
   SELECT item_id, len(words), 1, md5(array_to_string(words, ' ')) FROM items WHERE len(words) BETWEEN 1 AND 12),
 lens AS (SELECT DISTINCT size AS s FROM iwin),
 dwin AS ({_windows("(SELECT doc_id, words, s FROM w, lens)", "doc_id", "s")}),
-hits AS (SELECT DISTINCT doc_id, d.head, d.size, item_id FROM dwin d JOIN iwin i ON d.h = i.h AND d.size = i.size),
+hits AS (SELECT DISTINCT doc_id, d.head, d.size, item_id, i.head AS item_head FROM dwin d JOIN iwin i ON d.h = i.h AND d.size = i.size),
+runs AS (SELECT doc_id, item_id, min(item_head) - 1 AS item_start, min(head) - 1 AS doc_start, count(*) + size - 1 AS n FROM (
+  SELECT *, head - row_number() OVER (PARTITION BY doc_id, item_id, size, head - item_head ORDER BY head) AS run FROM hits)
+  GROUP BY doc_id, item_id, size, head - item_head, run),
+longest AS (SELECT doc_id, n AS longest_words, item_id::VARCHAR AS longest_item, item_start, doc_start FROM runs
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, item_id::VARCHAR, item_start, doc_start) = 1),
 covered AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(head, head + size)) AS pos FROM hits) GROUP BY 1),
 found AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hits) GROUP BY 1)
 SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(f.n, 0)::BIGINT AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(c.n > 0 AND 20 * c.n >= len(words), false) AS contaminated
-FROM w LEFT JOIN covered c USING (doc_id) LEFT JOIN found f USING (doc_id)"""
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(c.n > 0 AND 20 * c.n >= len(words), false) AS contaminated,
+  coalesce(longest_words, 0)::BIGINT AS longest_words, longest_item, item_start::BIGINT AS item_start, doc_start::BIGINT AS doc_start
+FROM w LEFT JOIN covered c USING (doc_id) LEFT JOIN found f USING (doc_id) LEFT JOIN longest l USING (doc_id)"""
 
 _TABLE = """crc_table AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8),
   lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, b::BIGINT)) AS t)"""
