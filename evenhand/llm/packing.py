@@ -134,8 +134,9 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
     def table(packer: Packer) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(packer.rows), 5000):
-            part = packer.rows[at:at + 5000]
+        step = 500 if with_ids else 5000
+        for at in range(0, len(packer.rows), step):
+            part = packer.rows[at:at + step]
             columns = {n: pa.array([r[i] for r in part], pa.int64()) for i, n in enumerate(names)}
             if with_ids:
                 columns["ids"] = pa.array([r[7].astype(np.int32) for r in part], pa.list_(pa.int32()))
