@@ -90,7 +90,8 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    return pack_documents(docs, with_ids=False)
+    """Pieces with their token ids, ready to be laid into sequences of 2048."""
+    return pack_documents(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
