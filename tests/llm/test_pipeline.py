@@ -1,14 +1,16 @@
 """Stages of the pipeline against plain versions, over whole tables."""
 
 import random
+import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
 from evenhand.llm import near_dedup
 
-from .conftest import FOLDER, _frame
-from .test_operators import components, shingle_set
+from .conftest import FOLDER, _frame, texts
+from .test_operators import components, encoded, shingle_set
 
 
 def near_pairs(pairs=12):
@@ -58,3 +60,12 @@ def test_least_score_follows_from_the_number_of_languages():
     assert pipeline.least_score(4) == pytest.approx(0.3)
     assert pipeline.least_score(100) == pytest.approx(0.012)
     assert pipeline.least_score(2) == pytest.approx(0.3)
+
+
+def test_last_stage_yields_the_ids_of_its_pieces(spark, awkward):
+    found = pipeline.packed_sequences(spark, awkward, FOLDER).collect()
+    pieces = {}
+    for r in sorted(found, key=lambda r: r.start):
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        pieces.setdefault(r.doc_id, []).extend(r.ids)
+    assert pieces == {d: [*ids, 1] for d, ids in encoded(texts(awkward)).items()}
