@@ -30,7 +30,7 @@ def test_quotas(counts: DataFrame, test_size: float = TEST_SIZE) -> DataFrame:
 
     The test set has ceil(test_size * N) rows. The train side gets floor plus
     largest remainder, ties to the smaller label; test is what is left. One row per
-    class goes in; its place among the remainders is counted in two levels, so classes
+    class goes in and is compared with the last of those that get one more, so classes
     may be as many as rows.
     """
     whole = counts.agg(F.struct(F.sum("c").alias("total"), F.count(F.lit(1)).alias("classes"))).scalar()
@@ -39,32 +39,45 @@ def test_quotas(counts: DataFrame, test_size: float = TEST_SIZE) -> DataFrame:
         "_base", F.expr("(c * _train) div _all.total")).withColumn(
         "_order", F.struct((-F.expr("(c * _train) % _all.total")).alias("rem"), "stratum"))
     short = shared.agg(F.max("_train") - F.sum("_base")).scalar()
-    placed = _with_place(shared, "_order", F.col("_all.classes"), "_place")
-    taken = F.col("_base") + F.when(F.col("_place") < short, 1).otherwise(0)
-    return placed.select("stratum", (F.col("c") - taken).alias("k"), "c", F.col("_all.total").alias("total"))
+    last = _nth(shared, "_order", F.col("_all.classes"), short).scalar()
+    taken = F.col("_base") + F.when(F.col("_order") <= last, 1).otherwise(0)
+    return shared.select("stratum", (F.col("c") - taken).alias("k"), "c", F.col("_all.total").alias("total"))
 
 
 # About so many bounds cut the classes into ranges.
 BOUNDS = 256
 
 
-def _with_place(rows: DataFrame, order: str, size: Column, name: str) -> DataFrame:
-    """Adds ``name``, how many rows come before a row by ``order``, a struct that no two rows share.
+def _nth(rows: DataFrame, order: str, size: Column, n: Column) -> DataFrame:
+    """The ``n``-th smallest ``order``, a struct that no two rows share; nothing if ``n`` is none of their places.
 
-    A sample by hash, about ``BOUNDS`` of the ``size`` rows, cuts them into ranges. A row's place is
-    the rows of the ranges before its own and those before it there. The sample evens out the
-    ranges and decides nothing else.
+    A sample by hash, about ``BOUNDS`` of the ``size`` rows, cuts them into ranges. These are counted,
+    and only the rows of the one that holds the place are ranked. The sample evens out the ranges
+    and decides nothing else.
     """
+    steps = [1 << bit for bit in reversed(range(BOUNDS.bit_length() + 1))]
     chosen = F.pmod(F.xxhash64(order), F.greatest(F.lit(1), F.ceil(size / BOUNDS)).cast("long")) == 0
-    bounds = rows.where(chosen).agg(F.sort_array(F.collect_list(order))).scalar()
-    ranged = rows.withColumn("_bounds", bounds).withColumn(
-        "_range", F.size(F.filter("_bounds", lambda x: x <= F.col(order)))).drop("_bounds")
+    # no more bounds than the steps reach
+    bounds = rows.where(chosen).agg(F.slice(F.sort_array(F.collect_list(order)), 1, sum(steps))).scalar()
+
+    def halve(at: Column, step: Column) -> Column:
+        return F.when(F.get("_bounds", at + step - 1) <= F.col(order), at + step).otherwise(at)
+
+    # how many bounds are no larger than a row
+    ranged = rows.select(order, bounds.alias("_bounds")).select(
+        F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), halve).alias("_range"))
     # one row for each range
-    starts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
-        "_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_from"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
-    return ranged.withColumn("_inside", inside).join(F.broadcast(starts), "_range").withColumn(
-        name, F.col("_from") + F.col("_inside")).drop("_range", "_inside", "_from")
+    ends = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_left", n - F.sum("_n").over(Window.orderBy("_range")) + F.col("_n"))
+    place = ends.where((F.col("_left") > 0) & (F.col("_left") <= F.col("_n"))).select(
+        "_left", bounds.alias("_bounds"), "_range").select(
+        F.struct("_left", F.get("_bounds", F.col("_range") - 1).alias("low"), F.get("_bounds", "_range").alias("high")))
+    inside = rows.select(order, place.scalar().alias("_place")).where(
+        F.col("_place._left").isNotNull()
+        & F.coalesce(F.col(order) >= F.col("_place.low"), F.lit(True))
+        & F.coalesce(F.col(order) < F.col("_place.high"), F.lit(True)))
+    return inside.withColumn("_inside", F.row_number().over(Window.orderBy(order))).where(
+        F.col("_inside") == F.col("_place._left")).select(order)
 
 
 # Classes with one in so many rows, or more, are large: there can be no more of them than this.

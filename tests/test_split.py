@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +92,28 @@ def test_many_undeclared_classes(spark, monkeypatch, large):
     assert set(got) == expected and len(got) == len(expected) == 800
 
 
+@pytest.mark.parametrize("bounds", [1, 16, 256])
+def test_every_place_is_found(spark, monkeypatch, bounds):
+    """By any number of bounds; places of no row, as none or one too many, give nothing."""
+    monkeypatch.setattr(split, "BOUNDS", bounds)
+    order = sorted((-(i % 7), f"class_{i:03d}") for i in range(300))
+    df = spark.createDataFrame([(x,) for x in order], "_order struct<rem: long, stratum: string>").repartition(3)
+    size = F.lit(len(order))
+    for n in (None, 0, 1, 2, 43, 150, 299, 300, 301):
+        got = [tuple(r[0]) for r in split._nth(df, "_order", size, F.lit(n).cast("long")).collect()]
+        assert got == (order[n - 1:n] if n else [])
+
+
+def test_classes_are_halved_down_to_one_range(spark):
+    """No class is compared with all bounds, and not all classes are ranked to find those that get one row more."""
+    df = spark.range(2000).select(F.concat(F.lit("class_"), "id").alias("stratum"), (F.col("id") % 5 + 1).alias("c"))
+    plan = quotas_of(df)._jdf.queryExecution().executedPlan().toString()
+    assert "filter(" not in plan
+    assert not re.search(r"Window .*\[_range#\d+\], \[_order#\d+", plan)
+    got = {r.stratum: r.k for r in quotas_of(df).collect()}
+    assert got == plain_quotas({f"class_{i}": i % 5 + 1 for i in range(2000)}, 0.2)
+
+
 def test_split_runs_no_job_at_definition(spark):
     df = spark.range(1000).select(F.col("id").cast("string").alias("record_id"), (F.col("id") % 50).cast("string").alias("ground_truth"))
     spark.sparkContext.setJobGroup("split-definition", "split")
